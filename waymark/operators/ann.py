@@ -1,0 +1,131 @@
+"""Approximate top-k: random-hyperplane signatures, equi-join on signature bands, exact re-rank."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from waymark.functions.vectors import DISTANCE_DECIMALS
+from waymark.operators.knn import DEFAULT_K, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUERIES, knn, rank_hits
+from waymark.session import materialise
+
+SEED = 20_011
+
+
+def band_keys(width: int, bands: int, bits: int):
+    """Arrow helper: vector to one integer key per band, from the signs of fixed projections."""
+    planes = np.random.default_rng(SEED).standard_normal((bands * bits, width))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        signs = np.vstack(vectors.to_numpy()).astype(np.float64) @ planes.T > 0
+        return pd.Series(list(signs.reshape(len(vectors), bands, bits) @ weights))
+
+    return keys
+
+
+def with_keys(df: DataFrame, width: int, bands: int, bits: int) -> DataFrame:
+    """Add `keys`; rows of another width are left out."""
+    return df.where(F.size("vector") == width).withColumn(
+        "keys", band_keys(width, bands, bits)(F.col("vector"))
+    )
+
+
+@F.pandas_udf("double")
+def pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine distance of two vector columns, row by row."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x = np.vstack(a.to_numpy()).astype(np.float64)
+    y = np.vstack(b.to_numpy()).astype(np.float64)
+    dots = np.einsum("ij,ij->i", x, y)
+    norms = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return pd.Series(np.where(norms > 0, np.round(1 - dots / norms, DISTANCE_DECIMALS), None))
+
+
+def ann(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int = DEFAULT_K,
+    bands: int = 16,
+    bits: int = 6,
+    payload: tuple[str, ...] = (),
+    salts: int = 8,
+    max_queries: int = MAX_BROADCAST_QUERIES,
+) -> DataFrame:
+    """Like `knn`, over rows that share a band key with the query.
+
+    A query with fewer than k candidates is answered exactly. A query set checked to be
+    small is broadcast, so no index row moves and a hot key costs nothing extra. A large
+    one is joined by key: index rows of a key are spread over `salts` tasks, and copies of
+    one vector are cut to the k smallest ids first, which no top-k can tell apart.
+    """
+    queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    head = queries.limit(max_queries + 1).select("query_id", F.size("vector").alias("w")).collect()
+    if not head:
+        return knn(index, queries, k, payload)
+    width = head[0].w
+    few = len(head) <= max_queries and len(head) * bands * width * 4 <= MAX_BROADCAST_BYTES
+    asked = with_keys(queries, width, bands, bits).select(
+        "query_id",
+        F.col("vector").alias("query_vector"),
+        F.col("keys").alias("query_keys"),
+        F.posexplode("keys").alias("band", "key"),
+    )
+    rows = index.select("id", "vector", *payload)
+    if not few:
+        rows = cut_copies(rows, k)
+    offered = with_keys(rows, width, bands, bits).select(
+        "*", F.posexplode("keys").alias("band", "key")
+    )
+    if few:
+        pairs = offered.join(F.broadcast(asked), ["band", "key"])
+    else:
+        offered = offered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
+        pairs = offered.join(asked.withColumn("salt", spread), ["band", "key", "salt"])
+    # A pair that agrees on several bands is kept on the first of them only, so no
+    # shuffle is needed to make pairs unique.
+    hits = pairs.where(_first_common("keys", "query_keys") == F.col("band")).select(
+        "query_id",
+        "id",
+        pair_distance("vector", "query_vector").alias("distance"),
+        *payload,
+    )
+    # Written once: at most k rows per query, read to find the queries that need more.
+    found = materialise(rank_hits(hits.where(F.col("distance").isNotNull()), k), "ann")
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = queries.join(enough, "query_id", "left_anti")
+    if short.isEmpty():
+        return found
+    kept = found.join(enough.select("query_id"), "query_id", "left_semi")
+    return kept.select(found.columns).unionByName(knn(index, short, k, payload, max_queries))
+
+
+def cut_copies(index: DataFrame, k: int) -> DataFrame:
+    """Of rows with one and the same vector, the k with the smallest ids: exact for any top-k."""
+    order = Window.partitionBy(F.md5(F.col("vector").cast("string"))).orderBy("id")
+    return (
+        index.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= k).drop("copy")
+    )
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of exact hits the approximate search also returned."""
+    hit = found.select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "id"], "left").agg(
+        F.count("*").alias("n_exact"),
+        F.count("hit").alias("n_found"),
+        (F.count("hit") / F.count("*")).alias("recall"),
+    )
+
+
+def _first_common(a: str, b: str) -> Column:
+    same = F.zip_with(a, b, lambda x, y: x == y)
+    return (F.array_position(same, True) - 1).cast("int")
