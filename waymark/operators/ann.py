@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.vectors import DISTANCE_DECIMALS
 from waymark.operators.knn import DEFAULT_K, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUERIES, knn, rank_hits
@@ -36,7 +37,7 @@ def with_keys(df: DataFrame, width: int, bands: int, bits: int) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine distance of two vector columns, row by row."""
     if not len(a):

@@ -32,6 +32,7 @@ from waymark.operators.spans import (
     running_offset,
     so_far,
     span,
+    throughout,
 )
 
 # Marks written over blanked text, each one character per character replaced.
@@ -247,7 +248,7 @@ def brace_spans(corpus: DataFrame) -> DataFrame:
     depth = F.sum(step).over(so_far(in_order("path")))
     solid = F.col("code_before") | event.isin("close", "semi", "open", "header")
     whole = F.max(F.when(solid, F.struct("end", "last_line"))).over(
-        in_order("path").rowsBetween(-(2**31), 2**31 - 1)
+        throughout(in_order("path"))
     )
     level = lambda value, name: F.struct(
         value.cast("int").alias("level"), name.alias("event")
@@ -338,7 +339,7 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
     lines = explode_lines(
         corpus,
         "type",
-        text=blanked(F.col("content"), kind, INDENT_TYPES),
+        source=blanked(F.col("content"), kind, INDENT_TYPES),
         python=kind == "python",
         has_code=like(r"[^\s\x01\x02\x03]"),
         inside=F.startswith(piece, F.lit(QUOTED_MORE)),
@@ -367,9 +368,7 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
         )
         .withColumn(
             "whole",
-            F.max(F.when(F.col("has_code"), spot)).over(
-                order.rowsBetween(-(2**31), 2**31 - 1)
-            ),
+            F.max(F.when(F.col("has_code"), spot)).over(throughout(order)),
         )
     )
     # A line closes every level from its own indent up to that of the line before.

@@ -45,14 +45,14 @@ def explode_pieces(corpus: DataFrame, pieces: Column, *keep: str) -> DataFrame:
 
 
 def explode_lines(
-    corpus: DataFrame, *keep: str, text: Column | None = None, **features: Column
+    corpus: DataFrame, *keep: str, source: Column | None = None, **features: Column
 ) -> DataFrame:
-    """Lines of `text` (the content), reduced to `features` of `piece` before any window.
+    """Lines of `source` (the content), reduced to `features` of `piece` before any window.
 
     Adds `start` and `end`, the 1-based character range of the line without its newline.
     """
-    text = F.col("content") if text is None else text
-    lines = explode_pieces(corpus, F.split(text, "\n"), *keep).select(
+    source = F.col("content") if source is None else source
+    lines = explode_pieces(corpus, F.split(source, "\n"), *keep).select(
         "path",
         *keep,
         "n",
@@ -79,6 +79,10 @@ def before(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def throughout(spec: WindowSpec) -> WindowSpec:
+    return spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def running_offset(width: Column, spec: WindowSpec) -> Column:
     """1 + total width of the earlier rows."""
     return (F.sum(width).over(so_far(spec)) - width + 1).cast("int")
