@@ -143,12 +143,10 @@ def indent_units(corpus: DataFrame) -> DataFrame:
 
 def blanked(content: Column, kind: Column, types: tuple[str, ...]) -> Column:
     """Content with string and comment text overwritten, newlines and length kept."""
-    by_type = F.lit(None).cast("array<string>")
-    for name in types:
-        rest = rf"[^{LITERAL_STARTS[name]}]++|(?s:.)"
-        pieces = F.regexp_extract_all(content, F.lit("|".join(LITERALS[name] + [rest])), F.lit(0))
-        by_type = F.when(kind == name, pieces).otherwise(by_type)
-
+    tokens = {
+        name: "|".join(LITERALS[name] + [rf"[^{LITERAL_STARTS[name]}]++|(?s:.)"]) for name in types
+    }
+    pieces = F.regexp_extract_all(content, pattern_of(kind, tokens), F.lit(0))
     hashes = kind.isin(*HASH_COMMENTS)
 
     def blank(piece: Column) -> Column:
@@ -168,7 +166,12 @@ def blanked(content: Column, kind: Column, types: tuple[str, ...]) -> Column:
             .otherwise(piece)
         )
 
-    return F.array_join(F.transform(by_type, blank), "")
+    return F.array_join(F.transform(pieces, blank), "")
+
+
+def pattern_of(kind: Column, patterns: dict[str, str]) -> Column:
+    """The pattern of a row's type, so that one regex expression serves all types."""
+    return F.coalesce(*[F.when(kind == name, F.lit(p)) for name, p in patterns.items()])
 
 
 # --- brace languages ---------------------------------------------------------------------
@@ -185,20 +188,19 @@ def brace_events(corpus: DataFrame) -> DataFrame:
     code = F.regexp_replace(
         blanked(F.col("content"), kind, BRACE_TYPES), r"\b(interface|struct)\{\}", "$1__"
     )
-    pieces = F.lit(None).cast("array<string>")
-    header = F.lit(None).cast("string")
-    for name in BRACE_TYPES:
-        event = rf"(?md:{HEADERS[name]})|[{{}};]|{_COMMENT_EVENT}"
-        split = F.regexp_extract_all(code, F.lit(rf"(?s:.*?)(?:{event}|\z)"), F.lit(0))
-        pieces = F.when(kind == name, split).otherwise(pieces)
-        found = F.regexp_extract(piece, rf"(?md:{HEADERS[name]})\z", 0)
-        header = F.when(kind == name, found).otherwise(header)
+    events = {
+        name: rf"(?s:.*?)(?:(?md:{HEADERS[name]})|[{{}};]|{_COMMENT_EVENT}|\z)"
+        for name in BRACE_TYPES
+    }
+    headers = {name: rf"(?md:{HEADERS[name]})\z" for name in BRACE_TYPES}
+    pieces = F.regexp_extract_all("code", pattern_of(kind, events), F.lit(0))
+    header = F.call_function("regexp_extract", piece, pattern_of(kind, headers), F.lit(0))
     last = F.right(piece, F.lit(1))
     comment = F.regexp_extract(piece, rf"(?:{_COMMENT_EVENT})\z", 0)
     text = (
         F.when(last.isin("{", "}", ";"), last)
         .when(last.isin(LINE_COMMENT, BLOCK_COMMENT, BLOCK_COMMENT_HEAD), comment)
-        .otherwise(F.ltrim(F.coalesce(header, F.lit("")), F.lit(" \t")))
+        .otherwise(F.ltrim(header, F.lit(" \t")))
     )
     event = (
         F.when(last == "{", "open")
@@ -215,7 +217,7 @@ def brace_events(corpus: DataFrame) -> DataFrame:
     )
     order = in_order("path")
     return (
-        explode_pieces(corpus, pieces, "type")
+        explode_pieces(corpus, pieces, "type", code=code)
         .withColumn("text", text)
         .select(
             "path",
@@ -330,7 +332,7 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
     kind, piece = F.col("type"), F.col("piece")
     like = lambda pattern: F.rlike("piece", F.lit(pattern))
     by_type = lambda table: F.coalesce(
-        *[F.when(kind == name, like(table[name])) for name in table], F.lit(False)
+        F.rlike(piece, pattern_of(kind, table)), F.lit(False)
     )
     margin = F.regexp_extract(piece, r"^[ \t]*", 0)
     count = lambda chars: F.length(piece) - F.length(

@@ -15,8 +15,8 @@ MAX_BROADCAST_HITS = 200_000
 def hydrate(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Add `content`, the current source's lines of each hit, and `stale`.
 
-    A path that is gone gives null content. `stale` tells that the source has changed since
-    it was indexed. `max_hits` is a bound the caller knows (queries times k): within
+    A path that is gone gives null content. `stale` tells that the source has changed or
+    gone since it was indexed. `max_hits` is a bound the caller knows (queries times k): within
     `MAX_BROADCAST_HITS`, the paths wanted go to the corpus scan and the corpus is not
     shuffled.
     """
@@ -28,7 +28,8 @@ def hydrate(hits: DataFrame, corpus: DataFrame, max_hits: int | None = None) ->
     )
     stale = F.lit(None).cast("boolean")
     if "file_hash" in hits.columns:
-        stale = content_hash(F.col("source")) != F.col("file_hash")
+        same = content_hash(F.col("source")) == F.col("file_hash")
+        stale = ~F.coalesce(same, F.lit(False))
     return (
         hits.join(sources, "path", "left")
         .withColumn(

@@ -28,9 +28,16 @@ UNIT_COLUMNS = [
 ]
 
 
-def explode_pieces(corpus: DataFrame, pieces: Column, *keep: str) -> DataFrame:
-    """One row per piece: path, kept columns, `n` (1-based), `piece`, `file` (first row only)."""
+def explode_pieces(
+    corpus: DataFrame, pieces: Column, *keep: str, code: Column | None = None
+) -> DataFrame:
+    """One row per piece: path, kept columns, `n` (1-based), `piece`, `file` (first row only).
+
+    `code`, a rewriting of the content that `pieces` may use, is worked out after the shuffle.
+    """
     placed = size_filter(corpus).repartition("path")
+    if code is not None:
+        placed = placed.withColumn("code", code)
     # Hashed here, where it is done once per file and not once per unit.
     whole_file = F.struct("content", "mtime", "ctime", content_hash("content").alias("hash"))
     return placed.select(

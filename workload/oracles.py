@@ -357,7 +357,7 @@ FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN ' ' || chr(9) || ' ' ELS
 WITH hits AS ({DOCS}), now AS ({CHANGED})
 SELECT hits.path, CASE WHEN len(string_split(now.content, {NL})) >= 2
          THEN md5(array_to_string(string_split(now.content, {NL})[2:4], {NL})) END AS lines_hash,
-       md5(now.content) <> md5(hits.content) AS stale
+       coalesce(md5(now.content) <> md5(hits.content), true) AS stale
 FROM hits LEFT JOIN now USING (path)""",
     "formatted_results": f"""
 WITH hits AS (
