@@ -44,7 +44,10 @@ def scan_files(
 def scan_file_hashes(
     spark: SparkSession, root: str | list[str], rules: tuple[TypeRule, ...] = DEFAULT_RULES
 ) -> DataFrame:
-    """Path, raw bytes and times of every typed file, for fingerprints: no size or text rule."""
+    """Path, raw bytes and times of every typed file, for fingerprints: no size or text rule.
+
+    Spark's file source plans no read for empty files, so those have no row.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
