@@ -88,8 +88,8 @@ def ann(
     if few:
         pairs = offered.join(F.broadcast(asked), ["band", "key"])
     else:
-        offered = offered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")
+        offered = offered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         pairs = offered.join(asked.withColumn("salt", spread), ["band", "key", "salt"])
     # A pair that agrees on several bands is kept on the first of them only, so no
     # shuffle is needed to make pairs unique.
