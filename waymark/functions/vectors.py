@@ -37,7 +37,11 @@ def token_buckets(text: Column, dim: int) -> Column:
 
 
 def bucket_counts(dim: int):
-    """Arrow helper: bucket lists to L2-normalised count vectors."""
+    """Arrow helper: bucket lists to L2-normalised count vectors.
+
+    Marked nondeterministic so that a filter on the vector is not pushed below it, which
+    would run it twice.
+    """
 
     @F.pandas_udf("array<float>")
     def to_vector(buckets: pd.Series) -> pd.Series:
@@ -50,7 +54,7 @@ def bucket_counts(dim: int):
             out.append((counts / np.sqrt(counts @ counts)).astype(np.float32))
         return pd.Series(out)
 
-    return to_vector
+    return to_vector.asNondeterministic()
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:

@@ -27,7 +27,8 @@ def band_keys(width: int, bands: int, bits: int):
         signs = np.vstack(vectors.to_numpy()).astype(np.float64) @ planes.T > 0
         return pd.Series(list(signs.reshape(len(vectors), bands, bits) @ weights))
 
-    return keys
+    # Run once: a filter on the keys must not be pushed below.
+    return keys.asNondeterministic()
 
 
 def with_keys(df: DataFrame, width: int, bands: int, bits: int) -> DataFrame:

@@ -248,10 +248,6 @@ def brace_spans(corpus: DataFrame) -> DataFrame:
     event = F.col("event")
     step = F.when(event == "open", 1).when(event == "close", -1).otherwise(0)
     depth = F.sum(step).over(so_far(in_order("path")))
-    solid = F.col("code_before") | event.isin("close", "semi", "open", "header")
-    whole = F.max(F.when(solid, F.struct("end", "last_line"))).over(
-        throughout(in_order("path"))
-    )
     level = lambda value, name: F.struct(
         value.cast("int").alias("level"), name.alias("event")
     )
@@ -259,7 +255,6 @@ def brace_spans(corpus: DataFrame) -> DataFrame:
     leveled = (
         brace_events(corpus)
         .withColumn("depth", depth)
-        .withColumn("whole", whole)
         .withColumn(
             "at",
             F.explode(
@@ -277,7 +272,11 @@ def brace_spans(corpus: DataFrame) -> DataFrame:
     )
     backward = in_order("path", "level", by=(F.desc("n"),))
     here = F.struct("end", "last_line")
-    closed = leveled.withColumn(
+    # Most events are inside bodies; a level without a header has no unit to find.
+    headed = F.max(event == "header").over(throughout(backward))
+    closed = leveled.withColumn("headed", headed).where(
+        F.col("headed") | F.col("file").isNotNull()
+    ).withColumn(
         "match",
         F.last(F.when(event == "close", here), ignorenulls=True).over(before(backward)),
     ).withColumn(
@@ -287,7 +286,7 @@ def brace_spans(corpus: DataFrame) -> DataFrame:
                 event.isin("open", "semi", "scope"),
                 F.struct(
                     event.alias("event"),
-                    F.when(event == "open", F.coalesce("match", "whole"))
+                    F.when(event == "open", F.col("match"))
                     .when(event == "semi", here)
                     .alias("stop"),
                 ),
@@ -341,7 +340,7 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
     lines = explode_lines(
         corpus,
         "type",
-        source=blanked(F.col("content"), kind, INDENT_TYPES),
+        code=blanked(F.col("content"), kind, INDENT_TYPES),
         python=kind == "python",
         has_code=like(r"[^\s\x01\x02\x03]"),
         inside=F.startswith(piece, F.lit(QUOTED_MORE)),
@@ -377,16 +376,21 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
     at = lambda level, rank, event: F.struct(
         level.alias("level"), F.lit(rank).alias("rank"), event.alias("event")
     )
-    levels = F.transform(
-        F.sequence("indent", F.greatest("indent", "was_indent")),
-        lambda k: at(k, 1, F.when(k > F.col("indent"), "scope").otherwise("item")),
-    )
     none = F.array().cast(f"array<{'struct<level:int,rank:int,event:string>'}>")
+    levels = F.concat(
+        F.array(at(F.col("indent"), 1, F.lit("item"))),
+        F.when(
+            F.col("was_indent") > F.col("indent"),
+            F.transform(
+                F.sequence(F.col("indent") + 1, "was_indent"), lambda k: at(k, 1, F.lit("scope"))
+            ),
+        ).otherwise(none),
+    )
     header = F.array(at(F.col("indent"), 0, F.lit("header")))
     comment = F.array(at(F.col("indent"), 2, F.lit("comment")))
-    events = lines.withColumn(
-        "at",
-        F.explode(
+    events = (
+        lines.withColumn(
+            "ats",
             F.concat(
                 F.when(F.col("logical") & F.col("definition"), header).otherwise(none),
                 F.when(F.col("logical"), levels).otherwise(none),
@@ -395,9 +399,13 @@ def indent_spans(corpus: DataFrame) -> DataFrame:
                 F.when(
                     F.col("file").isNotNull(), F.array(at(F.lit(-1), 3, F.lit("file")))
                 ).otherwise(none),
-            )
-        ),
-    ).select("*", "at.*")
+            ),
+        )
+        .withColumn("at", F.explode_outer("ats"))
+        .select("*", "at.*")
+        .drop("ats", "at")
+        .where(F.col("level").isNotNull())
+    )
     event = F.col("event")
     backward = in_order("path", "level", by=(F.desc("n"), F.asc("rank")))
     stop = (

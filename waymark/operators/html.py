@@ -125,7 +125,8 @@ def page_blocks(corpus: DataFrame, comments: bool = False) -> DataFrame:
     )
     solid = ~F.col("blank")
     return (
-        tokens.select("*", F.explode(member).alias("m"))
+        tokens.withColumn("members", member)
+        .select("*", F.explode_outer("members").alias("m"))
         .select("*", "m.layer", "m.no")
         .groupBy("path", "layer", "no")
         .agg(

@@ -105,7 +105,8 @@ def markdown_blocks(corpus: DataFrame) -> DataFrame:
         )
     )
     blocks = (
-        lines.select(
+        lines.withColumn("members", member)
+        .select(
             "path",
             "file",
             "n",
@@ -116,7 +117,7 @@ def markdown_blocks(corpus: DataFrame) -> DataFrame:
             "end",
             "foreign",
             "table",
-            F.explode_outer(member).alias("m"),
+            F.explode_outer("members").alias("m"),
         )
         .groupBy("path", F.col("m.kind").alias("kind"), F.col("m.no").alias("no"))
         .agg(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.hashing import content_hash
+from waymark.functions.text import count_newlines
 from waymark.operators.filters import size_filter
 
 UNIT_COLUMNS = [
@@ -28,6 +29,10 @@ UNIT_COLUMNS = [
 ]
 
 
+# Fixed value: characters that are not part of a unit's text at its ends.
+BLANKS = " \t\r\n"
+
+
 def explode_pieces(
     corpus: DataFrame, pieces: Column, *keep: str, code: Column | None = None
 ) -> DataFrame:
@@ -38,28 +43,40 @@ def explode_pieces(
     placed = size_filter(corpus).repartition("path")
     if code is not None:
         placed = placed.withColumn("code", code)
-    # Hashed here, where it is done once per file and not once per unit.
-    whole_file = F.struct("content", "mtime", "ctime", content_hash("content").alias("hash"))
+    # The pieces are a column of their own: a generator over an expression Spark cannot
+    # compile would copy the whole file into the row of every piece. And the generator is an
+    # outer one: for an inner one Spark adds a filter that works the pieces out once more.
+    placed = placed.withColumn("pieces", pieces)
+    # Worked out here, where it is done once per file and not once per unit.
+    solid = F.rtrim("content", F.lit(BLANKS))
+    whole_file = F.struct(
+        "content",
+        "mtime",
+        "ctime",
+        content_hash("content").alias("hash"),
+        F.length(solid).alias("end"),
+        (count_newlines(solid) + 1).alias("last_line"),
+    )
     return placed.select(
-        "path", *keep, "content", "mtime", "ctime", F.posexplode(pieces).alias("pos", "piece")
+        "path", *keep, "content", "mtime", "ctime", F.posexplode_outer("pieces").alias("pos", "piece")
     ).select(
         "path",
         *keep,
         (F.col("pos") + 1).alias("n"),
         "piece",
         F.when(F.col("pos") == 0, whole_file).alias("file"),
-    )
+    ).where(F.col("n").isNotNull())
 
 
 def explode_lines(
-    corpus: DataFrame, *keep: str, source: Column | None = None, **features: Column
+    corpus: DataFrame, *keep: str, code: Column | None = None, **features: Column
 ) -> DataFrame:
-    """Lines of `source` (the content), reduced to `features` of `piece` before any window.
+    """Lines of `code` (else the content), reduced to `features` of `piece` before any window.
 
     Adds `start` and `end`, the 1-based character range of the line without its newline.
     """
-    source = F.col("content") if source is None else source
-    lines = explode_pieces(corpus, F.split(source, "\n"), *keep).select(
+    text = "content" if code is None else "code"
+    lines = explode_pieces(corpus, F.split(text, "\n"), *keep, code=code).select(
         "path",
         *keep,
         "n",
@@ -96,7 +113,10 @@ def running_offset(width: Column, spec: WindowSpec) -> Column:
 
 
 def span(kind, start_line, end_line, start, end, head_start=None, head_end=None) -> Column:
-    """A unit: lines, 1-based character range `[start, end]`, optional heading range."""
+    """A unit: lines, 1-based character range `[start, end]`, optional heading range.
+
+    A null end stands for the end of the file.
+    """
     nothing = F.lit(None).cast("int")
     return F.struct(
         kind.alias("kind"),
@@ -119,19 +139,21 @@ def cut_units(rows: DataFrame) -> DataFrame:
         F.first("file", ignorenulls=True).alias("file"), F.collect_list("unit").alias("units")
     )
 
-    def cut(start: str, end: str) -> Column:
-        text = F.substr("file.content", F.col(start), F.col(end) - F.col(start) + 1)
-        return F.btrim(text, F.lit(" \t\r\n"))
+    def cut(start: str, end: Column) -> Column:
+        text = F.substr("file.content", F.col(start), end - F.col(start) + 1)
+        return F.btrim(text, F.lit(BLANKS))
 
     return files.select("path", "file", F.explode("units").alias("u")).select(
         "path",
         "u.kind",
         "u.start_line",
-        "u.end_line",
+        F.coalesce("u.end_line", "file.last_line").alias("end_line"),
         F.col("file.hash").alias("file_hash"),
         F.col("file.mtime").alias("file_mtime"),
         F.col("file.ctime").alias("file_ctime"),
-        F.concat_ws("\n", cut("u.head_start", "u.head_end"), cut("u.start", "u.end")).alias(
-            "content"
-        ),
+        F.concat_ws(
+            "\n",
+            cut("u.head_start", F.col("u.head_end")),
+            cut("u.start", F.coalesce("u.end", "file.end")),
+        ).alias("content"),
     )

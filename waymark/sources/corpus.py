@@ -91,6 +91,16 @@ def corpus_from_table(
     )
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Rows of an input read by fewer tasks than there are cores, dealt out to all of them.
+
+    For a few large files ahead of per-row work such as embedding. An input that already
+    keeps the cluster busy is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_per_path(corpus: DataFrame) -> DataFrame:
     """One row per path: the newest, ties broken by content hash.
 

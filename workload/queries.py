@@ -317,7 +317,7 @@ def stream_sync(spark, sf_dir):
 
 @register
 def hashed_embedding(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents")
+    docs = t.table(spark, sf_dir, "documents", heavy=True)
     rows = embed(docs, hashed_provider(), text="text")
     return rows.select("doc_id", F.posexplode("vector").alias("bucket", "w")).select(
         "doc_id",
@@ -328,7 +328,7 @@ def hashed_embedding(spark, sf_dir):
 
 @register
 def tokens_billed(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents")
+    docs = t.table(spark, sf_dir, "documents", heavy=True)
     return token_total(embed(docs, hashed_provider(), text="text"))
 
 
@@ -346,7 +346,7 @@ def _strict_provider() -> BatchProvider:
 
 @register
 def embed_batches(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents")
+    docs = t.table(spark, sf_dir, "documents", heavy=True)
     rows = embed(docs, _strict_provider(), text="text")
     return rows.groupBy("status").agg(
         F.count("*").alias("n"),
@@ -356,7 +356,7 @@ def embed_batches(spark, sf_dir):
 
 @register
 def embed_token_total(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents")
+    docs = t.table(spark, sf_dir, "documents", heavy=True)
     return token_total(embed(docs, _strict_provider(), text="text"))
 
 

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from waymark.operators.extract import chunk_table
 from waymark.operators.filetypes import TABLE_RULES, assign_type
-from waymark.sources.corpus import corpus_from_table
+from waymark.session import materialise
+from waymark.sources.corpus import corpus_from_table, spread_input
 
 EXTENSIONS = ["rs", "py", "js", "ts", "go", "java", "c", "hpp", "rb", "sh", "md", "txt", "zig"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A supplied table; `heavy` when what follows is worth spreading over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_input(df) if heavy else df
 
 
 def doc_path(extension: str = "prose", folder: Column | None = None) -> Column:
@@ -76,12 +79,12 @@ MARKDOWN_STEPS = [
 
 def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rewritten as markdown: a heading, lists and paragraphs."""
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", heavy=True)
     text = F.col("html")
     for pattern, replacement in MARKDOWN_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
     path = F.concat(F.lit("/page_"), F.col("page_id").cast("string"), F.lit(".md"))
-    return assign_type(corpus_from_table(pages.withColumn("md", text), path, "md"), TABLE_RULES)
+    return _written(corpus_from_table(pages.withColumn("md", text), path, "md"))
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +93,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Even documents become an impl block of functions, odd ones indented functions, with
     braces, quotes and definitions where they must not count.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", heavy=True)
     quoted = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
     def brace(line: Column, i: Column) -> Column:
@@ -119,7 +122,12 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(
         F.lit("/src/doc_"), F.col("doc_id").cast("string"), F.when(even, ".rs").otherwise(".py")
     )
-    return assign_type(corpus_from_table(docs.withColumn("code", content), path, "code"))
+    return _written(corpus_from_table(docs.withColumn("code", content), path, "code"))
+
+
+def _written(corpus: DataFrame) -> DataFrame:
+    """A corpus written once: a filter on its size would work out its content again."""
+    return assign_type(materialise(corpus, "corpus"), TABLE_RULES)
 
 
 def chunks(corpus: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def chunks(corpus: DataFrame) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings table with the library's column names."""
-    return table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings", heavy=True).select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"
     )
 
