@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from waymark.operators import markdown as md
 from waymark.operators.html import BLOCKS, CONTAINERS, HEADINGS, LISTS, TOKEN
-from waymark.operators.roots import MARKERS
 from workload.tables import EXTENSIONS, MARKDOWN_STEPS
 
 NL = "chr(10)"
@@ -272,7 +271,6 @@ climbs AS (SELECT page_id, array_to_string(steps[1:i], '/') AS up
   FROM placed, unnest(range(1, len(steps))) AS u(i)),
 found AS (SELECT page_id, arg_max(up, length(up)) AS root FROM climbs JOIN marks ON up = marks.dir GROUP BY page_id)
 SELECT page_id, path, coalesce(root, dir) AS root FROM placed LEFT JOIN found USING (page_id)
--- {len(MARKERS)} marker names; the supplied urls hold none of them
 """,
     "prose_blocks": f"WITH {prose(SPACED)} SELECT {_UNIT.replace('md5(content) AS ', '')} FROM units",
     "chunk_ids": f"WITH {prose(SPACED)} SELECT id, path, file_hash, chunk_hash, mtime FROM units",
