@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from waymark.llm.packing import op2_packing
+from waymark.llm.simhash import op7_simhash
+from waymark.llm.token_file import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op2_packing,)}
+QUERIES = {f.__name__: f for f in (op2_packing, op6_token_files, op7_simhash)}
 ORACLES: dict[str, str] = {}
