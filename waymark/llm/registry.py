@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from waymark.llm.decontaminate import OP9_SQL, op9_decontamination
 from waymark.llm.packing import op2_packing
 from waymark.llm.simhash import op7_simhash
 from waymark.llm.token_file import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op2_packing, op6_token_files, op7_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op6_token_files, op7_simhash, op9_decontamination)}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
