@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from waymark.llm.decontaminate import OP9_SQL, op9_decontamination
 from waymark.llm.packing import op2_packing
+from waymark.llm.quality import op1_quality
 from waymark.llm.secrets import op4_secrets
 from waymark.llm.simhash import op7_simhash
 from waymark.llm.token_file import op6_token_files
+from waymark.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_secrets, op6_token_files, op7_simhash, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_secrets, op6_token_files, op7_simhash, op9_decontamination)}
 ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
