@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waymark.llm.chat import OP10_SQL, op10_chat
 from waymark.llm.cover_tree import OP8_SQL, op8_cosine_links
 from waymark.llm.decontaminate import OP9_SQL, op9_decontamination
 from waymark.llm.packing import op2_packing
@@ -12,5 +13,5 @@ from waymark.llm.token_file import op6_token_files
 from waymark.llm.toxicity import op3_toxicity
 from waymark.llm.warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_secrets, op5_warc, op6_token_files, op7_simhash, op8_cosine_links, op9_decontamination)}
-ORACLES: dict[str, str] = {"op8_cosine_links": OP8_SQL, "op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_secrets, op5_warc, op6_token_files, op7_simhash, op8_cosine_links, op9_decontamination, op10_chat)}
+ORACLES: dict[str, str] = {"op10_chat": OP10_SQL, "op8_cosine_links": OP8_SQL, "op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL}
