@@ -1,18 +1,30 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-The tokenizers library encodes a text as runs that never cross the space before a word, so
-the ids of a text are the ids of its space-separated words, each with its space, in a row.
+The tokenizers library encodes a text as runs that never cross a word's leading space or line
+break, so the ids of a text are those of its words, each with its leading character, in a row.
 Words repeat, so a worker asks the library once per distinct word and looks the rest up.
 This holds unless white space meets white space at a cut; such texts go to the library whole.
 """
 
 from __future__ import annotations
 
-from itertools import islice
+import json
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+# Words that the library is asked for at a time, and texts whose words are learned together.
+ASKED = 20_000
+LEARNED = 64
+# Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others, in
+# order, for the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _PRINTED} | {
+    b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)
+}
+BYTE_SPACE = chr(BYTE_LETTERS[32])
+MARKS = ".,;:!?|"
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -24,74 +36,102 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes lists of texts; keeps at most `cache_words` words."""
+    """Encodes lists of texts; keeps about `cache_words` words."""
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path or vocabulary_path())
         self._library.encode_special_tokens = True
-        self._size = self._library.get_vocab_size()
         self._limit = cache_words
-        self._first: dict[str, bytes | None] = {}
-        self._later: dict[str, bytes | None] = {}
+        # A word without its space, or with its line break, and its ids; None: not to be cut here.
+        self._known: dict[str, bytes | None] = {}
+        self._older: dict[str, bytes | None] = {}
+        (self._break,) = self._whole("\n").tolist()
+        # Letters are one run, and so is the mark behind them: the library's model can be asked
+        # for the run itself if nothing rewrites the text before the cut into runs.
+        cut = json.loads(self._library.to_str())
+        self._runs = not cut["normalizer"] and (cut["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self._tokenize = self._library.model.tokenize
+        self._marks = {m: self._whole(m).tobytes() for m in MARKS}
 
     @property
     def vocabulary(self) -> int:
-        return self._size
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        encoded = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
-
-    def _learn(self, words: set[str], known: dict[str, bytes | None], lead: str) -> None:
-        if len(known) + len(words) > self._limit:
-            for old in list(islice(known, len(known) // 2)):
-                del known[old]
-        safe = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        # None marks a word that white space touches: its text is encoded whole.
-        known.update(dict.fromkeys(words))
-        known.update(zip(safe, self._ask([lead + w for w in safe])))
+        return self._library.get_vocab_size()
+
+    def _whole(self, text: str) -> np.ndarray:
+        (encoded,) = self._library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoded.ids, dtype="<u4")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line breaks, encoded as the lines of one text."""
+        ids = self._whole("\n" + "\n".join(words))
+        cuts = (np.append(np.flatnonzero(ids == self._break), len(ids)) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
+
+    def _run(self, letters: str, lead: str) -> bytes:
+        """Ids of a run of letters, with the space before it if `lead` has one."""
+        if letters.isascii():
+            as_bytes = BYTE_SPACE + letters if lead else letters
+        else:
+            as_bytes = (lead + letters).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self._tokenize(as_bytes)]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Make the words known."""
+        spaced, broken = [], []
+        lead = np.array([self._break], dtype="<u4").tobytes()
+        for word in words:
+            body = word[1:] if word[:1] == "\n" else word
+            mark = body[-1:] if body[-1:] in self._marks else ""
+            letters = body[:-1] if mark else body
+            if self._runs and letters.isalpha():
+                key = word[:-1] if mark else word
+                ids = self._known.get(key)
+                if ids is None:
+                    ids = self._run(letters, " ") if body is word else lead + self._run(letters, "")
+                    self._known[key] = ids
+                if mark:
+                    self._known[word] = ids + self._marks[mark]
+            elif not body or body[0].isspace() or body[-1].isspace():
+                self._known[word] = None
+            else:
+                (spaced if body is word else broken).append(body)
+        for at in range(0, len(spaced), ASKED):
+            part = spaced[at : at + ASKED]
+            self._known.update(zip(part, self._ids([" " + w for w in part])))
+        for at in range(0, len(broken), ASKED):
+            part = broken[at : at + ASKED]
+            self._known.update(("\n" + w, lead + x) for w, x in zip(part, self._ids(part)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        found: list[bytes | None] = []
-        again: list[tuple[int, list[str]]] = []
-        new_first: set[str] = set()
-        new_later: set[str] = set()
-        first, later = self._first, self._later
-        for k, text in enumerate(texts):
-            words = text.split(" ")
-            try:
-                head = first[words[0]]
-                found.append(b"".join([head, *map(later.__getitem__, words[1:])]))
-            except (KeyError, TypeError):
-                found.append(None)
-                again.append((k, words))
-                if words[0] not in first:
-                    new_first.add(words[0])
-                new_later.update(w for w in set(words[1:]) if w not in later)
-        if again:
-            now_first = self._with(first, new_first, {w[0] for _, w in again}, "")
-            now_later = self._with(later, new_later, {x for _, w in again for x in w[1:]}, " ")
-            whole = []
-            for k, words in again:
+        out = []
+        for begin in range(0, len(texts), LEARNED):
+            cut = []
+            distinct: set[str] = set()
+            for text in texts[begin : begin + LEARNED]:
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = "\n" + words[0]
+                distinct.update(words)
+                cut.append(words)
+            known = self._known
+            missing = distinct.difference(known)
+            if missing:
+                # Words of the last generation that are still in use live on.
+                older = self._older
+                still = {w: older[w] for w in missing if w in older}
+                known.update(still)
+                self._learn(missing.difference(still))
+            for k, words in enumerate(cut, begin):
                 try:
-                    found[k] = b"".join([now_first[words[0]], *map(now_later.__getitem__, words[1:])])
+                    out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")[1:])
                 except TypeError:
-                    whole.append(k)
-            for k, ids in zip(whole, self._ask([texts[k] for k in whole])):
-                found[k] = ids
-        return [np.frombuffer(x, dtype="<u4") for x in found]
-
-    def _with(
-        self, known: dict[str, bytes | None], new: set[str], needed: set[str], lead: str
-    ) -> dict[str, bytes | None]:
-        """A dictionary that has all `needed` words, though `known` may let old ones go."""
-        held = {w: known[w] for w in needed - new}
-        self._learn(new, known, lead)
-        held.update((w, known[w]) for w in new)
-        return held
+                    out.append(self._whole(texts[k]))
+            if len(known) > self._limit // 2:
+                self._known, self._older = {}, known
+        return out
 
 
 def text_list(column) -> list[str]:
