@@ -39,7 +39,7 @@ _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 _STEP = 0x9E3779B97F4A7C15 | 1
 _TABLE_BITS = 20
 MATCHES = "array<struct<item_id: string, doc_word: long, item_word: long, n_words: long>>"
-HITS = f"doc_id long, n_words long, n_hit long, item_ids array<string>, matches {MATCHES}"
+HITS = f"n_words long, n_hit long, item_ids array<string>, matches {MATCHES}"
 
 
 class _Powers:
@@ -241,7 +241,7 @@ def _blocks(spark: SparkSession, items: DataFrame, window: int, block_bytes: int
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False
 ) -> DataFrame:
     """Words of `docs` (`doc_id`, `text`) inside verbatim windows of `items` (`item_id`, `text`).
 
@@ -250,7 +250,7 @@ def find_contamination(
     word in document and item, number of words. A null or empty text has no words; an item
     without words is found nowhere; an item of null id counts as hits but is not listed;
     repeated rows each give a row; an empty table of either kind gives rows without hits or
-    none. Other columns are ignored.
+    none. Other columns are ignored; with `keep` the whole row comes along as the struct `doc`.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -266,10 +266,10 @@ def find_contamination(
         if begin < len(texts):
             yield begin, len(texts)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode().translate(_LOWER_BYTES) for t in text_list(batch["text"])]
-            names = batch["doc_id"].astype("Int64")
+            texts = [t.encode().translate(_LOWER_BYTES) for t in text_list(batch)]
+            parts = []
             for begin, end in shards(texts):
                 hashes, owner = word_hashes(texts[begin:end])
                 count = end - begin
@@ -287,9 +287,8 @@ def find_contamination(
                         matches[doc].append(
                             (ids[0] if ids else None, word - int(starts[doc]), item_word, n)
                         )
-                yield pd.DataFrame(
+                parts.append(pd.DataFrame(
                     {
-                        "doc_id": names[begin:end].reset_index(drop=True),
                         "n_words": np.diff(starts),
                         "n_hit": np.bincount(owner[hit], minlength=count)[:count],
                         "item_ids": [sorted(x) for x in listed],
@@ -298,10 +297,12 @@ def find_contamination(
                             for x in matches
                         ],
                     }
-                )
+                ))
+            yield pd.concat(parts, ignore_index=True)
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return read.mapInPandas(search, HITS)
+    found = F.pandas_udf(search, HITS)(F.col("text").cast("string")).alias("found")
+    lead = F.struct("*").alias("doc") if keep else F.col("doc_id").cast("long")
+    return docs.select(lead, found).select("doc" if keep else "doc_id", "found.*")
 
 
 def contaminated(share: int = SHARE):

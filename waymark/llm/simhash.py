@@ -24,7 +24,7 @@ SEED = 42
 RADIUS = 2
 # Buckets up to this size are compared pair by pair; larger ones through midpoints.
 PAIRED = 64
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # Hashes whose bits are counted at a time.
 _COUNTED = 1 << 15
 
@@ -43,7 +43,7 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     """XXH64 of every run of `size` words (all words, if fewer), repeats included."""
     from xxhash import xxh64_intdigest as xxh64
 
-    words = text.encode().translate(_LOWER).split()
+    words = text.encode().translate(LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
