@@ -116,11 +116,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
     stored = spark.read.schema(BLOCKS).parquet(path)
     sizes = stored.groupBy("shard").agg(F.sum("n_ids").alias("own"))
-    # One row per shard of the file set: a handful of numbers each.
+    # One row of two numbers per shard of the file set, so its broadcast is bounded by the
+    # number of write tasks.
     bases = sizes.select(
         "shard", F.expr("sum(own) OVER (ORDER BY shard) - own AS shard_start")
     )
-    placed = stored.join(bases, "shard").select(
+    placed = stored.join(F.broadcast(bases), "shard").select(
         (F.col("shard_start") + F.col("ids_before")).alias("block_start"), "doc_ids", "data"
     )
 
