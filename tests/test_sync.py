@@ -8,8 +8,8 @@ from waymark.operators.filetypes import assign_type
 from waymark.plans.sync import rebuild, sync
 from waymark.schema import INDEX_COLUMNS
 from waymark.session import fresh_path
-from waymark.sources.index import IndexStore, keyset_page, upload_projection
-from waymark.streaming.continuous import continuous_sync
+from waymark.sources.index import IndexStore, StaleVersion, keyset_page, upload_projection
+from waymark.streaming.continuous import batch_token, continuous_sync, stream_identity
 
 # (path, file_hash, chunk_hash) rows of the two sides, and the changed paths.
 CASES = {
@@ -222,6 +222,103 @@ def test_continuous_sync(spark, store, make_corpus):
     # A replayed batch publishes nothing.
     replay = sync(
         store, "n", corpus_of(make_corpus, {"x.rs": fn("x")}), provider, ("rust",), partial=True,
-        token="batch-0",
+        token=batch_token(stream_identity(spark, checkpoint), 0),
     )
     assert not replay.changed and store.version("n") == version
+
+
+# --- sync state is neither lost nor repeated ---
+
+
+@pytest.fixture
+def arrivals(spark, store, make_corpus):
+    """(arrive(files, second), drain(checkpoint)) of a stream into the store."""
+    folder = fresh_path(spark, "arrivals")
+
+    def arrive(files, second):
+        rows = make_corpus(files).withColumn("mtime", F.timestamp_seconds(F.lit(second)))
+        rows.coalesce(1).write.mode("append").parquet(folder)
+
+    def drain(checkpoint, provider=hashed_provider(16)):
+        stream = spark.readStream.schema(
+            "path string, content string, size long, mtime timestamp, ctime timestamp"
+        ).parquet(folder)
+        continuous_sync(
+            stream, store, "n", provider, checkpoint, ("rust",), True, add_types=assign_type
+        ).awaitTermination()
+
+    return arrive, drain
+
+
+def test_a_second_stream_is_no_replay(spark, store, arrivals):
+    arrive, drain = arrivals
+    arrive({"a.rs": fn("a")}, 1)
+    drain(fresh_path(spark, "one"))
+    arrive({"b.rs": fn("b")}, 1)
+    drain(fresh_path(spark, "other"))
+    assert index_paths(store, "n") == ["a.rs", "b.rs"]
+
+
+def test_late_arrivals_do_not_win(spark, store, arrivals):
+    arrive, drain = arrivals
+    checkpoint = fresh_path(spark, "late")
+    arrive({"a.rs": fn("new"), "blank.rs": "\n"}, 2000)
+    drain(checkpoint)
+    arrive({"a.rs": fn("old"), "blank.rs": fn("was")}, 1000)
+    drain(checkpoint)
+    times = {r.t for r in store.read("n").select(F.unix_timestamp("file_mtime").alias("t")).collect()}
+    assert times == {2000} and index_paths(store, "n") == ["a.rs"]
+
+
+def test_retries_survive_other_batches(spark, store, make_corpus):
+    def flaky(texts, kind):
+        if any("bad" in t for t in texts):
+            raise BatchTooLarge("no")
+        return Response([[1.0] for _ in texts])
+
+    fine = BatchProvider("p", lambda texts, kind: Response([[2.0] for _ in texts]))
+    first = {"a.rs": fn("good") + fn("bad")}
+    second = {"b.rs": fn("other")}
+    sync(store, "n", corpus_of(make_corpus, first), BatchProvider("p", flaky), ("rust",), partial=True)
+    sync(store, "n", corpus_of(make_corpus, second), BatchProvider("p", flaky), ("rust",), partial=True)
+    assert [r.path for r in store.retry_paths("n").collect()] == ["a.rs"]
+    store.compact("n")
+    report = sync(store, "n", corpus_of(make_corpus, first | second), fine, ("rust",))
+    assert report.statuses == {"ok": 1} and store.retry_paths("n").count() == 0
+    assert index_paths(store, "n") == ["a.rs", "a.rs", "b.rs"]
+
+
+def test_still_failing_units_publish_nothing_new(store, make_corpus):
+    def down(texts, kind):
+        raise ValueError("down")
+
+    corpus = corpus_of(make_corpus, {"a.rs": fn("a")})
+    first = sync(store, "n", corpus, BatchProvider("p", down), ("rust",))
+    again = sync(store, "n", corpus, BatchProvider("p", down), ("rust",))
+    assert (first.version, again.version, again.changed) == (1, 1, False)
+
+
+def test_units_without_a_vector_are_done(store, make_corpus):
+    corpus = corpus_of(make_corpus, {"a.rs": "fn f() { 1 }\n", "blank.rs": "// 1\n", "empty.rs": "\n"})
+    provider = BatchProvider("p", lambda texts, kind: Response([None for _ in texts]))
+    first = sync(store, "n", corpus, provider, ("rust",))
+    assert first.version == 1 and not first.changed and set(first.statuses) == {"no_vector"}
+    for _ in range(2):
+        assert sync(store, "n", corpus, provider, ("rust",)) == (1, False, 0, 0, {})
+
+
+def test_a_removed_file_comes_back(store, make_corpus):
+    provider = hashed_provider(16)
+    both, one = {"a.rs": fn("a"), "b.rs": fn("b")}, {"a.rs": fn("a")}
+    for files in (both, one, both):
+        assert sync(store, "n", corpus_of(make_corpus, files), provider, ("rust",)).changed
+        assert index_paths(store, "n") == sorted(files)
+
+
+def test_publish_on_a_stale_diff_fails(store, rows):
+    times = F.lit(None).cast("timestamp")
+    chunk = upload_projection(rows([("a", 1, 1)]).withColumn("file_mtime", times).withColumn("file_ctime", times))
+    store.publish("n", chunk, expected=None)
+    with pytest.raises(StaleVersion):
+        store.publish("n", chunk, expected=None)
+    assert store.publish("n", chunk, expected=1) == 2 and store.read("n").count() == 1

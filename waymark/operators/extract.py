@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.code import brace_units, indent_units
 from waymark.operators.filetypes import BRACE_TYPES, INDENT_TYPES, SUPPORTED_TYPES
+from waymark.operators.filters import MAX_BYTES, size_filter
 from waymark.operators.html import page_units
 from waymark.operators.identity import identify
 from waymark.operators.markdown import markdown_units
@@ -23,12 +24,18 @@ _EXTRACTORS = (
 )
 
 
-def extract_units(corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES) -> DataFrame:
+def extract_units(
+    corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """One row per unit; files that give none disappear.
 
+    Files over `max_bytes` are left out (`left_out` lists them): a file's pieces meet in one
+    task, so the bound is what its memory has to hold.
+
     Each kind of file has its own plan over its own rows, so name the `types` a corpus can
     hold when they are few: every plan left out is one scan less.
     """
+    corpus = size_filter(corpus, max_bytes)
     plans = []
     for group, extractor in _EXTRACTORS:
         chosen = [t for t in group if t in types]
@@ -39,6 +46,20 @@ def extract_units(corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES) -
     return reduce(DataFrame.unionByName, plans)
 
 
-def chunk_table(corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES) -> DataFrame:
+def chunk_table(
+    corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """The chunk table of a typed corpus."""
-    return identify(extract_units(corpus, types))
+    return identify(extract_units(corpus, types, max_bytes))
+
+
+def left_out(
+    corpus: DataFrame, types: tuple[str, ...] = SUPPORTED_TYPES, max_bytes: int = MAX_BYTES
+) -> DataFrame:
+    """`path, size, reason` of files that `extract_units` does not look at."""
+    reason = (
+        F.when(F.coalesce(F.col("size"), F.lit(0)) <= 0, "empty")
+        .when(F.col("size") > max_bytes, "too_large")
+        .when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "type")
+    )
+    return corpus.select("path", "size", reason.alias("reason")).where("reason IS NOT NULL")

@@ -2,20 +2,22 @@
 
 Every extractor has the same shape. The typed corpus is shuffled by path once, while each
 file is still one compact row; its pieces (lines, tags, code events) are exploded after
-that, so every window keyed by path finds its rows in place. Files are at most a megabyte
-(`filters.MAX_BYTES`), which bounds each window. The file itself rides on its first piece
+that, so every window keyed by path finds its rows in place. Callers bound the size of files
+(`extract.extract_units`), which bounds each window. The file itself rides on its first piece
 and meets the finished spans again in one aggregation per path, so nothing is read or
-shuffled a second time.
+shuffled a second time. All spans of a file are cut at once, by index and not by counting
+characters from its start, so the work grows with the file and not with its square.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.hashing import content_hash
 from waymark.functions.text import count_newlines
-from waymark.operators.filters import size_filter
 
 UNIT_COLUMNS = [
     "path",
@@ -40,7 +42,7 @@ def explode_pieces(
 
     `code`, a rewriting of the content that `pieces` may use, is worked out after the shuffle.
     """
-    placed = size_filter(corpus).repartition("path")
+    placed = corpus.where(F.col("size") > 0).repartition("path")
     if code is not None:
         placed = placed.withColumn("code", code)
     # The pieces are a column of their own: a generator over an expression Spark cannot
@@ -132,28 +134,43 @@ def span(kind, start_line, end_line, start, end, head_start=None, head_end=None)
 def cut_units(rows: DataFrame) -> DataFrame:
     """`path`, `file`, `unit` rows (either may be null) to units with their text.
 
-    Blanks around a unit are not part of its text. Units are cut one row at a time after
-    the explode: their texts overlap, so all of a file's units may be far larger than it.
+    Blanks around a unit are not part of its text.
     """
     files = rows.groupBy("path").agg(
         F.first("file", ignorenulls=True).alias("file"), F.collect_list("unit").alias("units")
     )
 
-    def cut(start: str, end: Column) -> Column:
-        text = F.substr("file.content", F.col(start), end - F.col(start) + 1)
-        return F.btrim(text, F.lit(BLANKS))
+    def ends(name: str, default: Column | None = None) -> Column:
+        value = lambda u: u[name] if default is None else F.coalesce(u[name], default)
+        return F.transform("units", value)
 
-    return files.select("path", "file", F.explode("units").alias("u")).select(
+    texts = cut_texts(
+        "file.content", ends("head_start"), ends("head_end"), ends("start"), ends("end", F.col("file.end"))
+    )
+    # One column, so that the explode does not work the texts out for each of them.
+    cut = files.withColumn("cut", F.arrays_zip("units", texts.alias("text")))
+    return cut.select("path", "file", F.explode("cut").alias("c")).select(
         "path",
-        "u.kind",
-        "u.start_line",
-        F.coalesce("u.end_line", "file.last_line").alias("end_line"),
+        "c.units.kind",
+        "c.units.start_line",
+        F.coalesce("c.units.end_line", "file.last_line").alias("end_line"),
         F.col("file.hash").alias("file_hash"),
         F.col("file.mtime").alias("file_mtime"),
         F.col("file.ctime").alias("file_ctime"),
-        F.concat_ws(
-            "\n",
-            cut("u.head_start", F.col("u.head_end")),
-            cut("u.start", F.coalesce("u.end", "file.end")),
-        ).alias("content"),
+        F.col("c.text").alias("content"),
     )
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cut_texts(
+    content: pd.Series, head_start: pd.Series, head_end: pd.Series, start: pd.Series, end: pd.Series
+) -> pd.Series:
+    """Per file the texts of its spans: the heading's, if any, above the unit's own."""
+    out = []
+    for text, *spans in zip(content, head_start, head_end, start, end):
+        units = []
+        for a, b, c, d in zip(*[[None if x is None or x != x else int(x) for x in s] for s in spans]):
+            own = [text[x - 1 : y].strip(BLANKS) for x, y in ((a, b), (c, d)) if x is not None and y is not None]
+            units.append("\n".join(own))
+        out.append(units)
+    return pd.Series(out, dtype=object)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.diff import rows_on_paths, stale_paths, status_counts, upload_set
-from waymark.operators.embed import OK, BatchProvider, ColumnProvider, embed
+from waymark.operators.embed import FAILED, OK, SHORT, BatchProvider, ColumnProvider, embed
 from waymark.operators.extract import chunk_table
+from waymark.operators.filters import MAX_BYTES
 from waymark.operators.filetypes import SUPPORTED_TYPES
 from waymark.operators.identity import fingerprints
 from waymark.session import materialise
@@ -33,38 +34,41 @@ def sync(
     by: str = "id",
     partial: bool = False,
     token: str | None = None,
+    max_bytes: int = MAX_BYTES,
 ) -> SyncReport:
     """Publish a version of the index that matches a typed corpus.
 
-    Only files whose fingerprint the index does not hold, or that had units fail last time,
-    are split into units; the ids of those are compared with the index, and only new ones
-    are embedded. What was embedded is written before it is published, so a retry of the
-    write does not embed again. With `partial` the corpus holds some paths only and rows
-    on other paths stay (a stream's arrivals); otherwise they are deleted.
+    Only files whose fingerprint is not known, or that had units fail, are split into units;
+    the ids of those are compared with the index, and only new ones are embedded. A file is
+    known once it was handled, whether or not it gave a unit with a vector. What was embedded
+    is written before it is published, so a retry of the write does not embed again.
+    With `partial` the corpus holds some paths only and rows on other paths stay (a stream's
+    arrivals); otherwise they are deleted. `changed` says that rows were added or deleted.
     """
     replayed = None if token is None else store.published(namespace, token)
     if replayed is not None:
         return SyncReport(replayed, False, 0, 0, {})
-    index = store.read(namespace)
-    first = store.version(namespace) is None
+    at = store.version(namespace)
+    index, first = store.read(namespace, at), at is None
     prints = fingerprints(corpus)
     if first:
-        changed_corpus = corpus
+        changed_corpus, new_files, old_retry = corpus, materialise(prints, "files"), None
     else:
-        known = index.select("path", "file_hash").distinct()
-        changed = (
-            prints.select("path", "file_hash")
-            .join(known, ["path", "file_hash"], "left_anti")
-            .select("path")
-            .unionByName(store.retry_paths(namespace))
-            .distinct()
-        )
+        files, old_retry = store.files(namespace, at), store.retry_paths(namespace, at)
+        known = index.select("path", "file_hash").unionByName(files.select("path", "file_hash"))
+        new_files = prints.join(known.distinct(), ["path", "file_hash"], "left_anti")
+        if not partial:
+            removed = files.select("path").join(prints.select("path"), "path", "left_anti")
+            nothing = [F.lit(None).cast(f).alias(c) for c, f in (("file_hash", "string"), ("file_mtime", "timestamp"))]
+            new_files = new_files.drop("file_ctime").unionByName(removed.select("path", *nothing))
+        new_files = materialise(new_files, "files")
         # Written, so that its size is known when the corpus is joined: usually few paths,
         # and then no source text is shuffled to find them.
-        changed_corpus = corpus.join(materialise(changed, "changed"), "path", "left_semi")
+        changed = new_files.where("file_hash IS NOT NULL").select("path").unionByName(old_retry)
+        changed_corpus = corpus.join(materialise(changed.distinct(), "changed"), "path", "left_semi")
 
-    uploads = upload_set(chunk_table(changed_corpus, types), index)
-    embedded = materialise(embed(uploads.dropDuplicates(["id"]), provider), "embedded")
+    uploads = upload_set(chunk_table(changed_corpus, types, max_bytes), index)
+    embedded = materialise(embed(uploads.dropDuplicates(["path", "id"]), provider), "embedded")
     if first:
         deletes, n_delete = None, 0
     else:
@@ -81,18 +85,32 @@ def sync(
 
     statuses = {row.status: row.n for row in status_counts(embedded).collect()}
     n_upload = sum(statuses.values())
-    failed = n_upload - statuses.get(OK, 0)
-    had_retries = not first and not store.retry_paths(namespace).isEmpty()
-    changed_any = bool(n_upload or n_delete)
-    if not changed_any and not had_retries and not first:
-        return SyncReport(store.version(namespace), False, 0, 0, {})
+    changed_any = bool(statuses.get(OK) or n_delete)
+    # A unit that can have no vector is done; one that failed is tried again, as are those of
+    # paths that did not come this time.
+    retry = embedded.where(F.col("status").isin(FAILED, SHORT)).select("path").distinct()
+    retry_moved = bool(statuses.get(FAILED) or statuses.get(SHORT))
+    if old_retry is not None and not old_retry.isEmpty():
+        if partial:
+            waiting = old_retry.join(prints.select("path"), "path", "left_anti")
+            retry = retry.unionByName(waiting).distinct()
+        retry = materialise(retry, "retry")
+        retry_moved = not (
+            retry.join(old_retry, "path", "left_anti").isEmpty()
+            and old_retry.join(retry, "path", "left_anti").isEmpty()
+        )
+    has_files = not new_files.isEmpty()
+    if not (changed_any or retry_moved or has_files or first):
+        return SyncReport(at, False, n_upload, 0, statuses)
     version = store.publish(
         namespace,
         embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
         deletes if n_delete else None,
-        retry=embedded.where(F.col("status") != OK) if failed else None,
+        retry=retry if retry_moved else None,
         token=token,
         replace=by == "path",
+        files=new_files if has_files else None,
+        expected=at,
     )
     return SyncReport(version, changed_any, n_upload, n_delete, statuses)
 
@@ -103,15 +121,18 @@ def rebuild(
     corpus: DataFrame,
     provider: ColumnProvider | BatchProvider,
     types: tuple[str, ...] = SUPPORTED_TYPES,
+    max_bytes: int = MAX_BYTES,
 ) -> SyncReport:
     """Drop a namespace's rows and index the whole corpus again, in one version."""
-    embedded = materialise(embed(chunk_table(corpus, types), provider), "embedded")
+    units = chunk_table(corpus, types, max_bytes).dropDuplicates(["path", "id"])
+    embedded = materialise(embed(units, provider), "embedded")
     statuses = {row.status: row.n for row in status_counts(embedded).collect()}
-    failed = embedded.where(F.col("status") != OK)
+    failed = embedded.where(F.col("status").isin(FAILED, SHORT))
     version = store.publish(
         namespace,
         embedded.where(F.col("status") == OK),
-        retry=failed if set(statuses) - {OK} else None,
+        retry=failed if statuses.get(FAILED) or statuses.get(SHORT) else None,
+        files=fingerprints(corpus),
         base=True,
     )
     return SyncReport(version, True, sum(statuses.values()), 0, statuses)

@@ -4,7 +4,10 @@ A sync writes only what it changes: a segment of new rows and one of dropped ids
 hides rows of earlier segments, so a read is the union of the row segments minus dropped
 ids, and its cost is bounded by compacting into one base segment now and then. Readers pin
 a version; a segment no commit names is never read, which makes a failed write harmless.
-One writer per namespace at a time: the commit file of a version can be created once only.
+A commit is written aside and renamed into place, which fails if the version exists; a writer
+that names the version its diff was made of also fails when another was published since.
+Fingerprints of files that were handled are kept apart from rows, so that a file without any
+stored unit is known too; a null hash marks a file that is gone.
 """
 
 from __future__ import annotations
@@ -21,6 +24,16 @@ from waymark.schema import INDEX, INDEX_COLUMNS, INDEX_READ_COLUMNS
 
 _ROWS = T.StructType(INDEX.fields + [T.StructField("seq", T.LongType())])
 _DROPS = T.StructType([T.StructField("id", T.StringType()), T.StructField("seq", T.LongType())])
+_FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("file_hash", T.StringType()),
+        T.StructField("file_mtime", T.TimestampType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+# No version is expected: whatever is the latest will do.
+ANY = object()
 _PATHS = T.StructType([T.StructField("path", T.StringType())])
 
 
@@ -31,6 +44,11 @@ class Commit(NamedTuple):
     rows: str | None
     drops: str | None
     retry: str | None
+    files: str | None = None
+
+
+class StaleVersion(Exception):
+    """Another version was published since the one a change was made of."""
 
 
 class IndexStore:
@@ -75,9 +93,25 @@ class IndexStore:
             )
         return table.select(*columns)
 
-    def retry_paths(self, namespace: str) -> DataFrame:
-        """Paths with units the latest sync could not embed."""
-        commits = self._commits(namespace)
+    def files(self, namespace: str, version: int | None = None) -> DataFrame:
+        """`path, file_hash, file_mtime` of the files that were handled, the latest of each path."""
+        live = self._live(self._commits(namespace), version)
+        at = [c.files for c in live if c.files]
+        if not at:
+            return self.spark.createDataFrame([], _FILES).drop("seq")
+        latest = F.max_by(F.struct("file_hash", "file_mtime"), "seq").alias("f")
+        table = self.spark.read.schema(_FILES).parquet(*at).groupBy("path").agg(latest)
+        return table.where("f.file_hash IS NOT NULL").select("path", "f.file_hash", "f.file_mtime")
+
+    def stored_times(self, namespace: str) -> DataFrame:
+        """`path, stored_mtime`: the newest modification time known of each path."""
+        rows = self.read(namespace).select("path", "file_mtime")
+        both = rows.unionByName(self.files(namespace).select("path", "file_mtime"))
+        return both.groupBy("path").agg(F.max("file_mtime").alias("stored_mtime"))
+
+    def retry_paths(self, namespace: str, version: int | None = None) -> DataFrame:
+        """Paths with units that could not be embedded yet."""
+        commits = [c for c in self._commits(namespace) if version is None or c.seq <= version]
         if not commits or not commits[-1].retry:
             return self.spark.createDataFrame([], _PATHS)
         return self.spark.read.schema(_PATHS).parquet(commits[-1].retry)
@@ -100,6 +134,8 @@ class IndexStore:
         token: str | None = None,
         base: bool = False,
         replace: bool = True,
+        files: DataFrame | None = None,
+        expected: object = ANY,
     ) -> int:
         """Publish a new version: delete `delete_ids`, then upsert rows by id.
 
@@ -107,12 +143,18 @@ class IndexStore:
         drop of rows an upsert overwrites, for upserts known to be absent from the index.
         With `base` the new version starts from nothing. A `token` already published is a
         replay and changes nothing. Vectors are written, content and distance never are.
+        The retry list and the files of earlier versions stay unless others are given (or, with
+        `base`, are cleared). `expected` is the version this change was made of, None for no
+        version: if another is the latest, StaleVersion is raised and nothing is published.
         """
         replayed = None if token is None else self.published(namespace, token)
         if replayed is not None:
             return replayed
         commits = self._commits(namespace)
-        seq = (commits[-1].seq if commits else 0) + 1
+        last = commits[-1].seq if commits else None
+        if expected is not ANY and expected != last:
+            raise StaleVersion(f"made of version {expected}, but {last} is the latest")
+        seq = (last or 0) + 1
         rows_at = drops_at = None
         if upserts is not None:
             unique = upserts.select(*INDEX_COLUMNS).dropDuplicates(["id"])
@@ -127,10 +169,14 @@ class IndexStore:
                 drops_at = self._write(
                     namespace, "drops", ids.distinct().withColumn("seq", F.lit(seq))
                 )
-        retry_at = None
+        files_at = None
+        if files is not None:
+            known = files.select("path", "file_hash", "file_mtime").withColumn("seq", F.lit(seq))
+            files_at = self._write(namespace, "files", known)
+        retry_at = None if base or not commits else commits[-1].retry
         if retry is not None:
             retry_at = self._write(namespace, "retry", retry.select("path").distinct())
-        self._commit(namespace, Commit(seq, token, base, rows_at, drops_at, retry_at))
+        self._commit(namespace, Commit(seq, token, base, rows_at, drops_at, retry_at, files_at))
         return seq
 
     def reset(self, namespace: str) -> int | None:
@@ -140,14 +186,17 @@ class IndexStore:
         return self.publish(namespace, base=True)
 
     def compact(self, namespace: str) -> int | None:
-        """Rewrite the live rows as one base segment; keeps unfinished retries."""
-        if self.version(namespace) is None:
+        """Rewrite the live rows as one base segment; keeps unfinished retries and known files."""
+        version = self.version(namespace)
+        if version is None:
             return None
         return self.publish(
             namespace,
-            self.read(namespace, vectors=True),
-            retry=self.retry_paths(namespace),
+            self.read(namespace, version, vectors=True),
+            retry=self.retry_paths(namespace, version),
+            files=self.files(namespace, version),
             base=True,
+            expected=version,
         )
 
     def segments(self, namespace: str) -> int:
@@ -178,6 +227,7 @@ class IndexStore:
         if not fs.exists(folder):
             return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+        names = [n for n in names if n.isdigit()]
         out = []
         for name in names:
             stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
@@ -190,12 +240,20 @@ class IndexStore:
 
     def _commit(self, namespace: str, commit: Commit) -> None:
         jvm, folder, fs = self._folder(namespace)
-        # Fails when another writer has published this version.
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{commit.seq:012d}"), False)
+        file = jvm.org.apache.hadoop.fs.Path
+        aside = file(folder, f"_{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
         try:
             stream.write(bytearray(json.dumps(commit._asdict()).encode()))
         finally:
             stream.close()
+        # A reader never meets half a commit, and the rename fails when another writer has
+        # published this version.
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(
+            fs.makeQualified(aside), fs.makeQualified(file(folder, f"{commit.seq:012d}")), plain
+        )
 
 
 def keyset_page(df: DataFrame, after: str | int | None, size: int, key: str = "id") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waymark.operators.embed import BatchProvider, ColumnProvider
@@ -15,6 +18,38 @@ from waymark.sources.index import IndexStore
 COMPACT_AFTER = 64
 
 
+def stream_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of the stream that a checkpoint folder belongs to, made with the folder.
+
+    Batch numbers begin again with every checkpoint, so they only name a batch together with it.
+    """
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(checkpoint, "stream-identity")
+    fs = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(file):
+        stream = fs.create(file, False)
+        try:
+            stream.write(bytearray(uuid.uuid4().hex.encode()))
+        finally:
+            stream.close()
+    stream = fs.open(file)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def batch_token(identity: str, batch_id: int) -> str:
+    return f"{identity}-batch-{batch_id}"
+
+
+def not_older(arrivals: DataFrame, store: IndexStore, namespace: str) -> DataFrame:
+    """Arrivals whose modification time is not before the one stored for their path."""
+    stored = store.stored_times(namespace)
+    late = F.coalesce(F.col("mtime") < F.col("stored_mtime"), F.lit(False))
+    return arrivals.join(stored, "path", "left").where(~late).drop("stored_mtime")
+
+
 def continuous_sync(
     arrivals: DataFrame,
     store: IndexStore,
@@ -29,18 +64,21 @@ def continuous_sync(
     """Start a stream of corpus rows into an index.
 
     Each micro-batch keeps the newest row per path, replaces the index rows of those paths
-    and publishes one version under the batch's token, so a replayed batch changes nothing.
+    and publishes one version under the stream's and the batch's token, so a replayed batch
+    changes nothing. Arrivals older than what is stored of their path are left out.
     Removed sources do not arrive; a batch sync of the whole corpus takes them out.
     `add_types` turns corpus rows into typed ones when the stream's are not.
     """
 
+    identity = stream_identity(arrivals.sparkSession, checkpoint)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_path(batch)
+        newest = not_older(latest_per_path(batch), store, namespace)
         typed = newest if add_types is None else add_types(newest)
         typed = typed.persist()
         try:
             sync(
-                store, namespace, typed, provider, types, partial=True, token=f"batch-{batch_id}"
+                store, namespace, typed, provider, types, partial=True, token=batch_token(identity, batch_id)
             )
         finally:
             typed.unpersist()
