@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Decimals of distances as shown, and as ranked: enough to tell any two neighbours apart that
+# double precision does, and few enough that the order of summing does not show.
 DISTANCE_DECIMALS = 6
+RANKED_DECIMALS = 12
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.functions.vectors import DISTANCE_DECIMALS
+from waymark.functions.vectors import RANKED_DECIMALS
 from waymark.operators.knn import DEFAULT_K, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUERIES, knn, rank_hits
 from waymark.session import materialise
 
@@ -48,7 +48,7 @@ def pair_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     dots = np.einsum("ij,ij->i", x, y)
     norms = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
     with np.errstate(invalid="ignore", divide="ignore"):
-        return pd.Series(np.where(norms > 0, np.round(1 - dots / norms, DISTANCE_DECIMALS), None))
+        return pd.Series(np.where(norms > 0, np.round(1 - dots / norms, RANKED_DECIMALS), None))
 
 
 def ann(

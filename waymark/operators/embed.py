@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from waymark.functions.vectors import hashed_embedding, tokens
 
-# Fixed value: rows in one request.
+# Fixed value: rows in one request, unless a provider takes another number.
 BATCH_ROWS = 256
 
 OK, NO_VECTOR, SHORT, FAILED = "ok", "no_vector", "short_response", "failed"
@@ -93,7 +93,7 @@ def embed(
             pa.field("error", pa.string()),
         ]
     )
-    size = min(provider.max_batch, BATCH_ROWS)
+    size = provider.max_batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Exact top-k by cosine distance for a table of queries.
 
-Distances are rounded before ranking and ties go to the smaller id, so results do not
-depend on how the index is split. No pair of query and index row leaves a task: each task
+Distances are ranked to twelve decimals, ties go to the smaller id, and only the result is
+rounded for show, so results do not depend on how the index is split. No pair of query and index row leaves a task: each task
 multiplies its rows with the queries and passes on at most k rows per query.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from waymark.functions.vectors import DISTANCE_DECIMALS
+from waymark.functions.vectors import DISTANCE_DECIMALS, RANKED_DECIMALS
 
 # Fixed value: results per query when not told otherwise.
 DEFAULT_K = 20
@@ -28,6 +28,8 @@ MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 SLICE_ROWS = 2048
+# Tasks that the hits of one query are dealt over first.
+RANK_SHARES = 64
 
 
 def knn(
@@ -56,11 +58,18 @@ def knn(
 
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Keep the k nearest hits of each query and number them; partial limits run map-side."""
+    """Keep the k nearest hits of each query, number them and round their distances.
+
+    Hits of a query meet in as many tasks as they are dealt over before they meet in one, so
+    a single query over a large index sends no task more than its share of them.
+    """
     order = Window.partitionBy("query_id").orderBy("distance", "id")
+    share = Window.partitionBy("query_id", "share").orderBy("distance", "id")
+    dealt = hits.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(RANK_SHARES)).cast("int"))
+    hits = dealt.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= k).select(*hits.columns)
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     rest = [c for c in hits.columns if c not in ("query_id", "id", "distance")]
-    return ranked.select("query_id", "rank", "id", "distance", *rest)
+    return ranked.select("query_id", "rank", "id", F.round("distance", DISTANCE_DECIMALS).alias("distance"), *rest)
 
 
 def _hit_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
@@ -165,7 +174,7 @@ def _nearest_in(
         rows, matrix = rows[usable], matrix[usable] / norms[usable, None]
         if not len(rows):
             continue
-        distance = np.round(1 - units @ matrix.T, DISTANCE_DECIMALS) + 0.0
+        distance = np.round(1 - units @ matrix.T, RANKED_DECIMALS) + 0.0
         near = distance <= limit[positions, None]
         if len(rows) > k:
             last = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
