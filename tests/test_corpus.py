@@ -69,7 +69,18 @@ def test_scan_files(spark, tmp_path):
     assert set(rows) == {f"{tmp_path}/a.rs", f"{tmp_path}/sub/b.py"}
     assert rows[f"{tmp_path}/a.rs"].type == "rust" and rows[f"{tmp_path}/a.rs"].size == 10
     prints = fingerprints(scan_file_hashes(spark, str(tmp_path))).collect()
-    assert {r.path.rsplit("/", 1)[1] for r in prints} == {"a.rs", "b.py", "bad.go", "big.go"}
+    assert {r.path.rsplit("/", 1)[1] for r in prints} == {"a.rs", "b.py", "bad.go", "big.go", "empty.go"}
+
+
+def test_scan_finds_hidden_names(spark, tmp_path):
+    for name in ("pkg/a.py", "pkg/__init__.py", "pkg/_internal/b.py", ".github/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    got = {r.path: r.content for r in scan_files(spark, str(tmp_path)).collect()}
+    names = ("pkg/a.py", "pkg/__init__.py", "pkg/_internal/b.py", ".github/c.py")
+    assert got == {f"{tmp_path}/{n}": f"# {n}\n" for n in names}
+    assert scan_files(spark, f"file://{tmp_path}", hidden=False).count() == 1
+    assert {r.path for r in scan_files(spark, f"file://{tmp_path}").collect()} == set(got)
 
 
 def test_scan_pushes_size_and_prunes_content(spark, tmp_path):

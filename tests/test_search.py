@@ -226,3 +226,12 @@ def test_search_end_to_end(spark, make_corpus):
     )
     assert {r.path for r in only.where("status = 'ok'").collect()} == {"/r/a.rs"}
     assert not sync(store, "n", corpus, provider, ("rust", "prose")).changed
+
+
+def test_the_nearest_of_two_near_ties_wins(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.001]), (2, [1.0, 0.0])], "id int, vector array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, vector array<float>")
+    (hit,) = knn(index, asked, 1).collect()
+    assert (hit.id, hit.distance) == (2, 0.0)
+    (hit,) = ann(index, asked, 1).collect()
+    assert hit.id == 2

@@ -391,3 +391,30 @@ def test_one_shuffle_per_extraction(spark, make_corpus):
     for extractor in (prose_units, markdown_units, page_units):
         plan = extractor(make_corpus({"a": "x"}))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_cutting_grows_with_the_file(spark, make_corpus):
+    import time
+
+    def seconds(paragraphs):
+        corpus = make_corpus({"a": "\n\n".join(f"paragraph number {i:08d} of a long file." for i in range(paragraphs))})
+        begin = time.perf_counter()
+        assert prose_units(corpus).count() == paragraphs
+        prose_units(corpus).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    seconds(100)
+    small, large = seconds(2_500), seconds(20_000)
+    # Eight times the file: far from 64 times the work. The machine may be busy.
+    assert large < 20 * small + 5 and large < 40
+
+
+def test_the_size_bound_is_a_parameter(spark, make_corpus):
+    from waymark.operators.extract import extract_units, left_out
+
+    corpus = make_corpus({"a.md": "# head\n\n" + "word " * 400, "b.md": "# short\n\ntext\n", "c.md": ""})
+    corpus = corpus.withColumn("type", F.lit("markdown"))
+    paths = lambda df: {r.path for r in df.collect()}
+    assert paths(extract_units(corpus, ("markdown",), 1000)) == {"b.md"}
+    assert paths(extract_units(corpus, ("markdown",), 10_000)) == {"a.md", "b.md"}
+    assert {(r.path, r.reason) for r in left_out(corpus, ("markdown",), 1000).collect()} == {("a.md", "too_large"), ("c.md", "empty")}

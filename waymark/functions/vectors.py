@@ -48,14 +48,15 @@ def bucket_counts(dim: int):
 
     @F.pandas_udf("array<float>")
     def to_vector(buckets: pd.Series) -> pd.Series:
-        out = []
-        for row in buckets:
-            if row is None or len(row) == 0:
-                out.append(None)
-                continue
-            counts = np.bincount(row, minlength=dim).astype(np.float64)
-            out.append((counts / np.sqrt(counts @ counts)).astype(np.float32))
-        return pd.Series(out)
+        sizes = np.array([0 if row is None else len(row) for row in buckets], dtype=np.int64)
+        if not sizes.any():
+            return pd.Series([None] * len(buckets), dtype=object)
+        flat = np.concatenate([row for row, n in zip(buckets, sizes) if n]).astype(np.int64)
+        at = np.repeat(np.arange(len(buckets)), sizes) * dim + flat
+        counts = np.bincount(at, minlength=len(buckets) * dim).reshape(-1, dim).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        units = (counts / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+        return pd.Series([u if n else None for u, n in zip(units, sizes)], dtype=object)
 
     return to_vector.asNondeterministic()
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.filters import MAX_BYTES
 from waymark.operators.filetypes import DEFAULT_RULES, TypeRule, assign_type, type_of
 from waymark.schema import CORPUS
+from waymark.session import materialise
+
+
+# A path's scheme and authority, which a corpus does without.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+"
+_LISTED = "uri string, length long, modificationTime timestamp, is_folder boolean, unseen boolean"
+_OPENED = "path string, content binary, length long, modificationTime timestamp"
 
 
 def scan_files(
@@ -15,53 +26,113 @@ def scan_files(
     root: str | list[str],
     rules: tuple[TypeRule, ...] = DEFAULT_RULES,
     max_bytes: int = MAX_BYTES,
+    hidden: bool = True,
 ) -> DataFrame:
     """Typed source files under `root`, decoded; files that are not UTF-8 are left out.
 
     The size rule reaches the file source as a pushed filter and the type rule needs the
-    name only, so neither opens a file it rejects. Spark's file source does not list names
-    that start with `.` or `_`; pass such folders in `root` to include them. Files that
-    vanish between listing and reading are skipped.
+    name only, so neither opens a file it rejects. Names that start with `.` or `_`, which
+    Spark's file source does not list, are found and read by tasks (`unseen_files`) unless
+    `hidden` is false. Files that vanish between listing and reading are skipped.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-        .where((F.col("length") > 0) & (F.col("length") <= max_bytes))
-        .select(
-            F.regexp_replace("path", "^file:/+", "/").alias("path"),
-            "content",
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"),
-            F.lit(None).cast("timestamp").alias("ctime"),
-        )
-        .where(type_of(F.col("path"), rules).isNotNull())
-    )
+    raw = _raw_files(spark, root, rules, hidden, (F.col("length") > 0) & (F.col("length") <= max_bytes))
     return decode_utf8(assign_type(raw, rules))
 
 
 def scan_file_hashes(
-    spark: SparkSession, root: str | list[str], rules: tuple[TypeRule, ...] = DEFAULT_RULES
+    spark: SparkSession,
+    root: str | list[str],
+    rules: tuple[TypeRule, ...] = DEFAULT_RULES,
+    hidden: bool = True,
 ) -> DataFrame:
     """Path, raw bytes and times of every typed file, for fingerprints: no size or text rule.
 
-    Spark's file source plans no read for empty files, so those have no row.
+    Empty files, for which Spark plans no read, are among them unless `hidden` is false.
     """
-    return (
+    return _raw_files(spark, root, rules, hidden, F.lit(True))
+
+
+def _raw_files(
+    spark: SparkSession, root: str | list[str], rules: tuple[TypeRule, ...], hidden: bool, sized: Column
+) -> DataFrame:
+    seen = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", "true")
         .load(root)
-        .select(
-            F.regexp_replace("path", "^file:/+", "/").alias("path"),
-            "content",
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"),
-            F.lit(None).cast("timestamp").alias("ctime"),
-        )
-        .where(type_of(F.col("path"), rules).isNotNull())
+        .where(sized)
+        .select("path", "content", "length", "modificationTime")
     )
+    if hidden:
+        roots = [root] if isinstance(root, str) else root
+        listed = unseen_files(spark, roots).where(sized)
+        wanted = listed.where(type_of(F.col("uri"), rules).isNotNull())
+        seen = seen.where("length > 0").unionByName(open_files(wanted))
+    return seen.select(
+        F.regexp_replace("path", _SCHEME, "/").alias("path"),
+        "content",
+        F.col("length").alias("size"),
+        F.col("modificationTime").alias("mtime"),
+        F.lit(None).cast("timestamp").alias("ctime"),
+    ).where(type_of(F.col("path"), rules).isNotNull())
+
+
+def unseen_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """`uri, length, modificationTime` of files that Spark's file source does not read.
+
+    Those are names starting with `.` or `_`, all below such folders, and empty files. Folders
+    are listed by tasks, one level of the tree at a time, through Arrow's file systems.
+    """
+
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri, unseen in zip(batch["uri"], batch["unseen"]):
+                system, path = fs.FileSystem.from_uri(uri)
+                lead = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+                infos = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                rows = [
+                    (
+                        lead + i.path,
+                        i.size or 0,
+                        i.mtime,
+                        i.type == fs.FileType.Directory,
+                        bool(unseen) or i.base_name[:1] in (".", "_"),
+                    )
+                    for i in infos
+                ]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")])
+
+    level = spark.createDataFrame([(r.rstrip("/") or "/", False) for r in roots], "uri string, unseen boolean")
+    found = spark.createDataFrame([], _LISTED)
+    while not level.isEmpty():
+        inside = materialise(level.repartition("uri").mapInPandas(list_folders, _LISTED), "listing")
+        found = found.unionByName(inside.where("NOT is_folder AND (unseen OR length = 0)"))
+        level = inside.where("is_folder").select("uri", "unseen")
+    return found.select("uri", "length", "modificationTime")
+
+
+def open_files(listed: DataFrame) -> DataFrame:
+    """The bytes of listed files, read one by one in tasks; files that have gone are skipped."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                system, path = fs.FileSystem.from_uri(row.uri)
+                try:
+                    with system.open_input_stream(path) as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    continue
+                yield pd.DataFrame(
+                    {
+                        "path": [row.uri],
+                        "content": [content],
+                        "length": [len(content)],
+                        "modificationTime": [row.modificationTime],
+                    }
+                )
+
+    return listed.repartition("uri").mapInPandas(read, _OPENED)
 
 
 def decode_utf8(df: DataFrame, column: str = "content") -> DataFrame:

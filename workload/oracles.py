@@ -231,10 +231,10 @@ def hashed(prefix: str, rows: str) -> str:
 def knn(k: int, where: str = "true") -> str:
     return f"""
 WITH pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS id,
-    round(list_cosine_distance(i.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS distance
+    round(list_cosine_distance(i.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) + 0.0 AS distance
   FROM embeddings q, embeddings i WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
-SELECT query_id, rank, id, distance FROM ranked WHERE rank <= {k}"""
+SELECT query_id, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {k}"""
 
 
 _REL = lambda root: (
@@ -313,6 +313,27 @@ WITH {prose(DOCS)} SELECT path, id FROM units ORDER BY md5(concat_ws(':', '/src0
   SELECT (SELECT count(*) FROM l_units WHERE id NOT IN (SELECT id FROM i_units)) AS up,
          (SELECT count(*) FROM i_units WHERE id NOT IN (SELECT id FROM l_units)) AS gone)""",
     "sync_unchanged": "SELECT 0::BIGINT AS n_upload, 0::BIGINT AS n_delete, false AS changed",
+    "sync_twice": f"""
+WITH {prose(DOCS)} SELECT count(*) AS n_rows, false AS changed, true AS same_version FROM units
+WHERE regexp_matches(lower(content), '\\p{{L}}')""",
+    "stream_two_checkpoints": f"""
+WITH {prose(DOCS)} SELECT id, path, start_line, file_hash FROM units
+WHERE regexp_matches(lower(content), '\\p{{L}}')""",
+    "stream_late_rows": f"""
+WITH {prose(f"{DOCS} UNION ALL SELECT * FROM ({CHANGED}) WHERE path NOT IN (SELECT path FROM ({DOCS}))")}
+SELECT id, path, start_line, file_hash FROM units WHERE regexp_matches(lower(content), '\\p{{L}}')""",
+    "duplicate_upserts": f"""
+WITH {prose(DOCS)} SELECT id, path, start_line, file_hash FROM units
+WHERE regexp_matches(lower(content), '\\p{{L}}')""",
+    "broken_chunks": f"""
+WITH {prose(SPACED)}, u AS (SELECT *, (('0x' || substr(id, 1, 8))::BIGINT) % 7 AS k FROM units)
+SELECT count(*) AS n_chunks, count(*) FILTER (k = 0) AS bad_path, count(*) FILTER (k = 1) AS bad_start,
+       count(*) FILTER (k = 2) AS bad_end, count(*) FILTER (k = 3 OR content = '') AS bad_content,
+       count(*) FILTER (k = 4) AS bad_hash, count(*) FILTER (k = 5) AS bad_id FROM u""",
+    "scanned_files": """
+SELECT CASE doc_id % 5 WHEN 1 THEN 'plain/_' WHEN 2 THEN '.git/' WHEN 3 THEN '_x/y/' ELSE 'plain/' END
+    || 'doc_' || doc_id || '.md' AS name, strlen(text) AS size, md5(text) AS text_hash
+FROM documents WHERE strlen(text) > 0""",
     "stored_sync": f"""
 WITH {prose(DOCS)} SELECT id, path, start_line, file_hash FROM units
 WHERE regexp_matches(lower(content), '\\p{{L}}')""",
@@ -341,7 +362,7 @@ SELECT sum(length(text))::BIGINT AS n_tokens FROM documents WHERE length(text) <
 WITH {prose(DOCS)} SELECT id, path, file_hash, chunk_hash, mtime, 0::BIGINT AS ctime, true AS no_vector,
   start_line, end_line FROM units""",
     "next_page": """
-SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE vec_id > 99 ORDER BY vec_id LIMIT 1200""",
+SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE vec_id > 99 ORDER BY vec_id LIMIT 150""",
     "attribute_predicates": """
 SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE label = 1 OR label = 4 OR vec_id > 400""",
     "knn_exact": knn(20),
@@ -350,7 +371,8 @@ SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE label = 1 OR l
     "blank_queries": """
 SELECT conv_id, turn, CASE WHEN q IS NULL OR trim(q, ' ' || chr(9) || chr(10)) = '' THEN 'empty_query'
        ELSE 'ok' END AS status, md5(q) AS query_hash
-FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN ' ' || chr(9) || ' ' ELSE text END AS q FROM conversations)""",
+FROM (SELECT conv_id, turn, text AS q FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, ' ' || chr(9) || ' ' FROM conversations WHERE turn % 2 = 1)""",
     "hydrated_hits": f"""
 WITH hits AS ({DOCS}), now AS ({CHANGED})
 SELECT hits.path, CASE WHEN len(string_split(now.content, {NL})) >= 2
@@ -375,11 +397,11 @@ dots AS (SELECT q_w.key AS query_id, u_w.key AS id, sum(q_w.w * u_w.w) AS dot
   FROM q_w JOIN u_w USING (bucket) GROUP BY ALL),
 q_n AS (SELECT key, sum(w * w) AS n FROM q_w GROUP BY key),
 u_n AS (SELECT key, sum(w * w) AS n FROM u_w GROUP BY key),
-scored AS (SELECT query_id, id, round(1 - dot / sqrt(q_n.n * u_n.n), 6) + 0.0 AS distance
+scored AS (SELECT query_id, id, round(1 - dot / sqrt(q_n.n * u_n.n), 12) + 0.0 AS distance
   FROM dots JOIN q_n ON q_n.key = query_id JOIN u_n ON u_n.key = id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
-SELECT query_id, rank, path, distance, md5({_REL('/src0')} || ':' || start_line || ':'
-    || distance::DECIMAL(18, 6)::DECIMAL(18, 4)::VARCHAR || ':' || string_split(content, {NL})[1]) AS line_hash,
+SELECT query_id, rank, path, round(distance, 6) + 0.0 AS distance, md5({_REL('/src0')} || ':' || start_line || ':'
+    || round(distance, 6)::DECIMAL(18, 6)::DECIMAL(18, 4)::VARCHAR || ':' || string_split(content, {NL})[1]) AS line_hash,
   'ok' AS status
 FROM ranked JOIN units USING (id) WHERE rank <= 5""",
 }

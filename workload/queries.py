@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,9 @@ from waymark.operators.sampling import seeded_sample
 from waymark.operators.stats import check_chunks, corpus_stats
 from waymark.plans.search import search_index
 from waymark.plans.sync import rebuild, sync
+from waymark.schema import CORPUS
 from waymark.session import fresh_path
-from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_path
+from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_path, scan_files
 from waymark.sources.index import IndexStore, keyset_page, upload_projection
 from waymark.streaming.continuous import continuous_sync
 from workload import tables as t
@@ -57,6 +59,14 @@ def corpus_filter(spark, sf_dir):
     return size_filter(t.document_corpus(spark, sf_dir), 5_000).select("path", "size")
 
 
+@register
+def scanned_files(spark, sf_dir):
+    """Documents written as files, some under hidden names and folders, and scanned."""
+    base = t.document_files(spark, sf_dir)
+    name = F.element_at(F.split("path", re.escape(base.rpartition("/")[2] + "/")), -1)
+    return scan_files(spark, base).select(name.alias("name"), "size", F.md5("content").alias("text_hash"))
+
+
 @register
 def type_assignment(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
@@ -192,6 +202,24 @@ def chunk_checks(spark, sf_dir):
     return check_chunks(t.chunks(t.spaced_corpus(spark, sf_dir)))
 
 
+@register
+def broken_chunks(spark, sf_dir):
+    """The checks over chunks of which one in seven breaks each rule."""
+    chunks = t.chunks(t.spaced_corpus(spark, sf_dir))
+    kind = F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint") % 7
+    broken = chunks.withColumn("k", kind).withColumns(
+        {
+            "path": F.when(F.col("k") != 0, F.col("path")),
+            "start_line": F.when(F.col("k") == 1, F.lit(0)).otherwise(F.col("start_line")),
+            "end_line": F.when(F.col("k") == 2, F.col("start_line") - 1).otherwise(F.col("end_line")),
+            "content": F.when(F.col("k") == 3, F.lit("")).otherwise(F.col("content")),
+            "chunk_hash": F.when(F.col("k") != 4, F.col("chunk_hash")),
+            "id": F.when(F.col("k") == 5, F.lit("")).otherwise(F.col("id")),
+        }
+    )
+    return check_chunks(broken)
+
+
 @register
 def corpus_statistics(spark, sf_dir):
     corpus = t.source_files(spark, sf_dir)
@@ -276,6 +304,71 @@ def stored_sync(spark, sf_dir):
     return _index_rows(store.read("docs"))
 
 
+@register
+def sync_twice(spark, sf_dir):
+    """A second sync of one corpus: nothing changed, no new version."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    corpus = t.document_corpus(spark, sf_dir)
+    first = sync(store, "docs", corpus, hashed_provider(), ("prose",))
+    second = sync(store, "docs", corpus, hashed_provider(), ("prose",))
+    return store.read("docs").agg(
+        F.count("*").alias("n_rows"),
+        F.lit(second.changed).alias("changed"),
+        F.lit(second.version == first.version).alias("same_version"),
+    )
+
+
+@register
+def duplicate_upserts(spark, sf_dir):
+    """Every row upserted twice in one write and once more in the next: one row per id."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    rows = embed(t.chunks(t.document_corpus(spark, sf_dir)), hashed_provider()).where("status = 'ok'")
+    store.publish("docs", rows.unionByName(rows))
+    store.publish("docs", store.read("docs", vectors=True))
+    return _index_rows(store.read("docs"))
+
+
+def _drained(spark, store: IndexStore, folder: str, checkpoint: str) -> None:
+    """All files of a folder of corpus rows, one micro-batch each, through a stream."""
+    stream = spark.readStream.schema(CORPUS).option("maxFilesPerTrigger", 1).parquet(folder)
+    continuous_sync(
+        stream,
+        store,
+        "docs",
+        hashed_provider(),
+        checkpoint,
+        ("prose",),
+        available_now=True,
+        add_types=lambda df: assign_type(df, TABLE_RULES),
+    ).awaitTermination()
+
+
+@register
+def stream_two_checkpoints(spark, sf_dir):
+    """Two streams, each with its own checkpoint, one after the other into one index."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    corpus = t.document_corpus(spark, sf_dir).select(*CORPUS.fieldNames())
+    for half in (0, 1):
+        folder = fresh_path(spark, "arrivals")
+        corpus.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half).write.parquet(folder)
+        _drained(spark, store, folder, fresh_path(spark, "progress"))
+    return _index_rows(store.read("docs"))
+
+
+@register
+def stream_late_rows(spark, sf_dir):
+    """The current state arrives first; of the earlier one only paths not yet known count."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    now = t.document_corpus(spark, sf_dir).select(*CORPUS.fieldNames())
+    late = t.changed_corpus(spark, sf_dir).select(*CORPUS.fieldNames())
+    late = late.withColumn("mtime", F.col("mtime") - F.expr("interval 1 hour"))
+    for state in (now, late):
+        folder = fresh_path(spark, "arrivals")
+        state.write.parquet(folder)
+        _drained(spark, store, folder, fresh_path(spark, "progress"))
+    return _index_rows(store.read("docs"))
+
+
 @register
 def reset_index(spark, sf_dir):
     store = IndexStore(spark, fresh_path(spark, "index"))
@@ -381,7 +474,7 @@ def index_projection(spark, sf_dir):
 @register
 def next_page(spark, sf_dir):
     rows = t.vectors(spark, sf_dir).drop("vector")
-    return keyset_page(rows, 99, 1_200).select("id", F.col("label").cast("bigint").alias("label"))
+    return keyset_page(rows, 99, 150).select("id", F.col("label").cast("bigint").alias("label"))
 
 
 @register
@@ -430,8 +523,10 @@ def ann_recall(spark, sf_dir):
 @register
 def blank_queries(spark, sf_dir):
     turns = t.table(spark, sf_dir, "conversations")
-    text = F.when(F.col("turn") % 2 == 1, F.lit(" \t ")).otherwise(F.col("text"))
-    usable, blank = split_blank_queries(turns.select("conv_id", "turn", text.alias("query")))
+    odd = turns.where(F.col("turn") % 2 == 1)
+    empty = odd.select("conv_id", (-1 - F.col("turn")).alias("turn"), F.lit(" \t ").alias("query"))
+    asked = turns.select("conv_id", "turn", F.col("text").alias("query")).unionByName(empty)
+    usable, blank = split_blank_queries(asked)
     return usable.withColumn("status", F.lit("ok")).unionByName(blank).select(
         "conv_id", "turn", "status", F.md5("query").alias("query_hash")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.extract import chunk_table
 from waymark.operators.filetypes import TABLE_RULES, assign_type
-from waymark.session import materialise
+from waymark.session import fresh_path, materialise
 from waymark.sources.corpus import corpus_from_table, spread_input
 
 EXTENSIONS = ["rs", "py", "js", "ts", "go", "java", "c", "hpp", "rb", "sh", "md", "txt", "zig"]
@@ -146,3 +146,31 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
     )
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every document as a file in the shared folder; some names and folders are hidden ones."""
+    from pyarrow import fs
+
+    base = fresh_path(spark, "files")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = table(spark, sf_dir, "documents").select(hidden_name(name).alias("name"), "text")
+
+    def write(batches):
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                system, path = fs.FileSystem.from_uri(f"{base}/{name}")
+                system.create_dir(path.rpartition("/")[0])
+                with system.open_output_stream(path) as stream:
+                    stream.write((text or "").encode())
+            yield batch[["name"]]
+
+    docs.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    return base
+
+
+def hidden_name(name: Column) -> Column:
+    """A name as it is, or hidden, or below a hidden folder, by doc_id."""
+    kind = F.col("doc_id") % 5
+    lead = F.when(kind == 1, "plain/_").when(kind == 2, ".git/").when(kind == 3, "_x/y/").otherwise("plain/")
+    return F.concat(lead, name)
