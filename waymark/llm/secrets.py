@@ -193,3 +193,39 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(_shown(base), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans")
     )
+
+
+def _op4_sql() -> str:
+    """The query in SQL: the same sums of lengths, and the linking as a plain EXISTS."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT r, {order} AS kind, {kind.least} AS least, regexp_split_to_array(t, {quoted(kind.pattern)}) AS gaps, "
+        f"regexp_extract_all(t, {quoted(kind.pattern)}, 0) AS ms, regexp_extract_all(t, {quoted(kind.pattern)}, {kind.value}) AS vs "
+        "FROM d"
+        for order, kind in enumerate(KINDS)
+    )
+    parts = ", ".join(str(p) for p in [*(k.part for k in KINDS), SECRET])
+    weak = ", ".join(str(w) for w in [*(k.weak for k in KINDS), True])
+    names = ", ".join(quoted(n) for n in [*(k.name for k in KINDS), SHORT])
+    near = f"EXISTS (FROM parts o WHERE o.r = w.r AND o.part = {{}} AND abs(o.start - w.start) <= {SCOPE})"
+    has_id, has_secret = near.format(IDENTIFIER), near.format(SECRET)
+    counts = ", ".join(f"count(*) FILTER (ord = {k}) AS n_{KINDS[k].name}" for k in range(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+e AS (SELECT r, kind, least, len(ms[i]) AS size, len(vs[i]) AS val,
+    sum(len(gaps[i]) + len(ms[i])) OVER (PARTITION BY r, kind ORDER BY i) AS stop
+  FROM m, unnest(range(1, len(ms) + 1)) AS u(i)),
+o AS (SELECT r, (stop - size)::BIGINT AS start, stop::BIGINT AS stop, CASE WHEN val >= least THEN kind
+    WHEN kind = 0 AND val >= {SHORT_LEAST} THEN {SHORT_ORDER} END AS ord FROM e),
+parts AS (SELECT *, ([{parts}])[ord + 1] AS part, ([{weak}])[ord + 1] AS weak FROM o WHERE ord IS NOT NULL),
+kept AS (SELECT r, start, stop, ord FROM parts w WHERE NOT weak OR CASE part WHEN {IDENTIFIER} THEN {has_secret}
+    WHEN {SECRET} THEN {has_id} ELSE {has_id} AND {has_secret} END),
+shown AS (SELECT *, ([{names}])[ord + 1] || ':' || start || ':' || stop AS s FROM kept)
+SELECT doc_id, {counts},
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, ord, stop) FILTER (ord < {BASE}), '')) AS base_sha256,
+  coalesce(string_agg(s, ',' ORDER BY start, ord, stop), '') AS spans
+FROM d LEFT JOIN shown USING (r) GROUP BY r, doc_id"""
+
+
+OP4_SQL = _op4_sql()
