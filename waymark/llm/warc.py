@@ -30,6 +30,8 @@ ARCHIVE_RECORDS = 2000
 RANGE_BYTES = 4 << 20
 HEADER_BYTES = 64 << 10
 LEAST_PAYLOAD = 0
+# Repeated digests, of some forty bytes, that may be broadcast.
+BROADCAST_DIGESTS = 1 << 18
 _BASE16, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 CANDIDATES = (
@@ -60,12 +62,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, reco
         F.octet_length(body).cast("long").alias("size"),
         payload_digest(body.cast("binary")).alias("digest"),
     )
-    # Equal payloads are found by digest alone; the bodies move once, in a join that Spark can
-    # split where one payload is common.
+    # Equal payloads are found by digest alone. Digests that repeat are usually few, and then go
+    # to the bodies; else the bodies move, in a join that Spark can split where one is common.
     first = (
         rows.where(F.col("size") >= least).groupBy("digest")
         .agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    first = written(first, "repeated")
+    if first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)
     told = rows.join(first, "digest", "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
