@@ -148,13 +148,20 @@ def _least(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 def _unit(vector: Column) -> Column:
     """The vector as doubles of length one; null unless all are finite and one is not zero."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    # Scaled by the largest first: squares of great or small numbers leave the range.
-    top = F.aggregate(x, F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v)))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (top > 0)
-    scaled = F.when(fine, F.transform(x, lambda v: v / top))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(scaled, lambda v: v / norm + F.lit(0.0))
+
+    def scale(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            x = None if v is None else np.array([np.nan if e is None else e for e in v], dtype=float)
+            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+                out.append(None)
+                continue
+            # By the largest first: squares of great or small numbers leave the range.
+            x = x / np.abs(x).max()
+            out.append(x / np.sqrt(x @ x) + 0.0)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(scale, "array<double>")(vector)
 
 
 def _stack(column: pd.Series) -> np.ndarray:
