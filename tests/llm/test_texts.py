@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.llm.components import components
 from waymark.llm.decontaminate import contaminated, find_contamination
 from waymark.llm.elias_fano import EliasFano
-from waymark.llm.near_copies import drop_near_copies, tables
+from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, prefix, rarest, tables
 from waymark.llm.packing import pack_documents
 from waymark.llm.secrets import find_secrets, mask_secrets
 from waymark.llm.simhash import covering_masks, links_within, simhash_groups
@@ -258,6 +258,43 @@ def test_more_texts_need_longer_masks():
     assert drop_near_copies is not None
 
 
+def test_short_near_copies_all_meet(spark):
+    """Texts of 8 and 9 words, 4 and 5 shingles: of their majorities too many bits differ for masks."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    bases = [[word() for _ in range(9)] for _ in range(1500)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)] + [(5000 + i, " ".join(b[:8])) for i, b in enumerate(bases)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(1500))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        both = int(rng.integers(4, 600))
+        left, right = (int(x) for x in rng.multinomial(both // 4, [0.5, 0.5]))
+        drawn = rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64)
+        a, b = np.sort(drawn[: both + left]), np.sort(np.delete(drawn, range(both, both + left)))
+        common = np.sort(drawn[:: int(rng.integers(1, 5))])
+        counts = rng.integers(8, 99, len(common))
+        x, y = rarest(a, common, counts, 0.8), rarest(b, common, counts, 0.8)
+        assert len(x) == prefix(len(a), 0.8) and len(np.intersect1d(x, y))
+
+
+@pytest.mark.parametrize("count", [1000, 15_000_000, 10**9])
+def test_masks_reach_the_recall(count):
+    """Pairs at the threshold, of the shortest texts that masks look for; binomial noise allowed."""
+    rng = np.random.default_rng(14)
+    masks = np.array(tables(count, 0.8, RECALL), dtype=np.int64)
+    assert masks.shape[1] == LANES
+    both, own, found, pairs = SHORT * 8 // 9 + 1, SHORT // 9 + 1, 0, 1500
+    for _ in range(pairs):
+        drawn = rng.integers(0, 1 << 64, both + 2 * own, dtype=np.uint64)
+        flips = np.array(fingerprint(drawn[: both + own])) ^ np.array(fingerprint(np.delete(drawn, range(both, both + own))))
+        found += bool(((masks & flips) == 0).all(axis=1).any())
+    assert found >= 0.995 * pairs
+
+
 def test_near_copies_of_nothing(spark):
     assert drop_near_copies(empty(spark)).count() == 0
 
