@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm.chat import call_depths, canonical, format_calls, problems
+from waymark.llm.chat import call_depths, canonical, conversation_calls, format_calls, format_turns, problems
 from waymark.llm.cover_tree import build_tree, close_leaves, cosine_links, descend
 from waymark.llm.quality import SLOTS, fit, ngram_slots, score_quality, train_quality
 from waymark.llm.shared import held_out
@@ -271,6 +271,31 @@ def test_calls_of_nothing(spark):
     assert format_calls(calls, spark.createDataFrame([], "call_id string, content string")).count() == 0
 
 
+def test_every_turn_is_a_message(spark):
+    turns = [
+        (1, 0, "system", "rules"), (1, 1, "user", "é?"), (1, 2, "assistant", "a b c d e"), (1, 3, "user", None),
+        (2, 0, "user", "alone"), (3, 0, "assistant", "a b c d e"), (3, 1, "assistant", "a b c d e"), (3, 1, None, "twice"),
+        (None, 5, "assistant", "a b c d e"), (5, None, "assistant", "a b c d e"), (None, 6, "user", "unlinked"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = format_turns(df).collect()
+    key = lambda rows: sorted(rows, key=str)
+    assert key((r.conv_id, r.turn, r.role) for r in made) == key(t[:3] for t in turns)
+    got = {(r.conv_id, r.turn, r.role): (r.status, r.call_id, json.loads(r.json)) for r in made}
+    assert got[1, 1, "user"] == ("message", None, {"role": "user", "content": "é?"})
+    assert got[1, 3, "user"] == ("result", "1:2", {"role": "user", "content": "", "tool_call_id": "1:2"})
+    assert got[3, 1, None][:2] == ("result", "3:0") and got[3, 1, "assistant"][:2] == ("unanswered", "3:1")
+    assert got[None, 5, "assistant"][:2] == got[5, None, "assistant"][:2] == ("unidentified", None)
+    assert got[None, 6, "user"][:2] == ("message", None)
+    assert all(canonical(json.loads(r.json)) == r.json for r in made)
+
+
+def test_turns_without_a_place_share_no_id(spark):
+    turns = [(None, 5, "assistant", "a b c d e"), (5, None, "assistant", "a b c d e"), (None, 6, "user", "no result")]
+    calls, results = conversation_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {(r.call_id, r.status) for r in format_calls(calls, results).collect()} == {(None, "unidentified")}
+
+
 # --- pipeline ---
 
 

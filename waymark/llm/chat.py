@@ -160,9 +160,10 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a `conversations` table implies.
 
     An assistant's turn is a call of the tool `reply` with its text, its number and its count of
-    words; the turn behind it is the result. It follows the call two turns before.
+    words; the turn behind it is the result. It follows the call two turns before. Without a
+    conversation or a number there is no id, and nothing is linked.
     """
-    name = lambda turn: F.concat_ws(":", F.col("conv_id"), turn)
+    name = lambda turn: F.concat(F.col("conv_id"), F.lit(":"), turn)
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.size(F.filter(F.split(text, r"[ \n]+"), lambda w: w != ""))
     asked = turns.where(F.col("role") == "assistant")
@@ -185,6 +186,43 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "call_id", "depth", "status", F.array_join("errors", "; ").alias("errors"), "json")
 
 
+def format_turns(turns: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
+    """Every row of `turns` (`conv_id, turn, role, text`) as a message: the columns of `format_calls` and `role`.
+
+    An assistant's turn is its call. Any other is a message with its text (null as empty) under
+    `content`, of status result if it answers a call, whose id it then bears, else message.
+    """
+    calls, results = conversation_calls(turns)
+    said = format_calls(calls, results, schemas).withColumn("role", F.lit("assistant"))
+    before = F.concat(F.col("conv_id"), F.lit(":"), F.col("turn") - 1)
+    others = turns.where(~F.col("role").eqNullSafe("assistant")).select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), before.alias("before"),
+    )
+    called = calls.where("call_id IS NOT NULL").select(F.col("call_id").alias("before"), F.col("call_id")).distinct()
+
+    def serialise(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for roles, texts, ids in batches:
+            yield pd.Series([
+                canonical({"role": r, "content": t} | ({} if i is None else {"tool_call_id": i}))
+                for r, t, i in zip(roles, texts, ids)
+            ], dtype=object)
+
+    plain = others.join(called, "before", "left").select(
+        "conv_id", "turn", "call_id", F.lit(None).cast("long").alias("depth"),
+        F.when(F.col("call_id").isNull(), "message").otherwise("result").alias("status"),
+        F.array().cast("array<string>").alias("errors"),
+        F.pandas_udf(serialise, "string")("role", "text", "call_id").alias("json"), "role",
+    )
+    return said.unionByName(plain)
+
+
+def op10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message in canonical JSON, assistant turns as the calls of `op10_chat`."""
+    found = format_turns(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", "call_id", "depth", "status", F.array_join("errors", "; ").alias("errors"), "json")
+
+
 OP10_SQL = r"""
 WITH RECURSIVE t AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text,

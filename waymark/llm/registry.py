@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm.chat import OP10_SQL, op10_chat
+from waymark.llm.chat import OP10_SQL, op10_chat, op10_messages
 from waymark.llm.cover_tree import OP8_SQL, op8_cosine_links
 from waymark.llm.decontaminate import OP9_SQL, op9_decontamination
 from waymark.llm.packing import op2_packing
@@ -26,6 +26,7 @@ QUERIES = {
         op8_cosine_links,
         op9_decontamination,
         op10_chat,
+        op10_messages,
     )
 }
 # SQL has no fitted models, public tokenizers or XXH64; tests hold those to brute force.
