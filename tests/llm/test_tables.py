@@ -150,6 +150,32 @@ def test_archives(spark, tmp_path):
     assert sorted(small.collect()) == sorted(whole.collect()) and small.count() == len(pages)
 
 
+def test_archives_with_long_headers(spark, tmp_path):
+    pages = [(1, "u", "one"), (2, "v" * 200_000, "two"), (3, "w" * 70_000, "WARC/1.0\r\n" * 9), (4, "u", "last")]
+    write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for bytes_ in (50_000, 4 << 20):
+        got = verified_records(spark, str(tmp_path / "w"), range_bytes=bytes_)
+        assert sorted(r.page for r in got.collect()) == [f"<urn:page:{i}>" for i in (1, 2, 3, 4)]
+    assert {(r.page_id, r.payload.decode()) for r in read_archives(spark, str(tmp_path / "w")).collect()} == {(i, t) for i, _, t in pages}
+
+
+def test_cut_archives_are_errors(spark, tmp_path):
+    write_archives(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    [file] = (tmp_path / "w").glob("part-*")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(file.read_bytes()[:-9])
+    with pytest.raises(ValueError, match="records end at"):
+        verified_records(spark, str(tmp_path / "cut"))
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = [(i, "u", f"{i} " * (40_000 if i % 3 else 4)) for i in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    write_archives(df.coalesce(1), str(tmp_path / "w"), records=16, most=300_000)
+    assert max(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) <= 300_000
+    assert {(r.page_id, r.payload.decode()) for r in read_archives(spark, str(tmp_path / "w")).collect()} == {(i, t) for i, _, t in pages}
+
+
 def test_archives_of_nothing(spark, tmp_path):
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert read_archives(spark, str(tmp_path / "w")).count() == 0

@@ -6,7 +6,8 @@ lines that end a record. Of equal payloads one row is the response, the others r
 Reading: tasks look for the record magic in byte ranges of the archives and emit, for every
 candidate, its offset and that of its successor. Payloads may hold the magic too, so only
 candidates on the chain from a file's start count: pointers are doubled round by round, and
-what they reach from offset 0 is kept. Payloads are then cut out at verified offsets only.
+what they reach from offset 0 is kept, and must reach the file's end. Payloads are then cut out
+at verified offsets only.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import small_batches, table, written
+from waymark.llm.shared import BATCH_BYTES, small_batches, table, written
 from waymark.session import fresh_path
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.0\r\n"
-# Records per archive file, bytes of a range searched by one task row, longest header read.
+# Records and bytes per archive file (a longer record is a file of its own), bytes of a range
+# searched by one task row, and behind it for headers (longer ones are searched to the file's end).
 ARCHIVE_RECORDS = 2000
+ARCHIVE_BYTES = 128 << 20
+FIELD_BYTES = 1 << 10
 RANGE_BYTES = 4 << 20
 HEADER_BYTES = 64 << 10
 LEAST_PAYLOAD = 0
@@ -47,12 +51,15 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*eight), _BASE16, _BASE32)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, records: int = ARCHIVE_RECORDS) -> None:
+def write_archives(
+    pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, records: int = ARCHIVE_RECORDS, most: int = ARCHIVE_BYTES
+) -> None:
     """Write `pages` (`page_id`, `url`, `html`; other columns are ignored) as WARC files at `path`.
 
     A null payload is empty. Of rows with equal payloads of `least` bytes or more the one with
     the least page_id is the response (rows that repeat that id too; a null id never is, unless
     all are null); the others are revisits without a body. An empty table writes no record.
+    A file has up to `records` records and, unless it is a single one, about `most` bytes.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
@@ -84,52 +91,92 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, reco
         F.lit("\r\nX-Payload-Length: "), F.col("size"),
         F.lit("\r\nContent-Length: "), F.octet_length(held), F.lit(END), held,
     )
-    out = told.select(record.alias("value")).write.option("lineSep", END)
-    out.option("maxRecordsPerFile", str(records)).text(path)
+    # Spark bounds a file by records only, so rows are written by length: those of which `records`
+    # fit a file, then those of which an eighth fit, and so on. Mostly all are of the first kind.
+    limits = [max(1, records >> 3 * k) for k in range(records.bit_length() // 3 + 1)]
+    length = F.octet_length("body").cast("long") + F.coalesce(F.octet_length("url"), F.lit(0)) + FIELD_BYTES
+    kind = F.lit(len(limits) - 1)
+    for k in reversed(range(len(limits) - 1)):
+        kind = F.when(length <= most // limits[k], k).otherwise(kind)
+    kinds = sorted(r.kind for r in rows.select(kind.alias("kind")).distinct().collect()) or [0]
+    for k in kinds:
+        part = told.where(kind == k) if len(kinds) > 1 else told
+        out = part.select(record.alias("value")).write.mode("errorifexists" if k == kinds[0] else "append")
+        out.option("lineSep", END).option("maxRecordsPerFile", str(limits[k])).text(path)
 
 
-def _candidates(path: str, begin: int, piece: bytes, own: int) -> Iterator[tuple]:
-    """Candidate records whose magic starts in the first `own` bytes of a file's piece."""
-    at = piece.find(MAGIC)
+def _candidates(path: str, begin: int, piece: bytes, own: int, last: bool) -> Iterator[tuple]:
+    """Candidate records whose magic starts in the first `own` bytes of a file's piece.
+
+    One whose header goes on behind a piece that is not the `last` has nulls but for its place.
+    """
+    at, end = piece.find(MAGIC), None
     while 0 <= at < own:
-        end = piece.find(END.encode(), at, at + HEADER_BYTES)
-        if end > 0:
-            fields = {k.lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(piece[at:end])}
-            length = fields.get(b"content-length", "")
-            if length.isascii() and length.isdigit():
-                payload = begin + end + len(END)
-                whole = fields.get(b"x-payload-length", "")
-                yield (
-                    path, begin + at, payload + int(length) + len(END), payload, int(length),
-                    fields.get(b"warc-type"), fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"),
-                    fields.get(b"warc-payload-digest"),
-                    int(whole) if whole.isascii() and whole.isdigit() else None,
-                )
+        if end is None or 0 <= end < at:
+            end = piece.find(END.encode(), at)
+        if end >= 0:
+            yield from _candidate(path, begin + at, piece[at:end])
+        elif not last:
+            yield (path, begin + at, *[None] * 8)
         at = piece.find(MAGIC, at + 1)
 
 
+def _candidate(path: str, start: int, header: bytes) -> Iterator[tuple]:
+    fields = {k.lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(header)}
+    length = fields.get(b"content-length", "")
+    if length.isascii() and length.isdigit():
+        payload = start + len(header) + len(END)
+        whole = fields.get(b"x-payload-length", "")
+        yield (
+            path, start, payload + int(length) + len(END), payload, int(length),
+            fields.get(b"warc-type"), fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"),
+            fields.get(b"warc-payload-digest"),
+            int(whole) if whole.isascii() and whole.isdigit() else None,
+        )
+
+
 def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
 def verified_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The header rows of the records on each archive's chain from its start."""
+    """The header rows of the records on each archive's chain from its start.
+
+    An archive whose chain does not end where the file does is an error.
+    """
     small_batches(spark)
     ranges = _archives(spark, path).select(
-        "path", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("begin")
-    ).select("path", "begin", F.expr(f"substring(content, int(begin + 1), {range_bytes + HEADER_BYTES})").alias("piece"))
+        "path", "length", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("begin")
+    ).select("path", "begin", F.expr(f"substring(content, int(begin + 1), {range_bytes + HEADER_BYTES})").alias("piece"), F.expr(f"begin + {range_bytes + HEADER_BYTES} >= length").alias("last"))
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+        return made.astype(dict.fromkeys(["next", "payload", "length", "full_length"], "Int64"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
+            yield frame([
                 c
-                for file, begin, piece in zip(batch["path"], batch["begin"], batch["piece"])
-                for c in _candidates(file, int(begin), piece, range_bytes)
-            ]
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
-            yield frame.astype({"full_length": "Int64"})
+                for file, begin, piece, last in zip(batch["path"], batch["begin"], batch["piece"], batch["last"])
+                for c in _candidates(file, int(begin), piece, range_bytes, last)
+            ])
+
+    def search_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content, starts in zip(batch["path"], batch["content"], batch["starts"]):
+                rows, end = [], None
+                for start in sorted(starts):
+                    if end is None or 0 <= end < start:
+                        end = content.find(END.encode(), start)
+                    if end >= 0:
+                        rows += _candidate(file, int(start), content[start:end])
+                yield frame(rows)
 
     found = written(ranges.mapInPandas(search, CANDIDATES), "candidates")
+    cut = found.where("next IS NULL").groupBy("path").agg(F.collect_list("start").alias("starts"))
+    if not cut.isEmpty():
+        more = _archives(spark, path).select("path", "content").join(cut, "path").select("path", "content", "starts")
+        found = written(found.where("next IS NOT NULL").unionByName(more.mapInPandas(search_on, CANDIDATES)), "candidates")
     jumps = found.select("path", "start", "next")
     reached = found.where("start = 0").select("path", "start")
     while True:
@@ -142,7 +189,13 @@ def verified_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BY
         # A stride that no record can make any more leaves nothing to reach.
         if jumps.isEmpty():
             break
-    return found.join(reached.distinct(), ["path", "start"], "left_semi")
+    records = found.join(reached.distinct(), ["path", "start"], "left_semi")
+    ends = records.groupBy("path").agg(F.max("next").alias("end"))
+    lengths = _archives(spark, path).select("path", "length").where("length > 0")
+    broken = lengths.join(ends, "path", "left").where(~F.col("end").eqNullSafe(F.col("length"))).limit(3).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r.path}: records end at {r.end or 0} of {r.length} bytes" for r in broken))
+    return records
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -166,14 +219,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         columns = "page_id record_type refers_to payload payload_bytes payload_digest".split()
         for batch in batches:
             for content, records in zip(batch["content"], batch["records"]):
-                rows = []
+                rows, held = [], 0
                 for r in records:
+                    if held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        rows, held = [], 0
                     if r["kind"] == "revisit":
                         payload, size = None, int(r["full_length"])
                         digest = (r["digest"] or "").removeprefix("sha1:")
                     else:
                         payload = content[r["payload"] : r["payload"] + r["length"]]
                         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    held += r["length"]
                     rows.append((number(r["page"]), r["kind"], number(r["refers"]), payload, size, digest))
                 yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
