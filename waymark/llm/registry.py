@@ -9,6 +9,7 @@ from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op1_quality
 from waymark.llm.secrets import OP4_SQL, op4_secrets
 from waymark.llm.simhash import op7_simhash
+from waymark.llm.substring import OP11_SQL, op11_substring
 from waymark.llm.token_file import op6_token_files
 from waymark.llm.toxicity import op3_toxicity
 from waymark.llm.warc import OP5_SQL, op5_warc
@@ -27,6 +28,7 @@ QUERIES = {
         op9_decontamination,
         op10_chat,
         op10_messages,
+        op11_substring,
     )
 }
 # SQL has no fitted models, public tokenizers or XXH64; tests hold those to brute force.
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op8_cosine_links": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_chat": OP10_SQL,
+    "op11_substring": OP11_SQL,
 }
