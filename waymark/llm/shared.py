@@ -50,3 +50,17 @@ def runs(rows: Iterator, size: int) -> Iterator[list]:
             held = []
     if held:
         yield held
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes: the byte-wise form, its table made by rule."""
+    values = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        values.append(f"{value}::BIGINT")
+    digits = "'0123456789ABCDEF'"
+    byte = f"16 * instr({digits}, substr(hex({text}), 2 * i + 1, 1)) + instr({digits}, substr(hex({text}), 2 * i + 2, 1)) - 17"
+    octets = f"[({byte})::BIGINT FOR i IN range(strlen({text}))]"
+    step = f"lambda a, b: xor(a >> 8, ([{', '.join(values)}])[xor(a & 255, b) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT)"
