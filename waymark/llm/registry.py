@@ -9,9 +9,11 @@ from waymark.llm.packing import op2_packing
 from waymark.llm.quality import op1_quality
 from waymark.llm.secrets import OP4_SQL, op4_secrets
 from waymark.llm.simhash import op7_simhash
+from waymark.llm.spelling import OP12_SQL, op12_spelling
 from waymark.llm.substring import OP11_SQL, op11_substring
 from waymark.llm.token_file import op6_token_files
 from waymark.llm.toxicity import op3_toxicity
+from waymark.llm.turn_trie import OP13_SQL, op13_turn_trie
 from waymark.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -29,6 +31,8 @@ QUERIES = {
         op10_chat,
         op10_messages,
         op11_substring,
+        op12_spelling,
+        op13_turn_trie,
     )
 }
 # SQL has no fitted models, public tokenizers or XXH64; tests hold those to brute force.
@@ -39,4 +43,6 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
     "op10_chat": OP10_SQL,
     "op11_substring": OP11_SQL,
+    "op12_spelling": OP12_SQL,
+    "op13_turn_trie": OP13_SQL,
 }
