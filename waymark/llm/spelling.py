@@ -62,7 +62,8 @@ def word_counts(docs: DataFrame, letters: int = LEAST_LETTERS, dropped: int = DR
             if len(held) > HELD_WORDS:
                 yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     # Ids travel as text: that is how they are marked, and a null stays one.
     read = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
