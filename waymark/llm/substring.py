@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import small_batches, table, written
+from waymark.llm.shared import small_batches, table
 from waymark.llm.tokens import text_list
 
 WINDOW = 13
@@ -32,7 +32,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH_WINDOWS = 1 << 20
 BUCKET_BYTES = 32 << 20
 ENTRIES = "bucket long, ids binary, counts binary, hashes binary"
-REPEATS = "doc_id long, hashes binary"
+TOLD = "part long, ids binary, counts binary, hashes binary"
+REPEATS = "doc_id long, repeats binary"
 CUT = (
     "doc_id long, n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept_text string"
 )
@@ -79,6 +80,27 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _packed(keys: np.ndarray, ids: np.ndarray, hashes: np.ndarray, name: str) -> pd.DataFrame:
+    """A row per key with its hashes, in order of id: ids as differences, how many of each, hashes."""
+    by = np.lexsort((ids, keys))
+    keys, ids, hashes = keys[by], ids[by], hashes[by]
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1, append=-1)) if len(keys) else np.zeros(1, int)
+    rows = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        names, counts = np.unique(ids[a:b], return_counts=True)
+        steps = np.diff(names, prepend=np.int64(0))
+        rows.append((int(keys[a]), steps.tobytes(), counts.astype("<i4").tobytes(), hashes[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=[name, "ids", "counts", "hashes"]).astype({name: "int64"})
+
+
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and hashes of rows of `_packed`."""
+    ids = [
+        np.repeat(np.cumsum(np.frombuffer(i, "<i8")), np.frombuffer(c, "<i4")) for i, c in zip(group["ids"], group["counts"])
+    ]
+    return np.concatenate(ids), np.concatenate([np.frombuffer(h, "<u8") for h in group["hashes"]])
+
+
 def _batch_entries(ids: np.ndarray, hashes: np.ndarray, seconds: np.ndarray, buckets: int, own: int) -> pd.DataFrame:
     """A batch's rows: per bucket its distinct hashes with their least ids; what repeats in it as bucket `own`.
 
@@ -91,17 +113,9 @@ def _batch_entries(ids: np.ndarray, hashes: np.ndarray, seconds: np.ndarray, buc
     # A hash is listed once per id.
     again = ~new
     again[1:] &= d[1:] != d[:-1]
-    parts = [(np.flatnonzero(again), np.full(int(again.sum()), own))] if again.any() else []
-    parts.append((np.flatnonzero(new), bucket[new]))
-    rows = []
-    for at, where in parts:
-        by = np.lexsort((d[at], where))
-        at, where = at[by], where[by]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(at)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            names, counts = np.unique(d[at[a:b]], return_counts=True)
-            rows.append((int(where[a]), names.tobytes(), counts.astype("<i4").tobytes(), h[at[a:b]].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "hashes"])
+    bucket[again] = buckets + own
+    listed = new | again
+    return _packed(bucket[listed], d[listed], h[listed], "bucket")
 
 
 def _entries(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -113,7 +127,7 @@ def _entries(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
         def rows() -> pd.DataFrame:
             parts = [np.concatenate(p) for p in zip(*held)]
-            return _batch_entries(*parts, buckets, -1 - (task << 32 | number))
+            return _batch_entries(*parts, buckets, task << 32 | number)
 
         for batch in batches:
             first, second, counts = window_hashes(word_lists(text_list(batch["text"])), window)
@@ -128,41 +142,36 @@ def _entries(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInPandas(hashed, ENTRIES)
 
 
-def _told(ids: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
-    """`REPEATS` rows of pairs in order of id."""
-    names, first = np.unique(ids, return_index=True)
-    ends = [*first[1:].tolist(), len(ids)]
-    return pd.DataFrame(
-        {"doc_id": names, "hashes": [hashes[a:b].tobytes() for a, b in zip(first.tolist(), ends)]}
-    )
-
-
-def _repeats(group: pd.DataFrame) -> pd.DataFrame:
-    """The hashes of a bucket that a document with a smaller id has too, by id."""
-    ids = np.concatenate(
-        [np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<i4")) for i, c in zip(group["ids"], group["counts"])]
-    )
-    hashes = np.concatenate([np.frombuffer(h, "<u8") for h in group["hashes"]])
-    if group["bucket"].iloc[0] >= 0:
-        order = np.lexsort((ids, hashes))
-        ids, hashes = ids[order], hashes[order]
-        new = np.ones(len(ids), dtype=bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        kept = np.flatnonzero(ids > least)
-        kept = kept[np.argsort(ids[kept], kind="stable")]
-        ids, hashes = ids[kept], hashes[kept]
-    return _told(ids, hashes)
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """`doc_id, hashes`: per id, lists of the hashes of its windows that a smaller id has too."""
+    """`doc_id, repeats`: per id, the hashes of its windows that a smaller id has too."""
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    found = _entries(docs, window, buckets).groupBy("bucket").applyInPandas(_repeats, REPEATS)
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeats"))
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        """What documents of a bucket lose, by parts of all ids."""
+        ids, hashes = _unpacked(group)
+        if group["bucket"].iloc[0] < buckets:
+            order = np.lexsort((ids, hashes))
+            ids, hashes = ids[order], hashes[order]
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            lost = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            ids, hashes = ids[lost], hashes[lost]
+        parts = (_mixed(ids.view(np.uint64)) >> np.uint64(33)).astype(np.int64) * buckets >> 31
+        return _packed(parts, ids, hashes, "part")
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        ids, hashes = _unpacked(group)
+        order = np.argsort(ids, kind="stable")
+        names, first = np.unique(ids[order], return_index=True)
+        ends = [*first[1:].tolist(), len(ids)]
+        raw = hashes[order].tobytes()
+        return pd.DataFrame({"doc_id": names, "repeats": [raw[8 * a : 8 * b] for a, b in zip(first.tolist(), ends)]})
+
+    told = _entries(docs, window, buckets).groupBy("bucket").applyInPandas(judge, TOLD)
+    return told.groupBy("part").applyInPandas(gather, REPEATS)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -176,17 +185,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BU
     a row; equal rows give equal results. An empty table gives none; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = written(repeated_windows(texts, window, bucket_bytes), "repeats").withColumn("unnamed", F.lit(False))
+    found = repeated_windows(texts, window, bucket_bytes).withColumn("unnamed", F.lit(False))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = word_lists(text_list(batch["text"]))
             spans: list[list] = [[] for _ in words]
-            hit = [k for k, r in enumerate(batch["repeats"]) if r is not None and len(r)]
+            hit = [k for k, r in enumerate(batch["repeats"]) if r is not None]
             hashes, _, counts = window_hashes([words[k] for k in hit], window)
             ends = np.cumsum(counts)
             for k, end, count in zip(hit, ends.tolist(), counts.tolist()):
-                known = np.concatenate([np.frombuffer(r, "<u8") for r in batch["repeats"].iloc[k]])
+                known = np.frombuffer(batch["repeats"].iloc[k], "<u8")
                 at = np.flatnonzero(np.isin(hashes[end - count : end], known))
                 cover = np.zeros(len(words[k]) + 1, dtype=np.int64)
                 np.add.at(cover, at, 1)
