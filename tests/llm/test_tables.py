@@ -144,8 +144,8 @@ def test_archives(spark, tmp_path):
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
         want.append((page_id or -1, len(raw), digest, "revisit" if again else "response", first[html or ""] if again else -1))
     assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in got) == sorted(want)
-    # Small ranges: records and headers across their borders.
-    small = verified_records(spark, str(tmp_path / "w"), range_bytes=37)
+    # Small ranges: records, headers and payloads across their borders.
+    small = verified_records(spark, str(tmp_path / "w"), range_bytes=37, tail_bytes=64)
     whole = verified_records(spark, str(tmp_path / "w"))
     assert sorted(small.collect()) == sorted(whole.collect()) and small.count() == len(pages)
 

@@ -97,7 +97,7 @@ def test_elias_fano():
         raw = EliasFano.encode(values, top).to_bytes()
         read, size = EliasFano.from_bytes(raw + b"rest")
         assert size == len(raw)
-        assert read.values().tolist() == values.tolist() == [read.select(i) for i in range(count)]
+        assert read.select(np.arange(count)).tolist() == values.tolist() == [read.select(i) for i in range(count)]
         assert not count or len(raw) <= 24 + count * (2 + np.log2(max(top, 1) / count + 1) + 1) / 8 + 8
     with pytest.raises(IndexError):
         read.select(count)
@@ -116,13 +116,23 @@ def test_block_round_trip():
 def test_token_files(spark, odd_docs, library, tmp_path, block_ids):
     write_token_files(odd_docs, str(tmp_path / "t"), block_ids=block_ids)
     got = read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
-    want = sorted(texts_of(odd_docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = sorted(((i is not None, i or 0), [*library(t), 0]) for i, t in texts_of(odd_docs))
     start = 0
-    for row, (doc_id, text) in zip(got, want, strict=True):
-        ids = [*library(text), 0]
-        assert (row.doc_id, row.start, row.n_tokens) == (doc_id, start, len(ids))
-        assert np.frombuffer(row.ids, "<u4").tolist() == ids
-        start += len(ids)
+    found = []
+    for row in got:
+        found.append(((row.doc_id is not None, row.doc_id or 0), np.frombuffer(row.ids, "<u4").tolist()))
+        assert (row.start, row.n_tokens) == (start, len(found[-1][1]))
+        start += row.n_tokens
+    assert [i for i, _ in found] == [i for i, _ in want] and sorted(found) == want
+
+
+def test_one_id_fills_several_shards(spark, tmp_path):
+    rows = [(None, f"text number {k}") for k in range(400)] + [(7, f"other {k}") for k in range(400)] + [(9, "last")]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path / "t"))
+    sizes = {r.shard: r.n for r in spark.read.parquet(str(tmp_path / "t")).groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()}
+    assert sum(sizes.values()) == 801 and max(sizes.values()) < 400
+    got = read_token_files(spark, str(tmp_path / "t")).orderBy("start").select("doc_id").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 400 + [9]
 
 
 def test_token_files_of_nothing(spark, tmp_path):

@@ -10,6 +10,11 @@ from __future__ import annotations
 import numpy as np
 
 SAMPLE = 64
+# Place of the k-th one of every byte.
+_IN_BYTE = np.zeros((256, 8), dtype=np.int64)
+for _byte in range(256):
+    _places = [bit for bit in range(8) if _byte >> bit & 1]
+    _IN_BYTE[_byte, : len(_places)] = _places
 _HEAD = np.dtype([("count", "<u8"), ("top", "<u8"), ("low", "<u4"), ("high_bytes", "<u4")])
 
 
@@ -48,30 +53,27 @@ class EliasFano:
         highs = np.frombuffer(raw, dtype=np.uint8, offset=at + narrow, count=wide)
         return cls(count, top, low, lows, highs), at + narrow + wide
 
-    def _low_bits(self, i: int) -> int:
+    def _low_bits(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low
-        window = int.from_bytes(self._lows[at // 8 : (at + self.low + 7) // 8].tobytes(), "little")
-        return (window >> (at % 8)) & ((1 << self.low) - 1)
+        padded = np.concatenate([self._lows, np.zeros(8, dtype=np.uint8)])
+        window = np.zeros(len(i), dtype=np.uint64)
+        for k in range((self.low + 14) // 8):
+            window |= padded[(at >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
+        return ((window >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        if not 0 <= i < self.count:
+    def select(self, i: np.ndarray | int) -> np.ndarray | int:
+        """The i-th value, or those of an array of places: from the sample before each, byte by byte."""
+        places = np.atleast_1d(np.asarray(i, dtype=np.int64))
+        if len(places) and not (0 <= places.min() and places.max() < self.count):
             raise IndexError(i)
-        at, seen = int(self._sampled[i // SAMPLE]), int(self._before[i // SAMPLE])
-        while seen + (here := int(self._highs[at]).bit_count()) <= i:
-            seen, at = seen + here, at + 1
-        byte = int(self._highs[at])
-        for _ in range(i - seen):
-            byte &= byte - 1
-        place = at * 8 + (byte & -byte).bit_length() - 1
-        return ((place - i) << self.low) | self._low_bits(i)
-
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self._highs, bitorder="little"))[: self.count]
-        high = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low)
-        if not self.low:
-            return high
-        bits = np.unpackbits(self._lows, bitorder="little")[: self.count * self.low]
-        weights = np.uint64(1) << np.arange(self.low, dtype=np.uint64)
-        return high | (bits.reshape(self.count, self.low).astype(np.uint64) @ weights)
+        at, seen = self._sampled[places // SAMPLE].copy(), self._before[places // SAMPLE].astype(np.int64)
+        open_ = np.arange(len(places))
+        while len(open_):
+            here = np.bitwise_count(self._highs[at[open_]]).astype(np.int64)
+            before = seen[open_] + here <= places[open_]
+            open_, here = open_[before], here[before]
+            seen[open_] += here
+            at[open_] += 1
+        one = at * 8 + _IN_BYTE[self._highs[at], places - seen]
+        found = (one - places << self.low) | self._low_bits(places)
+        return found if np.ndim(i) else int(found[0])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.shared import small_batches, table, written
-from waymark.llm.tokens import Encoder, text_list
+from waymark.llm.tokens import shared_encoder, text_list
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
@@ -137,7 +137,7 @@ def pack_documents(
 
     def by_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         packer = Packer(window, open_windows, _base(0, task))
         end = np.array([end_id], dtype="<u4")
         for batch in batches:

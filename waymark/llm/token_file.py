@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.elias_fano import EliasFano
 from waymark.llm.shared import small_batches, table
-from waymark.llm.tokens import Encoder, text_list
+from waymark.llm.tokens import shared_encoder, text_list
 from waymark.session import fresh_path
 
 MAGIC = b"EFT1"
@@ -57,9 +57,16 @@ class Block:
     def __len__(self) -> int:
         return self.ends.count
 
+    def bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents at `places` start and end."""
+        starts = np.zeros(len(places), dtype=np.int64)
+        later = places > 0
+        starts[later] = self.ends.select(places[later] - 1)
+        return starts, self.ends.select(places)
+
     def document(self, i: int) -> np.ndarray:
-        start = self.ends.select(i - 1) if i else 0
-        return self.ids[start : self.ends.select(i)]
+        (start,), (end,) = self.bounds(np.array([i]))
+        return self.ids[start:end]
 
 
 def write_token_files(
@@ -71,16 +78,16 @@ def write_token_files(
 ) -> None:
     """Encode `docs` (`doc_id`, `text`; other columns are ignored) into blocks at `path`.
 
-    Documents are ordered by doc_id, null first; rows that repeat an id keep one place next
-    to each other, ordered by text. A null or empty text is its end id alone. An empty table
-    writes no block.
+    Documents are ordered by doc_id, null first; rows that repeat an id are next to each other,
+    ordered by a hash of the text, so that they may fill several shards. A null or empty text is
+    its end id alone. An empty table writes no block.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
         ids: list[np.ndarray] = []
@@ -107,7 +114,8 @@ def write_token_files(
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = read.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = read.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ordered.mapInPandas(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -129,8 +137,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for start, names, data in zip(batch["block_start"], batch["doc_ids"], batch["data"]):
                 block = Block(data)
-                ends = block.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
+                starts, ends = block.bounds(np.arange(len(block)))
                 wide = block.ids.astype("<u4")
                 yield pd.DataFrame(
                     {

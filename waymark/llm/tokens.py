@@ -2,7 +2,8 @@
 
 The tokenizers library encodes a text as runs that never cross a word's leading space or line
 break, so the ids of a text are those of its words, each with its leading character, in a row.
-Words repeat, so a worker asks the library once per distinct word and looks the rest up.
+Words repeat, so a worker asks the library once per distinct word and looks the rest up, from one
+task to the next.
 This holds unless white space meets white space at a cut; such texts go to the library whole.
 """
 
@@ -10,13 +11,17 @@ from __future__ import annotations
 
 import json
 from array import array
+from operator import attrgetter
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+# A word takes some 200 bytes of its worker.
+CACHE_WORDS = 1_500_000
 # Words that the library is asked for at a time, and texts whose words are learned together.
 ASKED = 20_000
 LEARNED = 64
+# Letter runs that its model is asked for at a time.
+JOINED = 256
 # Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others, in
 # order, for the characters from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -25,9 +30,22 @@ BYTE_LETTERS = {b: b for b in _PRINTED} | {
 }
 BYTE_SPACE = chr(BYTE_LETTERS[32])
 MARKS = ".,;:!?|"
+_ID = attrgetter("id")
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
 
+_LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
+
+
+def _of_letters(token: str) -> bool:
+    """Whether a token with spaces inside may come from runs of letters."""
+    try:
+        words = bytes(_LETTER_BYTES[ord(c)] for c in token).decode().split()
+    except (KeyError, UnicodeDecodeError):
+        return True
+    return bool(words) and all(w.isalpha() for w in words)
+
+
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     """A public vocabulary file; resolved where it is called, on each worker."""
     import public_tokenizers
@@ -53,6 +71,12 @@ class Encoder:
         cut = json.loads(self._library.to_str())
         self._runs = not cut["normalizer"] and (cut["pre_tokenizer"] or {}).get("type") == "ByteLevel"
         self._tokenize = self._library.model.tokenize
+        # Where no token of letters holds a space inside, spaced runs can be asked for in one string:
+        # what starts with the space starts a run.
+        vocabulary = self._library.get_vocab()
+        self._joined = self._runs and not any(BYTE_SPACE in t[1:] and _of_letters(t) for t in vocabulary)
+        self._leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._leads[[n for t, n in vocabulary.items() if t[:1] == BYTE_SPACE]] = True
         self._marks = {m: self._whole(m).tobytes() for m in MARKS}
 
     @property
@@ -70,34 +94,46 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
 
-    def _run(self, letters: str, lead: str) -> bytes:
-        """Ids of a run of letters, with the space before it if `lead` has one."""
-        if letters.isascii():
-            as_bytes = BYTE_SPACE + letters if lead else letters
-        else:
-            as_bytes = (lead + letters).encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self._tokenize(as_bytes)]).tobytes()
+    def _run(self, letters: str) -> bytes:
+        """Ids of letters and single spaces, without a cut into runs."""
+        as_bytes = letters.replace(" ", BYTE_SPACE) if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", map(_ID, self._tokenize(as_bytes))).tobytes()
+
+    def _spaced_runs(self, words: list[str]) -> None:
+        """Make runs of letters, each behind a space, known."""
+        size = JOINED if self._joined else 1
+        for at in range(0, len(words), size):
+            part = words[at : at + size]
+            raw = self._run(" " + " ".join(part))
+            cuts = [0, len(raw)]
+            if len(part) > 1:
+                cuts[:1] = (np.flatnonzero(self._leads[np.frombuffer(raw, dtype="<u4")]) * 4).tolist()
+            self._known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _learn(self, words: set[str]) -> None:
         """Make the words known."""
-        spaced, broken = [], []
+        spaced, broken, runs, marked = [], [], set(), []
+        known, marks = self._known, self._marks
         lead = np.array([self._break], dtype="<u4").tobytes()
         for word in words:
             body = word[1:] if word[:1] == "\n" else word
-            mark = body[-1:] if body[-1:] in self._marks else ""
+            mark = body[-1:] if body[-1:] in marks else ""
             letters = body[:-1] if mark else body
             if self._runs and letters.isalpha():
                 key = word[:-1] if mark else word
-                ids = self._known.get(key)
-                if ids is None:
-                    ids = self._run(letters, " ") if body is word else lead + self._run(letters, "")
-                    self._known[key] = ids
+                if key not in known:
+                    if body is word:
+                        runs.add(key)
+                    else:
+                        known[key] = lead + self._run(letters)
                 if mark:
-                    self._known[word] = ids + self._marks[mark]
+                    marked.append(word)
             elif not body or body[0].isspace() or body[-1].isspace():
-                self._known[word] = None
+                known[word] = None
             else:
                 (spaced if body is word else broken).append(body)
+        self._spaced_runs(list(runs))
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in marked])
         for at in range(0, len(spaced), ASKED):
             part = spaced[at : at + ASKED]
             self._known.update(zip(part, self._ids([" " + w for w in part])))
@@ -134,6 +170,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def shared_encoder(path: str | None = None) -> Encoder:
+    """This worker's encoder of a vocabulary: one for all its tasks, which keeps the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def text_list(column) -> list[str]:
     """A pandas column of texts with null as empty."""
     return ["" if not isinstance(t, str) else t for t in column]

@@ -4,10 +4,11 @@ Writing: one record per row, through Spark's text writer, whose line separator i
 lines that end a record. Of equal payloads one row is the response, the others revisit it.
 
 Reading: tasks look for the record magic in byte ranges of the archives and emit, for every
-candidate, its offset and that of its successor. Payloads may hold the magic too, so only
+candidate, its offset and that of its successor, and size and digest of its payload, so that bytes
+stay where they are read and chains carry numbers only. Payloads may hold the magic too, so only
 candidates on the chain from a file's start count: pointers are doubled round by round, and
-what they reach from offset 0 is kept, and must reach the file's end. Payloads are then cut out
-at verified offsets only.
+what they reach from offset 0 is kept, and must reach the file's end. Payloads are cut out, if
+they are asked for, at verified offsets only.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ from waymark.session import fresh_path
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.0\r\n"
 # Records and bytes per archive file (a longer record is a file of its own), bytes of a range
-# searched by one task row, and behind it for headers (longer ones are searched to the file's end).
+# searched by one task row, and behind it for the rest of its last record (what is longer is looked
+# up in the file, in a second pass over the archives that hold such a record).
 ARCHIVE_RECORDS = 2000
 ARCHIVE_BYTES = 128 << 20
 FIELD_BYTES = 1 << 10
 RANGE_BYTES = 4 << 20
-HEADER_BYTES = 64 << 10
+TAIL_BYTES = 1 << 20
+# Bytes digested in a range at most, in ranges: false candidates may hold each other.
+DIGESTED = 4
+# Archives whose open records are listed in one broadcast.
+BROADCAST_ARCHIVES = 1 << 12
 LEAST_PAYLOAD = 0
 # Repeated digests, of some forty bytes, that may be broadcast.
 BROADCAST_DIGESTS = 1 << 18
@@ -40,7 +46,7 @@ _BASE16, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWX
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
 CANDIDATES = (
     "path string, start long, next long, payload long, length long, kind string, page string, "
-    "refers string, digest string, full_length long"
+    "refers string, digest string, full_length long, sha1 string"
 )
 
 
@@ -105,19 +111,29 @@ def write_archives(
         out.option("lineSep", END).option("maxRecordsPerFile", str(limits[k])).text(path)
 
 
+def _digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def _candidates(path: str, begin: int, piece: bytes, own: int, last: bool) -> Iterator[tuple]:
     """Candidate records whose magic starts in the first `own` bytes of a file's piece.
 
-    One whose header goes on behind a piece that is not the `last` has nulls but for its place.
+    One whose header goes on behind a piece that is not the `last` has nulls but for its place; one
+    whose payload does, or comes after enough others, has no `sha1`.
     """
-    at, end = piece.find(MAGIC), None
+    at, end, left = piece.find(MAGIC), None, DIGESTED * own
     while 0 <= at < own:
         if end is None or 0 <= end < at:
             end = piece.find(END.encode(), at)
         if end >= 0:
-            yield from _candidate(path, begin + at, piece[at:end])
+            for row in _candidate(path, begin + at, piece[at:end]):
+                first, size = row[3] - begin, row[4]
+                if first + size <= len(piece) and size <= left:
+                    left -= size
+                    row = (*row[:-1], _digest(piece[first : first + size]))
+                yield row
         elif not last:
-            yield (path, begin + at, *[None] * 8)
+            yield (path, begin + at, *[None] * 9)
         at = piece.find(MAGIC, at + 1)
 
 
@@ -131,7 +147,7 @@ def _candidate(path: str, start: int, header: bytes) -> Iterator[tuple]:
             path, start, payload + int(length) + len(END), payload, int(length),
             fields.get(b"warc-type"), fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"),
             fields.get(b"warc-payload-digest"),
-            int(whole) if whole.isascii() and whole.isdigit() else None,
+            int(whole) if whole.isascii() and whole.isdigit() else None, None,
         )
 
 
@@ -139,44 +155,59 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def verified_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The header rows of the records on each archive's chain from its start.
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+    return made.astype(dict.fromkeys(["next", "payload", "length", "full_length"], "Int64"))
+
+
+def _with_archives(spark: SparkSession, path: str, rows: DataFrame, columns: str) -> DataFrame:
+    """The archives that `rows` are of, each with a list of their `columns`."""
+    listed = rows.groupBy("path").agg(F.collect_list(F.struct(*columns.split())).alias("open"))
+    listed = written(listed, "open-records")
+    # A path and up to an archive's number of records each, for so many archives, go to all tasks; a
+    # longer list meets the archives it names in a shuffle.
+    if listed.limit(BROADCAST_ARCHIVES + 1).count() <= BROADCAST_ARCHIVES:
+        listed = F.broadcast(listed)
+    return _archives(spark, path).select("path", "content").join(listed, "path").select("path", "content", "open")
+
+
+def verified_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, tail_bytes: int = TAIL_BYTES) -> DataFrame:
+    """The header rows of the records on each archive's chain from its start, payloads digested (`sha1`).
 
     An archive whose chain does not end where the file does is an error.
     """
     small_batches(spark)
     ranges = _archives(spark, path).select(
         "path", "length", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("begin")
-    ).select("path", "begin", F.expr(f"substring(content, int(begin + 1), {range_bytes + HEADER_BYTES})").alias("piece"), F.expr(f"begin + {range_bytes + HEADER_BYTES} >= length").alias("last"))
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
-        return made.astype(dict.fromkeys(["next", "payload", "length", "full_length"], "Int64"))
+    ).select("path", "begin", F.expr(f"substring(content, int(begin + 1), {range_bytes + tail_bytes})").alias("piece"), F.expr(f"begin + {range_bytes + tail_bytes} >= length").alias("last"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield frame([
-                c
-                for file, begin, piece, last in zip(batch["path"], batch["begin"], batch["piece"], batch["last"])
-                for c in _candidates(file, int(begin), piece, range_bytes, last)
-            ])
+            for file, begin, piece, last in zip(batch["path"], batch["begin"], batch["piece"], batch["last"]):
+                yield _frame(list(_candidates(file, int(begin), piece, range_bytes, last)))
 
     def search_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content, starts in zip(batch["path"], batch["content"], batch["starts"]):
+            for file, content, starts in zip(batch["path"], batch["content"], batch["open"]):
                 rows, end = [], None
-                for start in sorted(starts):
+                for start in sorted(s["start"] for s in starts):
                     if end is None or 0 <= end < start:
                         end = content.find(END.encode(), start)
                     if end >= 0:
                         rows += _candidate(file, int(start), content[start:end])
-                yield frame(rows)
+                yield _frame(rows)
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, content, rows in zip(batch["path"], batch["content"], batch["open"]):
+                made = [(file, r["start"], _digest(content[r["payload"] : r["payload"] + r["length"]])) for r in rows]
+                yield pd.DataFrame(made, columns=["path", "start", "late"])
 
     found = written(ranges.mapInPandas(search, CANDIDATES), "candidates")
-    cut = found.where("next IS NULL").groupBy("path").agg(F.collect_list("start").alias("starts"))
+    cut = found.where("next IS NULL")
     if not cut.isEmpty():
-        more = _archives(spark, path).select("path", "content").join(cut, "path").select("path", "content", "starts")
-        found = written(found.where("next IS NOT NULL").unionByName(more.mapInPandas(search_on, CANDIDATES)), "candidates")
+        more = _with_archives(spark, path, cut, "start").mapInPandas(search_on, CANDIDATES)
+        found = written(found.where("next IS NOT NULL").unionByName(more), "candidates")
     jumps = found.select("path", "start", "next")
     reached = found.where("start = 0").select("path", "start")
     while True:
@@ -191,58 +222,64 @@ def verified_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BY
             break
     records = found.join(reached.distinct(), ["path", "start"], "left_semi")
     ends = records.groupBy("path").agg(F.max("next").alias("end"))
-    lengths = _archives(spark, path).select("path", "length").where("length > 0")
+    lengths = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     broken = lengths.join(ends, "path", "left").where(~F.col("end").eqNullSafe(F.col("length"))).limit(3).collect()
     if broken:
         raise ValueError("; ".join(f"{r.path}: records end at {r.end or 0} of {r.length} bytes" for r in broken))
-    return records
+    late = records.where("sha1 IS NULL")
+    if late.isEmpty():
+        return records
+    told = written(_with_archives(spark, path, late, "start payload length").mapInPandas(digest, "path string, start long, late string"), "late")
+    return records.join(told, ["path", "start"], "left").withColumn("sha1", F.coalesce("sha1", "late")).drop("late")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per verified record: `page_id, record_type, refers_to, payload, payload_bytes, payload_digest`.
+def record_table(records: DataFrame, *more: str) -> DataFrame:
+    """Per verified record: `page_id, record_type, refers_to, payload_bytes, payload_digest`.
 
     Bytes and digest of a response are those of what was read; a revisit has those of its header.
+    `more` columns of `records` come along.
     """
-    small_batches(spark)
-    records = verified_records(spark, path)
-    # An archive's records, a bounded number, ride with it to one task.
-    listed = records.groupBy("path").agg(
-        F.collect_list(F.struct("payload", "length", "kind", "page", "refers", "digest", "full_length")).alias("records")
-    )
-    joined = _archives(spark, path).select("path", "content").join(listed, "path")
+    revisit = F.col("kind").eqNullSafe("revisit")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return records.select(
+        number("page").alias("page_id"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"),
+        F.when(revisit, F.col("full_length")).otherwise(F.col("length")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("digest", "^sha1:", "")).otherwise(F.col("sha1")).alias("payload_digest"),
+        *more,
+    )
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """`record_table` and the `payload` of every verified record (null for a revisit).
 
-    def number(name: str | None) -> int | None:
-        digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits.lstrip("-").isdigit() else None
+    Payloads are cut out where their archive is read again, which meets its list of records.
+    """
+    records = verified_records(spark, path)
+    cut_rows = _with_archives(spark, path, records, "payload length kind page refers digest full_length sha1")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = "page_id record_type refers_to payload payload_bytes payload_digest".split()
+        columns = "page kind refers digest full_length length sha1 payload".split()
         for batch in batches:
-            for content, records in zip(batch["content"], batch["records"]):
+            for content, records in zip(batch["content"], batch["open"]):
                 rows, held = [], 0
                 for r in records:
+                    whole = None if r["kind"] == "revisit" else content[r["payload"] : r["payload"] + r["length"]]
+                    held += r["length"]
+                    rows.append((*[r[c] for c in columns[:-1]], whole))
                     if held > BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pd.DataFrame(rows, columns=columns).astype({"full_length": "Int64"})
                         rows, held = [], 0
-                    if r["kind"] == "revisit":
-                        payload, size = None, int(r["full_length"])
-                        digest = (r["digest"] or "").removeprefix("sha1:")
-                    else:
-                        payload = content[r["payload"] : r["payload"] + r["length"]]
-                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    held += r["length"]
-                    rows.append((number(r["page"]), r["kind"], number(r["refers"]), payload, size, digest))
-                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=columns).astype({"full_length": "Int64"})
 
-    schema = "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
-    return joined.mapInPandas(cut, schema)
+    schema = "page string, kind string, refers string, digest string, full_length long, length long, sha1 string, payload binary"
+    return record_table(cut_rows.mapInPandas(cut, schema), "payload")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return record_table(verified_records(spark, path))
 
 
 OP5_SQL = r"""
