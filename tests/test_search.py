@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.vectors import cosine_distance, hashed_embedding
-from waymark.operators.ann import ann, cut_copies, recall
+from waymark.operators.cells import CellIndex, ann, recall
 from waymark.operators.embed import (
     BatchProvider,
     BatchTooLarge,
@@ -14,7 +14,7 @@ from waymark.operators.embed import (
     token_total,
 )
 from waymark.operators.filetypes import TABLE_RULES, assign_type
-from waymark.operators.knn import knn
+from waymark.operators.knn import Asked, knn, query_chunks, scan
 from waymark.operators.results import format_results, hydrate
 from waymark.operators.sampling import seeded_sample
 from waymark.plans.search import search, search_index
@@ -94,19 +94,65 @@ def test_filtered_knn_carries_payload(spark, points):
 def test_ann_recall_and_completeness(spark, points, limit):
     index = table(spark, "id", points).repartition(4)
     queries = table(spark, "query_id", points[:60])
-    found = ann(index, queries, 5, bands=16, bits=3, max_queries=limit)
+    found = ann(index, queries, 5)
     rows = found.collect()
     assert len(rows) == 300 and len({(r.query_id, r.id) for r in rows}) == 300
-    assert recall(found, knn(index, queries, 5)).first().recall > 0.8
-    # Keys so fine that hardly anything collides: answered exactly instead.
-    exact = as_set(knn(index, queries, 5))
-    fine = as_set(ann(index, queries, 5, bands=1, bits=40, max_queries=limit))
-    assert len(fine) == 300 and len(fine & exact) >= 290
+    assert recall(found, knn(index, queries, 5)).first().recall > 0.9
 
 
-def test_cut_copies_keeps_smallest_ids(spark, points):
-    kept = sorted(r.id for r in cut_copies(table(spark, "id", points), 3).collect())
-    assert kept == sorted({0, 100, 101} | set(range(1, 100)) | set(range(200, 300)))
+def test_all_cells_are_exact_search(spark, points, tmp_path):
+    index = table(spark, "id", points).withColumn("tag", F.col("id") % 3)
+    stored = CellIndex.build(index, str(tmp_path / "c"), 5, ("tag",))
+    queries = table(spark, "query_id", points[:60])
+    for limit in (4096, 10):
+        found = stored.search(queries, 7, ("tag",), probes=10_000, max_queries=limit)
+        assert as_set(found) == as_set(knn(index, queries, 7))
+        assert found.columns == ["query_id", "rank", "id", "distance", "tag"]
+    # One cell holds fewer rows than asked for: further ones are looked into.
+    assert stored.search(queries, len(points), probes=1).groupBy("query_id").count().where(f"count <> {len(points)}").isEmpty()
+
+
+def test_odd_vectors_in_cells(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, 1.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, []), (9, [1.0, None])]
+    index = spark.createDataFrame([(*r, "x") for r in rows], "id int, vector array<float>, cell string")
+    queries = spark.createDataFrame([(i, v) for i, v in rows], "query_id int, vector array<float>")
+    stored = CellIndex.build(index, str(tmp_path / "c"), 2)
+    assert {(r.query_id, r.id) for r in stored.search(queries, 5).collect()} == {(1, 1), (1, 5), (5, 1), (5, 5), (4, 4)}
+    none = CellIndex.build(index.limit(0), str(tmp_path / "none"), 2)
+    assert none.search(queries, 5).count() == 0
+    assert CellIndex(spark, str(tmp_path / "c")).search(queries.limit(0), 5).count() == 0
+
+
+def test_a_search_opens_the_probed_cells_only(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (400, 3600):
+        centres = rng.standard_normal((n // 40, 24))
+        rows = centres[np.arange(n) % len(centres)] + rng.standard_normal((n, 24)) * 0.05
+        index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id int, vector array<float>")
+        stored = CellIndex.build(index, str(tmp_path / str(n)), 5)
+        query = spark.createDataFrame([(1, rows[7].tolist())], "query_id int, vector array<float>")
+        asked, wanted = stored._asked(query.collect(), 5, None)
+        opened = stored.rows.where(wanted)
+        files = lambda df: df.select(F.input_file_name()).distinct().count()
+        assert files(opened) < files(stored.rows)
+        plan = opened._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "ann_cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        shares.append(opened.count() / n)
+        assert as_set(stored.search(query, 5)) == as_set(knn(index, query, 5))
+    assert shares[1] < shares[0] / 2
+
+
+def test_query_chunks_do_not_move_the_index(spark, points):
+    index, queries = table(spark, "id", points), table(spark, "query_id", points[:30])
+    chunks = list(query_chunks(queries, 8))
+    assert len(chunks) > 1 and sorted(r.query_id for c in chunks for r in c) == list(range(30))
+    assert max(map(len, chunks)) <= 16
+    asked = Asked([r.query_id for r in chunks[0]], [r.vector for r in chunks[0]])
+    plan = scan(index, queries, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert as_set(knn(index, queries, 3, max_queries=8)) == as_set(knn(index, queries, 3))
 
 
 def test_embed_batch_halves_keeps_order_and_counts():

@@ -1,8 +1,10 @@
 """Exact top-k by cosine distance for a table of queries.
 
 Distances are ranked to twelve decimals, ties go to the smaller id, and only the result is
-rounded for show, so results do not depend on how the index is split. No pair of query and index row leaves a task: each task
-multiplies its rows with the queries and passes on at most k rows per query.
+rounded for show, so results do not depend on how the index is split. Index rows never move and no
+pair of query and index row leaves a task: each task multiplies its rows with a chunk of the
+queries, a broadcast of checked size, and passes on at most k rows per query. More queries than one
+chunk holds go over the index chunk after chunk.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from waymark.functions.vectors import DISTANCE_DECIMALS, RANKED_DECIMALS
+from waymark.session import fresh_path, materialise
 
 # Fixed value: results per query when not told otherwise.
 DEFAULT_K = 20
-# Query sets up to this size travel to every task; beyond it both sides are split in blocks.
+# Queries and bytes of one chunk, which travels to every task.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 32 << 20
 SLICE_ROWS = 2048
+# Column of a row's cell, where queries look into some cells only.
+CELL = "ann_cell"
 # Tasks that the hits of one query are dealt over first.
 RANK_SHARES = 64
 
@@ -47,14 +51,43 @@ def knn(
     """
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     index = index.select("id", "vector", *payload)
-    # One row more than fits is enough to know that a query set is too large.
+    chunks = query_chunks(queries, max_queries)
+    ranked = lambda rows: rank_hits(scan(index, queries, Asked([r.query_id for r in rows], [r.vector for r in rows]), k), k)
+    near, second = ranked(next(chunks, [])), next(chunks, None)
+    # A query is in one chunk only, so each chunk's ranks are final; one chunk is held at a time.
+    if second is not None:
+        near = materialise(near, "hits")
+    while second is not None:
+        near = near.unionByName(materialise(ranked(second), "hits"))
+        second = next(chunks, None)
+    return near
+
+
+def query_chunks(queries: DataFrame, max_queries: int = MAX_BROADCAST_QUERIES) -> Iterator[list]:
+    """Rows of `queries` (`query_id`, `vector`) in chunks that may be sent to every task.
+
+    One row more than fits is enough to know that a set is too large; it is then written once, dealt
+    into folders of about even size, and read one folder at a time. All rows of a query are in one.
+    """
     head = queries.limit(max_queries + 1).collect()
     width = max((len(r.vector) for r in head), default=0)
     if len(head) <= max_queries and len(head) * width * 8 <= MAX_BROADCAST_BYTES:
-        near = _by_scan(index, queries, head, k)
-    else:
-        near = _by_blocks(index, queries, k, width)
-    return rank_hits(near, k)
+        if head:
+            yield head
+        return
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    fits = max(1, min(max_queries, MAX_BROADCAST_BYTES // (8 * max(size.width, 1))))
+    # Dealt by hash, chunks differ a little in size.
+    count = math.ceil(1.25 * size.n / fits)
+    path = fresh_path(queries.sparkSession, "query-chunks")
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")
+    queries.withColumn("chunk", chunk).repartition(min(count, 4096), "chunk").write.partitionBy("chunk").parquet(path)
+    schema = T.StructType([*queries.schema.fields, T.StructField("chunk", T.IntegerType())])
+    written = queries.sparkSession.read.schema(schema).parquet(path)
+    for k in range(count):
+        rows = written.where(F.col("chunk") == k).select("query_id", "vector").collect()
+        if rows:
+            yield rows
 
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -81,9 +114,8 @@ def _hit_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
     )
 
 
-def _by_scan(index: DataFrame, queries: DataFrame, head: list, k: int) -> DataFrame:
-    """One pass over the index; the queries (checked to be few) go along with the task."""
-    asked = _Queries([r.query_id for r in head], [r.vector for r in head])
+def scan(index: DataFrame, queries: DataFrame, asked: Asked, k: int) -> DataFrame:
+    """One pass over the index: at most k rows per query of every task. `asked` goes along with it."""
     schema = _hit_schema(index, queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,63 +124,74 @@ def _by_scan(index: DataFrame, queries: DataFrame, head: list, k: int) -> DataFr
     return index.mapInArrow(run, schema)
 
 
-def _by_blocks(index: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
-    """Both sides in hash blocks of bounded size; every pair of blocks meets in one group."""
-    per_block = max(1, BLOCK_BYTES // (8 * max(width, 1)))
-    query_blocks = max(1, math.ceil(queries.count() / per_block))
-    index_blocks = max(1, math.ceil(index.count() / per_block))
-    schema = _hit_schema(index, queries)
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("ib", block("id", index_blocks)).withColumn("qb", every(query_blocks))
-    right = queries.withColumn("qb", block("query_id", query_blocks)).withColumn(
-        "ib", every(index_blocks)
-    )
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, vectors = asked.column("query_id").to_pylist(), asked.column("vector").to_pylist()
-        return _nearest(rows.to_batches(), _Queries(ids, vectors), k, schema)
-
-    return left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInArrow(run, schema)
+class Asked:
+    """Query ids, and their unit vectors by what they are compared with.
 
+    That is all rows of their width, or, with `by_cell` ({(width, cell): places of queries}), the
+    rows of their width in a cell.
+    """
 
-class _Queries:
-    """Query ids, and unit vectors grouped by width."""
-
-    def __init__(self, ids: list, vectors: list):
+    def __init__(self, ids: list, vectors: list, by_cell: dict[tuple[int, int], list[int]] | None = None):
         self.ids = np.empty(len(ids), dtype=object)
         self.ids[:] = ids
-        groups: dict[int, list] = {}
+        members: dict[int, list] = {}
         for at, vector in enumerate(vectors):
             unit = np.asarray(vector, dtype=np.float64)
             norm = np.sqrt(unit @ unit)
             if norm > 0:
-                groups.setdefault(len(unit), []).append((at, unit / norm))
-        self.groups = {
-            width: (np.array([at for at, _ in members]), np.vstack([u for _, u in members]))
-            for width, members in groups.items()
-        }
+                members.setdefault(len(unit), []).append((at, unit / norm))
+        self.units = {width: np.vstack([u for _, u in own]) for width, own in members.items()}
+        self.by_cell = by_cell is not None
+        # Places of queries, and of their vectors among those of their width.
+        self.places: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for width, own in members.items():
+            row = {at: n for n, (at, _) in enumerate(own)}
+            keys = {(width, 0): list(row)} if by_cell is None else {k: v for k, v in by_cell.items() if k[0] == width}
+            for key, places in keys.items():
+                kept = [at for at in places if at in row]
+                self.places[key] = np.array(kept, dtype=np.int64), np.array([row[at] for at in kept], dtype=np.int64)
+        self._last: tuple = (None, None)
+
+    def groups(self, widths: np.ndarray, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, places of queries, unit vectors) for the rows of a batch that some query is compared with."""
+        for key in map(tuple, np.unique(np.stack([widths, cells]), axis=1).T.tolist()):
+            places, rows = self.places.get(key, ((), ()))
+            if len(places):
+                # Consecutive batches are mostly of one key.
+                if self._last[0] != key:
+                    self._last = key, self.units[key[0]][rows]
+                yield np.flatnonzero((widths == key[0]) & (cells == key[1])), places, self._last[1]
 
 
 def _nearest(
-    batches: Iterator[pa.RecordBatch], asked: _Queries, k: int, schema: T.StructType
+    batches: Iterator[pa.RecordBatch], asked: Asked, k: int, schema: T.StructType
 ) -> pa.Table:
     """At most k rows per query, the nearest of all batches."""
     target = to_arrow_schema(schema)
     best: pd.DataFrame | None = None
-    # Distance a row must not exceed to be among a query's best.
+    new: list[pd.DataFrame] = []
+    # Distance a row must not exceed to be among a query's best; hits are merged, and it is lowered,
+    # when as many are waiting as may be kept.
     limit = np.full(len(asked.ids), np.inf)
+    patience = max(SLICE_ROWS, len(asked.ids) * k)
+
+    def merged() -> pd.DataFrame:
+        both = pd.concat(new if best is None else [best, *new], ignore_index=True)
+        return both.sort_values(["distance", "id"], kind="stable").groupby("q", sort=False).head(k)
+
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
-            new = _nearest_in(batch.slice(at, SLICE_ROWS), asked, limit, k)
-            if new is None:
+            found = _nearest_in(batch.slice(at, SLICE_ROWS), asked, limit, k)
+            if found is None:
                 continue
-            both = new if best is None else pd.concat([best, new], ignore_index=True)
-            both = both.sort_values(["distance", "id"], kind="stable")
-            best = both.groupby("q", sort=False).head(k)
-            per_query = best.groupby("q")["distance"].agg(["size", "max"])
-            full = per_query[per_query["size"] == k]
-            limit[full.index.to_numpy()] = full["max"].to_numpy()
+            new.append(found)
+            if sum(map(len, new)) >= patience:
+                best, new = merged(), []
+                per_query = best.groupby("q")["distance"].agg(["size", "max"])
+                full = per_query[per_query["size"] == k]
+                limit[full.index.to_numpy()] = full["max"].to_numpy()
+    if new:
+        best = merged()
     if best is None:
         return target.empty_table()
     best = best.assign(query_id=asked.ids[best["q"].to_numpy()])
@@ -156,17 +199,20 @@ def _nearest(
 
 
 def _nearest_in(
-    batch: pa.RecordBatch, asked: _Queries, limit: np.ndarray, k: int
+    batch: pa.RecordBatch, asked: Asked, limit: np.ndarray, k: int
 ) -> pd.DataFrame | None:
     """The k nearest rows of one batch for every query; of equal distances the smaller ids."""
     ids = batch.column(batch.schema.get_field_index("id"))
     batch = batch.take(pc.array_sort_indices(ids))
     vectors = batch.column(batch.schema.get_field_index("vector"))
     widths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cells = np.zeros(len(widths), dtype=np.int64)
+    if asked.by_cell:
+        cells = batch.column(batch.schema.get_field_index(CELL)).to_numpy(zero_copy_only=False)
     rest = batch.drop_columns(["vector"])
     found = []
-    for width, (positions, units) in asked.groups.items():
-        rows = np.flatnonzero(widths == width)
+    for rows, positions, units in asked.groups(widths.astype(np.int64), cells.astype(np.int64)):
+        width = units.shape[1]
         flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
         matrix = flat.astype(np.float64).reshape(len(rows), width)
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))

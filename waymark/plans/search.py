@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.ann import ann
+from waymark.operators.cells import ann
 from waymark.operators.embed import OK, BatchProvider, ColumnProvider, embed
 from waymark.operators.filetypes import SUPPORTED_TYPES
 from waymark.operators.filters import split_blank_queries

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waymark.operators import markdown as md
+from waymark.operators.cells import CALIBRATION, CENTROID_DECIMALS, MAX_CELLS, ROUNDS, ROWS_PER_CELL, SAMPLE_BYTES, SAMPLE_ROWS, TARGET
 from waymark.operators.html import BLOCKS, CONTAINERS, HEADINGS, LISTS, TOKEN
 from workload.tables import EXTENSIONS, MARKDOWN_STEPS
 
@@ -237,6 +238,47 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {k}"""
 
 
+def cells(k: int) -> str:
+    """CTEs ending in `found`: top-k of every vector among the rows of its nearest cells.
+
+    Cells are those of k-means on the sampled rows, unrolled; the probes those that the sampled
+    rows' exact neighbours need.
+    """
+    near = "round(list_dot_product(v.unit, c.unit), 9) + 0.0"
+    steps = [f"""
+rows AS (SELECT vec_id AS id, md5(vec_id::VARCHAR) AS mark,
+    list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS unit
+  FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+sample AS (SELECT id, unit, row_number() OVER (ORDER BY mark, id) AS n FROM rows
+  QUALIFY n <= least({SAMPLE_ROWS}, {SAMPLE_BYTES} // (8 * len(unit)))),
+sized AS (SELECT greatest(1, least({MAX_CELLS}, ceil(sqrt((SELECT count(*) FROM rows)))::BIGINT, count(*) // {ROWS_PER_CELL})) AS cells FROM sample),
+c0 AS (SELECT n - 1 AS cell, list_transform(unit, lambda x: round(x, {CENTROID_DECIMALS})) AS unit FROM sample WHERE n <= (SELECT cells FROM sized))"""]
+    for i in range(ROUNDS):
+        steps.append(f"""
+a{i} AS (SELECT id, arg_max(cell, ({near}, -cell)) AS cell, any_value(v.unit) AS unit FROM sample v, c{i} c GROUP BY id),
+s{i} AS (SELECT cell, list(x ORDER BY d) AS total FROM (
+    SELECT cell, d, sum(unit[d]) AS x FROM a{i}, unnest(range(1, len(unit) + 1)) AS u(d) GROUP BY cell, d) GROUP BY cell),
+c{i + 1} AS (SELECT cell, CASE WHEN list_dot_product(total, total) > 0 THEN list_transform(total, lambda x:
+    round(x / sqrt(list_dot_product(total, total)), {CENTROID_DECIMALS})) ELSE unit END AS unit FROM c{i} LEFT JOIN s{i} USING (cell))""")
+    steps.append(f"""
+ordered AS (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY {near} DESC, cell) AS probe
+  FROM rows v, c{ROUNDS} c),
+placed AS (SELECT id, cell FROM ordered WHERE probe = 1),
+pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS id,
+    round(list_cosine_distance(i.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) + 0.0 AS distance
+  FROM embeddings q, embeddings i),
+exact AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs),
+neighbours AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM exact
+  WHERE rank <= {k + 1} AND query_id <> id AND query_id IN (SELECT id FROM sample WHERE n > (SELECT count(*) FROM sample) - {CALIBRATION})),
+needed AS (SELECT probe, row_number() OVER (ORDER BY probe) AS n, count(*) OVER () AS total
+  FROM neighbours JOIN placed USING (id) JOIN ordered ON ordered.id = query_id AND ordered.cell = placed.cell WHERE place <= {k}),
+probed AS (SELECT coalesce((SELECT probe FROM needed WHERE n = ceil({TARGET} * total)), 1) AS probes),
+found AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, pairs.id) AS rank
+  FROM pairs JOIN placed USING (id) JOIN ordered ON ordered.id = query_id AND ordered.cell = placed.cell, probed
+  WHERE probe <= probes QUALIFY rank <= {k})""")
+    return ",".join(steps)
+
+
 _REL = lambda root: (
     f"CASE WHEN starts_with(path, '{root}/') THEN substr(path, {len(root) + 2}) ELSE path END"
 )
@@ -368,6 +410,14 @@ SELECT vec_id AS id, label::BIGINT AS label FROM embeddings WHERE label = 1 OR l
     "knn_exact": knn(20),
     "knn_filtered": knn(5, "i.label = 3"),
     "knn_blocks": knn(5),
+    # A query looks into further cells until they hold k rows; none of these needs to.
+    "ann_search": f"""
+WITH {cells(5)}
+SELECT query_id, rank, id, round(distance, 6) + 0.0 AS distance FROM found""",
+    "ann_recall": f"""
+WITH {cells(5)}
+SELECT count(*) AS n_exact, count(f.id) AS n_found, count(f.id) / count(*) AS recall
+FROM exact e LEFT JOIN found f ON e.query_id = f.query_id AND e.id = f.id WHERE e.rank <= 5""",
     "blank_queries": """
 SELECT conv_id, turn, CASE WHEN q IS NULL OR trim(q, ' ' || chr(9) || chr(10)) = '' THEN 'empty_query'
        ELSE 'ok' END AS status, md5(q) AS query_hash

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions.hashing import content_hash
 from waymark.functions.text import epoch_seconds
 from waymark.operators import diff
-from waymark.operators.ann import ann, recall
+from waymark.operators.cells import ann, recall
 from waymark.operators.code import code_units
 from waymark.operators.embed import (
     BatchProvider,
