@@ -1,3 +1,6 @@
+import os
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from waymark.sources.corpus import (
     latest_per_path,
     scan_file_hashes,
     scan_files,
+    scan_tree,
+    _local_entries,
 )
 
 
@@ -83,11 +88,62 @@ def test_scan_finds_hidden_names(spark, tmp_path):
     assert {r.path for r in scan_files(spark, f"file://{tmp_path}").collect()} == set(got)
 
 
-def test_scan_pushes_size_and_prunes_content(spark, tmp_path):
+def test_scan_of_a_store_pushes_size_and_prunes_content(spark, tmp_path):
     (tmp_path / "a.rs").write_text("fn a() {}\n")
-    df = scan_files(spark, str(tmp_path)).select("path")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.scans.link./top", f"file://{tmp_path}")
+    df = scan_files(spark, "viewfs://scans/top", hidden=False).select("path")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(length,0)" in plan and "LessThanOrEqual(length,1000000)" in plan
+    assert [r.path for r in df.collect()] == ["/top/a.rs"]
+
+
+def test_scan_follows_no_link_and_tells(spark, tmp_path, monkeypatch):
+    for name in ("pkg/a.py", "pkg/.hid/b.py", "other/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    (tmp_path / "pkg/.hid/loop").symlink_to("..")
+    (tmp_path / "pkg/linked.py").symlink_to("a.py")
+    (tmp_path / "pkg/dangling.py").symlink_to("nowhere.py")
+    (tmp_path / "outside").symlink_to(tmp_path / "other")
+    os.mkfifo(tmp_path / "pkg/pipe.py")
+    root = str(tmp_path)
+    monkeypatch.setattr("waymark.sources.corpus.WALK", 1)
+    found = scan_tree(spark, root)
+    assert {r.path: r.content for r in found.files.collect()} == {f"{root}/{n}": f"# {n}\n" for n in ("pkg/a.py", "pkg/.hid/b.py", "other/c.py")}
+    links = ("pkg/.hid/loop", "pkg/linked.py", "pkg/dangling.py", "outside")
+    want = {(f"{root}/{n}", "link") for n in links} | {(f"{root}/pkg/pipe.py", "special")}
+    assert {tuple(r) for r in found.skipped.collect()} == want
+    # A folder that ends in a link, a single file, a relative root, a root that is not there.
+    assert {tuple(r) for r in scan_tree(spark, f"{root}/outside").skipped.collect()} == {(f"{root}/outside", "link")}
+    assert scan_files(spark, [f"{root}/pkg/a.py", f"{root}/pkg"]).select("path").distinct().count() == 2
+    with pytest.raises(FileNotFoundError):
+        scan_files(spark, f"{root}/nowhere")
+
+
+def test_relative_roots(spark, tmp_path):
+    folder = tempfile.mkdtemp(dir=".")
+    try:
+        with open(f"{folder}/a.py", "w") as file:
+            file.write("# a\n")
+        assert [r.path for r in scan_files(spark, folder).collect()] == [os.path.abspath(f"{folder}/a.py")]
+    finally:
+        os.remove(f"{folder}/a.py")
+        os.rmdir(folder)
+
+
+def test_unreadable_entries_are_told(tmp_path, monkeypatch):
+    (tmp_path / "a.py").write_text("a")
+    (tmp_path / "sub").mkdir()
+    monkeypatch.setattr(os, "access", lambda *_: False)
+    assert [(r[3], r[5]) for r in _local_entries(str(tmp_path), False)] == [("skipped", "unreadable"), ("folder", None)]
+
+    def refuse(_):
+        raise PermissionError
+
+    monkeypatch.setattr(os, "listdir", refuse)
+    assert [(r[0], r[5]) for r in _local_entries(str(tmp_path), False)] == [(str(tmp_path), "unreadable")]
+    assert [r[5] for r in _local_entries(str(tmp_path / "gone"), False)] == ["missing"]
 
 
 def test_latest_per_path(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import stat
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyarrow import fs
@@ -17,8 +20,45 @@ from waymark.session import materialise
 
 # A path's scheme and authority, which a corpus does without.
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+"
-_LISTED = "uri string, length long, modificationTime timestamp, is_folder boolean, unseen boolean"
+# `kind`: file, folder (still to be listed), or skipped for a `reason`; `unseen`: a name, or one of a
+# folder above, that starts with `.` or `_`.
+_LISTED = "uri string, length long, modificationTime timestamp, kind string, unseen boolean, reason string"
 _OPENED = "path string, content binary, length long, modificationTime timestamp"
+# Input bytes per core below which an input is dealt out.
+SPREAD_BYTES = 32 << 20
+# Entries that a task lists before it hands further folders on.
+WALK = 10_000
+
+
+class Scan(NamedTuple):
+    """Source files, and what the scan passed over: `path, reason`.
+
+    Reasons: `link` (links are not followed), `special` (neither file nor folder), `unreadable`
+    and `missing`, for files, folders and roots.
+    """
+
+    files: DataFrame
+    skipped: DataFrame
+
+
+def scan_tree(
+    spark: SparkSession,
+    root: str | list[str],
+    rules: tuple[TypeRule, ...] = DEFAULT_RULES,
+    max_bytes: int = MAX_BYTES,
+    hidden: bool = True,
+) -> Scan:
+    """Typed source files under `root`, decoded, and the entries that could not be taken.
+
+    Files that are not UTF-8 are left out. Local trees are listed and read by tasks, regular files
+    only; a link, to a file or a folder, is never followed, so a tree of loops ends. Other stores are
+    read by Spark's file source, with names that start with `.` or `_`, which it does not list,
+    found and read by tasks unless `hidden` is false. Neither the size rule nor the type rule
+    opens a file it rejects; files that vanish between listing and reading are passed over. A
+    relative root is one of the default file system's working folder; a root may be a file.
+    """
+    raw, skipped = _raw_files(spark, root, rules, hidden, (F.col("length") > 0) & (F.col("length") <= max_bytes))
+    return Scan(decode_utf8(assign_type(raw, rules)), skipped)
 
 
 def scan_files(
@@ -28,15 +68,8 @@ def scan_files(
     max_bytes: int = MAX_BYTES,
     hidden: bool = True,
 ) -> DataFrame:
-    """Typed source files under `root`, decoded; files that are not UTF-8 are left out.
-
-    The size rule reaches the file source as a pushed filter and the type rule needs the
-    name only, so neither opens a file it rejects. Names that start with `.` or `_`, which
-    Spark's file source does not list, are found and read by tasks (`unseen_files`) unless
-    `hidden` is false. Files that vanish between listing and reading are skipped.
-    """
-    raw = _raw_files(spark, root, rules, hidden, (F.col("length") > 0) & (F.col("length") <= max_bytes))
-    return decode_utf8(assign_type(raw, rules))
+    """The files of `scan_tree`."""
+    return scan_tree(spark, root, rules, max_bytes, hidden).files
 
 
 def scan_file_hashes(
@@ -45,83 +78,149 @@ def scan_file_hashes(
     rules: tuple[TypeRule, ...] = DEFAULT_RULES,
     hidden: bool = True,
 ) -> DataFrame:
-    """Path, raw bytes and times of every typed file, for fingerprints: no size or text rule.
+    """Path, raw bytes and times of every typed file, for fingerprints: no size or text rule."""
+    return _raw_files(spark, root, rules, hidden, F.lit(True))[0]
 
-    Empty files, for which Spark plans no read, are among them unless `hidden` is false.
-    """
-    return _raw_files(spark, root, rules, hidden, F.lit(True))
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root with its scheme, absolute. One that is not there is an error, not an empty corpus."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(path):
+        raise FileNotFoundError(root)
+    return system.makeQualified(path).toString()
 
 
 def _raw_files(
     spark: SparkSession, root: str | list[str], rules: tuple[TypeRule, ...], hidden: bool, sized: Column
-) -> DataFrame:
-    seen = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-        .where(sized)
-        .select("path", "content", "length", "modificationTime")
-    )
-    if hidden:
-        roots = [root] if isinstance(root, str) else root
-        listed = unseen_files(spark, roots).where(sized)
-        wanted = listed.where(type_of(F.col("uri"), rules).isNotNull())
-        seen = seen.where("length > 0").unionByName(open_files(wanted))
-    return seen.select(
+) -> tuple[DataFrame, DataFrame]:
+    roots = [qualified(spark, r) for r in ([root] if isinstance(root, str) else root)]
+    local = [r.removeprefix("file:") for r in roots if r.startswith("file:")]
+    local = ["/" + r.lstrip("/") for r in local]
+    stores = [r for r in roots if not r.startswith("file:")]
+    listed = list_tree(spark, local, stores) if local or hidden else spark.createDataFrame([], _LISTED)
+    wanted = listed.where((F.col("kind") == "file") & sized)
+    if not hidden:
+        wanted = wanted.where("NOT unseen")
+    found = open_files(wanted.where(type_of(F.col("uri"), rules).isNotNull()))
+    if stores:
+        seen = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("ignoreMissingFiles", "true")
+            .load(stores)
+            .where(sized & (F.col("length") > 0))
+            .select("path", "content", "length", "modificationTime")
+        )
+        found = seen.unionByName(found)
+    files = found.select(
         F.regexp_replace("path", _SCHEME, "/").alias("path"),
         "content",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
         F.lit(None).cast("timestamp").alias("ctime"),
     ).where(type_of(F.col("path"), rules).isNotNull())
-
-
-def unseen_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """`uri, length, modificationTime` of files that Spark's file source does not read.
-
-    Those are names starting with `.` or `_`, all below such folders, and empty files. Folders
-    are listed by tasks, one level of the tree at a time, through Arrow's file systems.
+    skipped = listed.where("kind = 'skipped'")
+    return files, skipped.select(F.regexp_replace("uri", _SCHEME, "/").alias("path"), "reason")
+
+
+def _local_entries(folder: str, unseen: bool) -> Iterator[tuple]:
+    """Rows of one local folder, or of a root that is a file; links stay what they are."""
+    try:
+        if not stat.S_ISDIR(os.lstat(folder).st_mode):
+            names = [folder]
+        else:
+            names = [os.path.join(folder, n) for n in sorted(os.listdir(folder))]
+    except FileNotFoundError:
+        yield folder, 0, None, "skipped", unseen, "missing"
+        return
+    except OSError:
+        yield folder, 0, None, "skipped", unseen, "unreadable"
+        return
+    for name in names:
+        hidden = unseen or os.path.basename(name)[:1] in (".", "_")
+        try:
+            info = os.lstat(name)
+        except OSError:
+            yield name, 0, None, "skipped", hidden, "missing"
+            continue
+        when = pd.Timestamp(info.st_mtime_ns // 1000, unit="us")
+        if stat.S_ISDIR(info.st_mode):
+            yield name, 0, when, "folder", hidden, None
+        elif not stat.S_ISREG(info.st_mode):
+            yield name, 0, when, "skipped", hidden, "link" if stat.S_ISLNK(info.st_mode) else "special"
+        elif not os.access(name, os.R_OK):
+            yield name, info.st_size, when, "skipped", hidden, "unreadable"
+        else:
+            yield name, info.st_size, when, "file", hidden, None
+
+
+def _store_entries(uri: str, unseen: bool) -> Iterator[tuple]:
+    """Rows of one folder of another store: its folders, and the files that Spark does not read."""
+    try:
+        system, path = fs.FileSystem.from_uri(uri)
+        infos = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    except (OSError, ValueError) as error:
+        yield uri, 0, None, "skipped", unseen, "missing" if isinstance(error, FileNotFoundError) else "unreadable"
+        return
+    lead = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+    for info in infos:
+        hidden = unseen or info.base_name[:1] in (".", "_")
+        if info.type == fs.FileType.Directory:
+            yield lead + info.path, 0, info.mtime, "folder", hidden, None
+        elif info.type == fs.FileType.File and (hidden or not info.size):
+            yield lead + info.path, info.size or 0, info.mtime, "file", hidden, None
+
+
+def list_tree(spark: SparkSession, local: list[str], stores: list[str]) -> DataFrame:
+    """Files and skipped entries below folders, as `_LISTED` rows.
+
+    Tasks list folders, each up to `WALK` entries deep and wide, and what is left is dealt out again.
+    Of stores only files are listed that Spark's source leaves out: hidden names and empty files.
     """
 
-    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uri, unseen in zip(batch["uri"], batch["unseen"]):
-                system, path = fs.FileSystem.from_uri(uri)
-                lead = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
-                infos = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-                rows = [
-                    (
-                        lead + i.path,
-                        i.size or 0,
-                        i.mtime,
-                        i.type == fs.FileType.Directory,
-                        bool(unseen) or i.base_name[:1] in (".", "_"),
-                    )
-                    for i in infos
-                ]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")])
-
-    level = spark.createDataFrame([(r.rstrip("/") or "/", False) for r in roots], "uri string, unseen boolean")
+            for root, unseen in zip(batch["uri"], batch["unseen"]):
+                rows, folders = [], [(root, bool(unseen))]
+                while folders and len(rows) < WALK:
+                    folder, below = folders.pop()
+                    entries = _local_entries if folder.startswith("/") else _store_entries
+                    for row in entries(folder, below):
+                        if row[3] == "folder":
+                            folders.append((row[0], row[4]))
+                        else:
+                            rows.append(row)
+                rows += [(folder, 0, None, "folder", below, None) for folder, below in folders]
+                made = pd.DataFrame(rows, columns=[c.split()[0] for c in _LISTED.split(", ")])
+                made["modificationTime"] = pd.to_datetime(made["modificationTime"], utc=True)
+                yield made
+
+    level = spark.createDataFrame([(r, False) for r in dict.fromkeys([*local, *stores])], "uri string, unseen boolean")
     found = spark.createDataFrame([], _LISTED)
     while not level.isEmpty():
-        inside = materialise(level.repartition("uri").mapInPandas(list_folders, _LISTED), "listing")
-        found = found.unionByName(inside.where("NOT is_folder AND (unseen OR length = 0)"))
-        level = inside.where("is_folder").select("uri", "unseen")
-    return found.select("uri", "length", "modificationTime")
+        inside = materialise(level.repartition("uri").mapInPandas(walk, _LISTED), "listing")
+        found = found.unionByName(inside.where("kind <> 'folder'"))
+        level = inside.where("kind = 'folder'").select("uri", "unseen")
+    return found
 
 
 def open_files(listed: DataFrame) -> DataFrame:
-    """The bytes of listed files, read one by one in tasks; files that have gone are skipped."""
+    """The bytes of listed files, read one by one in tasks; files that have gone are passed over."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                system, path = fs.FileSystem.from_uri(row.uri)
                 try:
-                    with system.open_input_stream(path) as stream:
-                        content = stream.read()
-                except FileNotFoundError:
+                    if row.uri.startswith("/"):
+                        # A link that has come in the file's place is not followed either.
+                        with open(os.open(row.uri, os.O_RDONLY | os.O_NOFOLLOW), "rb") as stream:
+                            content = stream.read()
+                    else:
+                        system, path = fs.FileSystem.from_uri(row.uri)
+                        with system.open_input_stream(path) as stream:
+                            content = stream.read()
+                except OSError:
                     continue
                 yield pd.DataFrame(
                     {
@@ -163,13 +262,13 @@ def corpus_from_table(
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Rows of an input read by fewer tasks than there are cores, dealt out to all of them.
+    """Rows of a small input, dealt out to all cores ahead of per-row work such as embedding.
 
-    For a few large files ahead of per-row work such as embedding. An input that already
-    keeps the cluster busy is left as it is and not shuffled.
+    An input large enough to keep the cluster busy is left as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
 def latest_per_path(corpus: DataFrame) -> DataFrame:

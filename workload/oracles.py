@@ -90,6 +90,8 @@ def prose(corpus: str, prefix: str = "") -> str:
   FROM {p}blocks b JOIN {p}corpus c USING (path))"""
 
 
+FILE_NAME = """CASE doc_id % 5 WHEN 1 THEN 'plain/_' WHEN 2 THEN '.git/' WHEN 3 THEN '_x/y/' ELSE 'plain/' END
+    || 'doc_' || doc_id || '.md'"""
 LOCAL_INDEX = f"WITH {prose(DOCS, 'l_')}, {prose(CHANGED, 'i_')}"
 
 
@@ -372,10 +374,12 @@ WITH {prose(SPACED)}, u AS (SELECT *, (('0x' || substr(id, 1, 8))::BIGINT) % 7 A
 SELECT count(*) AS n_chunks, count(*) FILTER (k = 0) AS bad_path, count(*) FILTER (k = 1) AS bad_start,
        count(*) FILTER (k = 2) AS bad_end, count(*) FILTER (k = 3 OR content = '') AS bad_content,
        count(*) FILTER (k = 4) AS bad_hash, count(*) FILTER (k = 5) AS bad_id FROM u""",
-    "scanned_files": """
-SELECT CASE doc_id % 5 WHEN 1 THEN 'plain/_' WHEN 2 THEN '.git/' WHEN 3 THEN '_x/y/' ELSE 'plain/' END
-    || 'doc_' || doc_id || '.md' AS name, strlen(text) AS size, md5(text) AS text_hash
-FROM documents WHERE strlen(text) > 0""",
+    "scanned_files": f"""
+SELECT {FILE_NAME} AS name, strlen(text) AS size, md5(text) AS text_hash FROM documents WHERE strlen(text) > 0""",
+    "scanned_links": f"""
+SELECT {FILE_NAME} AS name, md5(text) AS text_hash, NULL AS reason FROM documents WHERE strlen(text) BETWEEN 1 AND 1000000
+UNION ALL SELECT 'links/doc_' || doc_id || '.md', NULL, 'link' FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT 'links/loop_' || doc_id, NULL, 'link' FROM documents WHERE doc_id % 50 = 0""",
     "stored_sync": f"""
 WITH {prose(DOCS)} SELECT id, path, start_line, file_hash FROM units
 WHERE regexp_matches(lower(content), '\\p{{L}}')""",

@@ -37,7 +37,7 @@ from waymark.plans.search import search_index
 from waymark.plans.sync import rebuild, sync
 from waymark.schema import CORPUS
 from waymark.session import fresh_path
-from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_path, scan_files
+from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_path, scan_files, scan_tree
 from waymark.sources.index import IndexStore, keyset_page, upload_projection
 from waymark.streaming.continuous import continuous_sync
 from workload import tables as t
@@ -67,6 +67,16 @@ def scanned_files(spark, sf_dir):
     return scan_files(spark, base).select(name.alias("name"), "size", F.md5("content").alias("text_hash"))
 
 
+@register
+def scanned_links(spark, sf_dir):
+    """The same files with links to some and loops among them: every file once, links told."""
+    base = t.linked_files(spark, sf_dir)
+    found = scan_tree(spark, base)
+    name = F.element_at(F.split("path", re.escape(base.rpartition("/")[2] + "/")), -1).alias("name")
+    files = found.files.select(name, F.md5("content").alias("text_hash"), F.lit(None).cast("string").alias("reason"))
+    return files.unionByName(found.skipped.select(name, "reason"), allowMissingColumns=True)
+
+
 @register
 def type_assignment(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")

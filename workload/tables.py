@@ -169,6 +169,28 @@ def document_files(spark: SparkSession, sf_dir: str) -> str:
     return base
 
 
+def linked_files(spark: SparkSession, sf_dir: str) -> str:
+    """`document_files` with links among them: to every tenth file, and loops to the top folder."""
+    import os
+
+    base = document_files(spark, sf_dir)
+    name = hidden_name(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", name.alias("name"))
+
+    def link(batches):
+        for batch in batches:
+            folder = os.path.join(base.removeprefix("file:"), "links")
+            os.makedirs(folder, exist_ok=True)
+            for doc_id, name in zip(batch["doc_id"], batch["name"]):
+                os.symlink(f"../{name}", f"{folder}/doc_{doc_id}.md")
+                if doc_id % 50 == 0:
+                    os.symlink("..", f"{folder}/loop_{doc_id}")
+            yield batch[["name"]]
+
+    docs.mapInPandas(link, "name string").write.format("noop").mode("overwrite").save()
+    return base
+
+
 def hidden_name(name: Column) -> Column:
     """A name as it is, or hidden, or below a hidden folder, by doc_id."""
     kind = F.col("doc_id") % 5
