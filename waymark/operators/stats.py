@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import extension
@@ -26,15 +26,19 @@ def corpus_stats(chunks: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def check_chunks(chunks: DataFrame) -> DataFrame:
-    """One row: how many chunks break each invariant (null counts as broken)."""
+def broken_rules() -> dict[str, Column]:
+    """For each invariant of a chunk, how many rows break it (null counts as broken)."""
     broken = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
-    return chunks.agg(
-        F.count("*").alias("n_chunks"),
-        broken(F.col("path") != "").alias("bad_path"),
-        broken(F.col("start_line") > 0).alias("bad_start"),
-        broken(F.col("end_line") >= F.col("start_line")).alias("bad_end"),
-        broken(F.col("content") != "").alias("bad_content"),
-        broken((F.col("file_hash") != "") & (F.col("chunk_hash") != "")).alias("bad_hash"),
-        broken(F.col("id") != "").alias("bad_id"),
-    )
+    return {
+        "bad_path": broken(F.col("path") != ""),
+        "bad_start": broken(F.col("start_line") > 0),
+        "bad_end": broken(F.col("end_line") >= F.col("start_line")),
+        "bad_content": broken(F.col("content") != ""),
+        "bad_hash": broken((F.col("file_hash") != "") & (F.col("chunk_hash") != "")),
+        "bad_id": broken(F.col("id") != ""),
+    }
+
+
+def check_chunks(chunks: DataFrame) -> DataFrame:
+    """One row: how many chunks there are and how many break each rule."""
+    return chunks.agg(F.count("*").alias("n_chunks"), *[c.alias(name) for name, c in broken_rules().items()])

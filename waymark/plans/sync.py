@@ -7,22 +7,33 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.diff import rows_on_paths, stale_paths, status_counts, upload_set
-from waymark.operators.embed import FAILED, OK, SHORT, BatchProvider, ColumnProvider, embed
+from waymark.operators.diff import rows_on_paths, stale_paths, upload_set
+from waymark.operators.embed import FAILED, NO_VECTOR, OK, SHORT, BatchProvider, ColumnProvider, embed
 from waymark.operators.extract import chunk_table
-from waymark.operators.filters import MAX_BYTES
+from waymark.operators.filters import MAX_BYTES, size_filter
 from waymark.operators.filetypes import SUPPORTED_TYPES
-from waymark.operators.identity import fingerprints
-from waymark.session import materialise
+from waymark.operators.stats import broken_rules
+from waymark.session import counted, materialise, temporary
+from waymark.functions.hashing import content_hash
 from waymark.sources.index import IndexStore
 
+STATUSES = (OK, NO_VECTOR, FAILED, SHORT)
+
 
 class SyncReport(NamedTuple):
+    """What a sync did, and what it saw on the way.
+
+    `left_out` counts files of the corpus that are never split: empty, too large, of no type asked
+    for. `broken` counts new units that break a rule (`stats.broken_rules`).
+    """
+
     version: int | None
     changed: bool
     n_upload: int
     n_delete: int
     statuses: dict[str, int]
+    left_out: dict[str, int] = {}
+    broken: dict[str, int] = {}
 
 
 def sync(
@@ -44,15 +55,62 @@ def sync(
     is written before it is published, so a retry of the write does not embed again.
     With `partial` the corpus holds some paths only and rows on other paths stay (a stream's
     arrivals); otherwise they are deleted. `changed` says that rows were added or deleted.
+    The corpus is read twice: for its fingerprints, and for the texts of changed files, which are
+    written by type. Counts are taken while those are written; temporary tables go at the end.
     """
+    if by not in ("id", "path"):
+        raise ValueError(f"by must be 'id' or 'path', not {by!r}")
     replayed = None if token is None else store.published(namespace, token)
     if replayed is not None:
         return SyncReport(replayed, False, 0, 0, {})
+    with temporary(store.spark):
+        return _sync(store, namespace, corpus, provider, types, by, partial, token, max_bytes)
+
+
+def fingerprinted(corpus: DataFrame, types: tuple[str, ...], max_bytes: int) -> tuple[DataFrame, dict, tuple[str, ...]]:
+    """Fingerprints of all files, written; how many are left out, why; the types there are to split."""
+    size = F.coalesce(F.col("size"), F.lit(0))
+    fits = (size > 0) & (size <= max_bytes)
+    prints, seen = counted(
+        corpus.select(
+            "path", content_hash(F.col("content")).alias("file_hash"), F.col("mtime").alias("file_mtime"),
+            F.col("ctime").alias("file_ctime"), "size", "type",
+        ),
+        "prints",
+        empty=F.count_if(size <= 0),
+        too_large=F.count_if(size > max_bytes),
+        type=F.count_if(fits & ~F.coalesce(F.col("type").isin(*types), F.lit(False))),
+        **{f"of_{t}": F.count_if(fits & (F.col("type") == t)) for t in types},
+    )
+    present = tuple(t for t in types if seen[f"of_{t}"])
+    return prints.drop("size", "type"), {k: seen[k] for k in ("empty", "too_large", "type")}, present
+
+
+def embedded_units(
+    corpus: DataFrame, index: DataFrame | None, provider: ColumnProvider | BatchProvider, types: tuple[str, ...], max_bytes: int
+) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
+    """Embedded units that `index` does not hold, written; how many by status; broken rules."""
+    # Written by type, so that each type's plan reads its own files only.
+    texts = size_filter(corpus.where(F.col("type").isin(*types)), max_bytes)
+    texts = materialise(texts.select("path", "content", "size", "mtime", "ctime", "type"), "texts", by="type")
+    units = chunk_table(texts, types, max_bytes)
+    uploads = units if index is None else upload_set(units, index)
+    metrics = {f"status_{s}": F.count_if(F.col("status") == s) for s in STATUSES}
+    embedded, seen = counted(embed(uploads.dropDuplicates(["path", "id"]), provider), "embedded", **metrics, **broken_rules())
+    statuses = {s: seen[f"status_{s}"] for s in STATUSES if seen[f"status_{s}"]}
+    return embedded, statuses, {rule: seen[rule] for rule in broken_rules()}
+
+
+def _sync(
+    store: IndexStore, namespace: str, corpus: DataFrame, provider: ColumnProvider | BatchProvider,
+    types: tuple[str, ...], by: str, partial: bool, token: str | None, max_bytes: int,
+) -> SyncReport:
     at = store.version(namespace)
     index, first = store.read(namespace, at), at is None
-    prints = fingerprints(corpus)
+    prints, left_out, present = fingerprinted(corpus, types, max_bytes)
+    n_files = F.count("*")
     if first:
-        changed_corpus, new_files, old_retry = corpus, materialise(prints, "files"), None
+        changed_corpus, new_files, n_new, old_retry, n_retry = corpus, prints, 1, None, 0
     else:
         files, old_retry = store.files(namespace, at), store.retry_paths(namespace, at)
         known = index.select("path", "file_hash").unionByName(files.select("path", "file_hash"))
@@ -61,36 +119,39 @@ def sync(
             removed = files.select("path").join(prints.select("path"), "path", "left_anti")
             nothing = [F.lit(None).cast(f).alias(c) for c, f in (("file_hash", "string"), ("file_mtime", "timestamp"))]
             new_files = new_files.drop("file_ctime").unionByName(removed.select("path", *nothing))
-        new_files = materialise(new_files, "files")
+        new_files, seen = counted(new_files, "files", n=n_files, held=F.count("file_hash"))
+        n_new = seen["n"]
         # Written, so that its size is known when the corpus is joined: usually few paths,
         # and then no source text is shuffled to find them.
-        changed = new_files.where("file_hash IS NOT NULL").select("path").unionByName(old_retry)
-        changed_corpus = corpus.join(materialise(changed.distinct(), "changed"), "path", "left_semi")
+        changed = new_files.where("file_hash IS NOT NULL").select("path").unionByName(old_retry).distinct()
+        changed, seen = counted(changed, "changed", n=n_files)
+        changed_corpus = corpus.join(changed, "path", "left_semi")
+        present = present if seen["n"] else ()
+        n_retry = 0 if old_retry.isEmpty() else 1
 
-    uploads = upload_set(chunk_table(changed_corpus, types, max_bytes), index)
-    embedded = materialise(embed(uploads.dropDuplicates(["path", "id"]), provider), "embedded")
-    if first:
-        deletes, n_delete = None, 0
-    else:
+    embedded, statuses, broken = None, {}, {}
+    if present:
+        embedded, statuses, broken = embedded_units(changed_corpus, None if first else index, provider, present, max_bytes)
+    deletes, n_delete = None, 0
+    if not first:
         scope = rows_on_paths(index, prints) if partial else index
         gone = scope.join(
             prints.select("path", "file_hash"), ["path", "file_hash"], "left_anti"
         ).select("id", "path")
         if by == "path":
             gone = rows_on_paths(index, stale_paths(gone)).select("id", "path")
-        elif by != "id":
-            raise ValueError(f"by must be 'id' or 'path', not {by!r}")
-        deletes = materialise(gone, "deletes")
-        n_delete = deletes.count()
+        deletes, seen = counted(gone, "deletes", n=n_files)
+        n_delete = seen["n"]
 
-    statuses = {row.status: row.n for row in status_counts(embedded).collect()}
     n_upload = sum(statuses.values())
     changed_any = bool(statuses.get(OK) or n_delete)
     # A unit that can have no vector is done; one that failed is tried again, as are those of
     # paths that did not come this time.
-    retry = embedded.where(F.col("status").isin(FAILED, SHORT)).select("path").distinct()
     retry_moved = bool(statuses.get(FAILED) or statuses.get(SHORT))
-    if old_retry is not None and not old_retry.isEmpty():
+    retry = old_retry.limit(0) if embedded is None and n_retry else None
+    if embedded is not None:
+        retry = embedded.where(F.col("status").isin(FAILED, SHORT)).select("path").distinct()
+    if n_retry:
         if partial:
             waiting = old_retry.join(prints.select("path"), "path", "left_anti")
             retry = retry.unionByName(waiting).distinct()
@@ -99,9 +160,8 @@ def sync(
             retry.join(old_retry, "path", "left_anti").isEmpty()
             and old_retry.join(retry, "path", "left_anti").isEmpty()
         )
-    has_files = not new_files.isEmpty()
-    if not (changed_any or retry_moved or has_files or first):
-        return SyncReport(at, False, n_upload, 0, statuses)
+    if not (changed_any or retry_moved or n_new or first):
+        return SyncReport(at, False, n_upload, 0, statuses, left_out, broken)
     version = store.publish(
         namespace,
         embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
@@ -109,10 +169,13 @@ def sync(
         retry=retry if retry_moved else None,
         token=token,
         replace=by == "path",
-        files=new_files if has_files else None,
+        files=new_files if n_new else None,
         expected=at,
+        unique=True,
     )
-    return SyncReport(version, changed_any, n_upload, n_delete, statuses)
+    if not partial and store.crowded(namespace):
+        version = store.compact(namespace)
+    return SyncReport(version, changed_any, n_upload, n_delete, statuses, left_out, broken)
 
 
 def rebuild(
@@ -123,16 +186,24 @@ def rebuild(
     types: tuple[str, ...] = SUPPORTED_TYPES,
     max_bytes: int = MAX_BYTES,
 ) -> SyncReport:
-    """Drop a namespace's rows and index the whole corpus again, in one version."""
-    units = chunk_table(corpus, types, max_bytes).dropDuplicates(["path", "id"])
-    embedded = materialise(embed(units, provider), "embedded")
-    statuses = {row.status: row.n for row in status_counts(embedded).collect()}
-    failed = embedded.where(F.col("status").isin(FAILED, SHORT))
-    version = store.publish(
-        namespace,
-        embedded.where(F.col("status") == OK),
-        retry=failed if statuses.get(FAILED) or statuses.get(SHORT) else None,
-        files=fingerprints(corpus),
-        base=True,
-    )
-    return SyncReport(version, True, sum(statuses.values()), 0, statuses)
+    """Drop a namespace's rows and index the whole corpus again, in one version.
+
+    If another version is published meanwhile, StaleVersion is raised.
+    """
+    at = store.version(namespace)
+    with temporary(store.spark):
+        prints, left_out, present = fingerprinted(corpus, types, max_bytes)
+        embedded, statuses, broken = None, {}, {}
+        if present:
+            embedded, statuses, broken = embedded_units(corpus, None, provider, present, max_bytes)
+        failed = bool(statuses.get(FAILED) or statuses.get(SHORT))
+        version = store.publish(
+            namespace,
+            embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
+            retry=embedded.where(F.col("status").isin(FAILED, SHORT)) if failed else None,
+            files=prints,
+            base=True,
+            expected=at,
+            unique=True,
+        )
+    return SyncReport(version, True, sum(statuses.values()), 0, statuses, left_out, broken)

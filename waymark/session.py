@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the library's plans are written for. AQE splits skewed join partitions and
 # merges small ones, so shuffle width only has to be large enough, not exact.
@@ -53,18 +56,51 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
+# Paths given out within the innermost `temporary` block.
+_GIVEN: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what was written to the `fresh_path`s given out inside it.
+
+    For calls that return no table that still reads them.
+    """
+    given: list[str] = []
+    token = _GIVEN.set(given)
+    try:
+        yield
+    finally:
+        _GIVEN.reset(token)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for name in given:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has written to."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    given = _GIVEN.get()
+    if given is not None:
+        given.append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write `df` once to the shared folder, in folders `by` a column, and read it back.
 
     Cuts lineage so that a lost executor does not repeat the work (an embedding call,
     for example), and gives Spark the written size for its join decisions.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, by: str | None = None, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`materialise`, and aggregates taken in the same pass."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(m) for m, c in metrics.items()]), name, by)
+    return out, seen.get

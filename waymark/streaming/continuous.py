@@ -1,51 +1,130 @@
-"""Continuous sync: new and changed sources as they arrive."""
+"""Continuous sync: new, changed and removed sources as they arrive.
+
+What a stream knows of each path, its modification time and fingerprint, is keyed state of the stream
+(RocksDB, in its checkpoint), begun from the index as it is when the stream is first started. A
+batch therefore reads no index row: arrivals are compared with the state, late ones and those that
+bring nothing new fall out there, and the rows of changed and removed paths are dropped by path.
+Should something else publish into the namespace meanwhile, the state is no longer the whole truth, and
+batches are compared with the index instead.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from waymark.operators.embed import BatchProvider, ColumnProvider
+from waymark.functions.hashing import content_hash
+from waymark.operators.embed import FAILED, OK, SHORT, BatchProvider, ColumnProvider
 from waymark.operators.filetypes import SUPPORTED_TYPES
-from waymark.plans.sync import sync
-from waymark.sources.corpus import latest_per_path
+from waymark.operators.filters import MAX_BYTES
+from waymark.plans.sync import embedded_units, fingerprinted, sync
+from waymark.schema import CORPUS
+from waymark.session import counted, temporary
 from waymark.sources.index import IndexStore
 
-# Segments a read may have to open before a batch compacts the index.
-COMPACT_AFTER = 64
+# Fixed value: what `op` says of a source that was removed. Any other value, or none, is an arrival.
+DELETE = "delete"
+_STATE = T.StructType([T.StructField("mtime", T.TimestampType()), T.StructField("file_hash", T.StringType())])
+_ROWS = T.StructType(
+    [
+        *CORPUS.fields,
+        T.StructField("file_hash", T.StringType()),
+        T.StructField("op", T.StringType()),
+        T.StructField("news", T.BooleanType()),
+        T.StructField("known", T.BooleanType()),
+    ]
+)
 
 
-def stream_identity(spark: SparkSession, checkpoint: str) -> str:
-    """The identity of the stream that a checkpoint folder belongs to, made with the folder.
+def stream_start(store: IndexStore, namespace: str, checkpoint: str) -> tuple[str, int | None]:
+    """Identity and first version of the stream that a checkpoint belongs to, kept in its folder.
 
     Batch numbers begin again with every checkpoint, so they only name a batch together with it.
     """
+    spark = store.spark
     jvm = spark.sparkContext._jvm
     file = jvm.org.apache.hadoop.fs.Path(checkpoint, "stream-identity")
     fs = file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(file):
         stream = fs.create(file, False)
         try:
-            stream.write(bytearray(uuid.uuid4().hex.encode()))
+            stream.write(bytearray(json.dumps([uuid.uuid4().hex, store.version(namespace)]).encode()))
         finally:
             stream.close()
     stream = fs.open(file)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        identity, version = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
+    return identity, version
 
 
 def batch_token(identity: str, batch_id: int) -> str:
     return f"{identity}-batch-{batch_id}"
 
 
+class Newest(StatefulProcessor):
+    """Per path, the newest arrival that is not older than what is known of it.
+
+    Rows without a time are as old as can be among arrivals, but never older than the state. `news`
+    says that the fingerprint differs from the known one, `known` that there was one.
+    """
+
+    def init(self, handle) -> None:
+        self._known = handle.getValueState("known", _STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            part = part.assign(at=part["mtime"].fillna(pd.Timestamp(0)), mark=part["file_hash"].fillna(""))
+            part = part if best is None else pd.concat([best, part])
+            best = part.sort_values(["at", "mark"]).tail(1)
+        held = self._known.get()
+        at, mark = held if held is not None else (None, None)
+        [row] = best.itertuples()
+        if at is not None and not pd.isna(row.mtime) and row.mtime < pd.Timestamp(at):
+            return
+        mark = None if mark is None or pd.isna(mark) else mark
+        now = None if pd.isna(row.file_hash) else row.file_hash
+        when = None if pd.isna(row.mtime) else row.mtime.to_pydatetime()
+        self._known.update((when or at, now))
+        yield best.assign(news=now != mark, known=mark is not None)[_ROWS.fieldNames()]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        [row] = initialState.itertuples()
+        self._known.update(
+            (None if pd.isna(row.mtime) else row.mtime.to_pydatetime(), None if pd.isna(row.file_hash) else row.file_hash)
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def newest_arrivals(arrivals: DataFrame, known: DataFrame) -> DataFrame:
+    """`Newest` of a stream of corpus rows; `known` is `path, mtime, file_hash` to begin with."""
+    op = F.col("op") if "op" in arrivals.columns else F.lit(None).cast("string")
+    gone = F.coalesce(op == DELETE, F.lit(False))
+    rows = arrivals.select(
+        *[F.col(c) for c in CORPUS.fieldNames()],
+        F.when(~gone, F.coalesce(content_hash(F.col("content")), F.lit("")) ).alias("file_hash"),
+        F.when(gone, DELETE).otherwise("arrival").alias("op"),
+    )
+    return rows.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=Newest(), outputStructType=_ROWS, outputMode="Append", timeMode="None",
+        initialState=known.groupBy("path"),
+    )
+
+
 def not_older(arrivals: DataFrame, store: IndexStore, namespace: str) -> DataFrame:
     """Arrivals whose modification time is not before the one stored for their path."""
-    stored = store.stored_times(namespace)
+    stored = store.known_files(namespace).select("path", F.col("mtime").alias("stored_mtime"))
     late = F.coalesce(F.col("mtime") < F.col("stored_mtime"), F.lit(False))
     return arrivals.join(stored, "path", "left").where(~late).drop("stored_mtime")
 
@@ -59,32 +138,81 @@ def continuous_sync(
     types: tuple[str, ...] = SUPPORTED_TYPES,
     available_now: bool = False,
     interval: str = "1 minute",
-    add_types=None,
+    add_types: Callable[[DataFrame], DataFrame] | None = None,
+    max_bytes: int = MAX_BYTES,
 ) -> StreamingQuery:
     """Start a stream of corpus rows into an index.
 
-    Each micro-batch keeps the newest row per path, replaces the index rows of those paths
-    and publishes one version under the stream's and the batch's token, so a replayed batch
-    changes nothing. Arrivals older than what is stored of their path are left out.
-    Removed sources do not arrive; a batch sync of the whole corpus takes them out.
-    `add_types` turns corpus rows into typed ones when the stream's are not.
+    Each micro-batch takes the newest row per path, replaces the index rows of paths whose text has
+    changed, and publishes one version under the stream's and the batch's token, so a replayed
+    batch changes nothing. Arrivals older than what is known of their path are left out. A row whose
+    column `op` is `delete` takes its path out of the index; it has a time like any other, so an
+    older arrival does not bring the path back. `add_types` turns corpus rows into typed ones when
+    the stream's are not. `store.crowded` says when a batch job should compact the index.
     """
-
-    identity = stream_identity(arrivals.sparkSession, checkpoint)
+    spark = arrivals.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    identity, start = stream_start(store, namespace, checkpoint)
+    newest = newest_arrivals(arrivals, store.known_files(namespace, start or 0))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = not_older(latest_per_path(batch), store, namespace)
-        typed = newest if add_types is None else add_types(newest)
-        typed = typed.persist()
-        try:
-            sync(
-                store, namespace, typed, provider, types, partial=True, token=batch_token(identity, batch_id)
-            )
-        finally:
-            typed.unpersist()
-        if store.segments(namespace) > COMPACT_AFTER:
-            store.compact(namespace)
-
-    writer = arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        token = batch_token(identity, batch_id)
+        if store.published(namespace, token) is not None:
+            return
+        with temporary(spark):
+            # Written first: whatever reads a batch twice runs its state twice.
+            rows, seen = counted(batch, "arrivals", n=F.count("*"))
+            if not seen["n"]:
+                return
+            if store.touched(namespace, start or 0, identity):
+                by_index(rows, token)
+            else:
+                by_state(rows, token)
+
+    def typed(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*CORPUS.fieldNames(), *[c for c in ("type",) if c in rows.columns])
+        return rows if add_types is None else add_types(rows)
+
+    def by_state(rows: DataFrame, token: str) -> None:
+        at = store.version(namespace)
+        retry = store.retry_paths(namespace, at)
+        again = rows.join(retry, "path", "left_semi").select("path", F.lit(True).alias("again"))
+        rows = rows.join(F.broadcast(again), "path", "left").where(F.col("news") | F.col("again"))
+        rows, seen = counted(rows, "news", n=F.count("*"))
+        if not seen["n"]:
+            return
+        prints, _, present = fingerprinted(typed(rows.where(F.col("op") != DELETE)), types, max_bytes)
+        gone = rows.where(F.col("op") == DELETE).select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
+        embedded, statuses = None, {}
+        if present:
+            embedded, statuses, _ = embedded_units(typed(rows.where(F.col("op") != DELETE)), None, provider, present, max_bytes)
+        waiting = retry.join(rows.select("path"), "path", "left_anti")
+        if embedded is not None:
+            waiting = waiting.unionByName(embedded.where(F.col("status").isin(FAILED, SHORT)).select("path"))
+        replaced, seen = counted(rows.where(F.col("known") & (F.col("op").isNotNull())).select("path"), "replaced", n=F.count("*"))
+        store.publish(
+            namespace,
+            embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
+            gone_paths=replaced if seen["n"] else None,
+            retry=waiting,
+            token=token,
+            replace=False,
+            files=prints.drop("file_ctime").unionByName(gone),
+            expected=at,
+            unique=True,
+        )
+
+    def by_index(rows: DataFrame, token: str) -> None:
+        rows = not_older(rows, store, namespace)
+        sync(store, namespace, typed(rows.where(F.col("op") != DELETE)), provider, types, partial=True, token=token, max_bytes=max_bytes)
+        gone, seen = counted(rows.where(F.col("op") == DELETE).select("path", "mtime"), "removed", n=F.count("*"))
+        if seen["n"]:
+            files = gone.select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
+            store.publish(namespace, gone_paths=gone, files=files, token=f"{token}-removed")
+
+    writer = newest.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
