@@ -188,6 +188,10 @@ class CellIndex:
                 models[width] = models[width]._replace(probes=reached)
         return models
 
+    @property
+    def n_rows(self) -> int:
+        return int(sum(m.sizes.sum() for m in self.models.values()))
+
     @cached_property
     def rows(self) -> DataFrame:
         """The stored rows; their folders are listed once."""
@@ -195,19 +199,26 @@ class CellIndex:
 
     def search(
         self, queries: DataFrame, k: int = DEFAULT_K, payload: tuple[str, ...] = (), probes: int | None = None,
-        max_queries: int = MAX_BROADCAST_QUERIES,
+        max_queries: int = MAX_BROADCAST_QUERIES, where: Column | None = None, hidden: DataFrame | None = None,
+        n_hidden: int = 0, shown: bool = True,
     ) -> DataFrame:
         """Like `knn` over the rows in each query's nearest cells; `probes` overrides the measured number.
 
+        Rows that do not meet `where`, or whose `id` is among the `n_hidden` ones of `hidden`, a number
+        checked to be small, are not found; cells are looked into until they hold as many rows more.
+        Without `shown`, distances are as they were ranked.
         At most `max_queries` go over the index at a time.
         """
-        index = self.rows.select("id", "vector", *payload, WIDTH, CELL)
+        index = self.rows if where is None else self.rows.where(where)
+        if hidden is not None:
+            index = index.join(F.broadcast(hidden), "id", "left_anti")
+        index = index.select("id", "vector", *payload, WIDTH, CELL)
         queries = queries.select("query_id", "vector").where(usable())
         chunks = query_chunks(queries, max_queries)
 
         def ranked(head: list) -> DataFrame:
-            asked, wanted = self._asked(head, k, probes)
-            return rank_hits(scan(index.where(wanted), queries, asked, k), k)
+            asked, wanted = self._asked(head, k + n_hidden, probes)
+            return rank_hits(scan(index.where(wanted), queries, asked, k), k, shown)
 
         near, second = ranked(next(chunks, [])), next(chunks, None)
         if second is not None:

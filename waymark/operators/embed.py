@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, as_completed, wait
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -12,8 +13,11 @@ from pyspark.sql import types as T
 
 from waymark.functions.vectors import hashed_embedding, tokens
 
-# Fixed value: rows in one request, unless a provider takes another number.
+# Rows in one request, and requests in flight, unless a provider takes other numbers.
 BATCH_ROWS = 256
+CONCURRENCY = 8
+# Bytes of rows whose requests may be in flight in a task.
+FLIGHT_BYTES = 64 << 20
 
 OK, NO_VECTOR, SHORT, FAILED = "ok", "no_vector", "short_response", "failed"
 
@@ -38,11 +42,15 @@ class ColumnProvider(NamedTuple):
 
 
 class BatchProvider(NamedTuple):
-    """A provider called with (texts, kind) for at most `max_batch` texts at a time."""
+    """A provider called with (texts, kind) for at most `max_batch` texts at a time.
+
+    Up to `concurrency` calls of a task run at once, in threads; 1 keeps them in order.
+    """
 
     name: str
     call: Callable[[list[str], str], Response]
     max_batch: int = BATCH_ROWS
+    concurrency: int = CONCURRENCY
 
 
 def hashed_provider(dim: int = 64) -> ColumnProvider:
@@ -95,23 +103,39 @@ def embed(
     )
     size = provider.max_batch
 
+    def answered(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(part.schema.get_field_index(text)).to_pylist()
+        result = list(embed_batch(provider.call, texts, kind))
+        extra = [pa.array([r[i] for r in result], type=field.type) for i, field in enumerate(added)]
+        return pa.RecordBatch.from_arrays(part.columns + extra, names=part.schema.names + added.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                result = list(embed_batch(provider.call, texts, kind))
-                extra = [
-                    pa.array([r[i] for r in result], type=field.type)
-                    for i, field in enumerate(added)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    part.columns + extra, names=part.schema.names + added.names
-                )
+        parts = (batch.slice(at, size) for batch in batches for at in range(0, batch.num_rows, size))
+        if provider.concurrency <= 1:
+            yield from map(answered, parts)
+        else:
+            yield from _in_flight(answered, parts, provider.concurrency, FLIGHT_BYTES)
 
     return rows.mapInArrow(run, schema)
 
 
+def _in_flight(
+    call: Callable[[pa.RecordBatch], pa.RecordBatch], parts: Iterator[pa.RecordBatch], most: int, most_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """Results of calls as they end, with up to `most` of them, and `most_bytes` of rows, at once."""
+    held: dict[Future, int] = {}
+    with ThreadPoolExecutor(most) as pool:
+        for part in parts:
+            size = part.nbytes
+            while held and (len(held) >= most or sum(held.values()) + size > most_bytes):
+                for done in wait(held, return_when=FIRST_COMPLETED).done:
+                    del held[done]
+                    yield done.result()
+            held[pool.submit(call, part)] = size
+        for done in as_completed(held):
+            yield done.result()
+
+
 def embed_batch(
     call: Callable[[list[str], str], Response], texts: list[str], kind: str
 ) -> Iterable[tuple]:

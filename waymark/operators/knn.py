@@ -42,6 +42,7 @@ def knn(
     k: int = DEFAULT_K,
     payload: tuple[str, ...] = (),
     max_queries: int = MAX_BROADCAST_QUERIES,
+    shown: bool = True,
 ) -> DataFrame:
     """`query_id, rank, id, distance, *payload` of the k nearest rows of every query.
 
@@ -52,7 +53,7 @@ def knn(
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
     index = index.select("id", "vector", *payload)
     chunks = query_chunks(queries, max_queries)
-    ranked = lambda rows: rank_hits(scan(index, queries, Asked([r.query_id for r in rows], [r.vector for r in rows]), k), k)
+    ranked = lambda rows: rank_hits(scan(index, queries, Asked([r.query_id for r in rows], [r.vector for r in rows]), k), k, shown)
     near, second = ranked(next(chunks, [])), next(chunks, None)
     # A query is in one chunk only, so each chunk's ranks are final; one chunk is held at a time.
     if second is not None:
@@ -90,8 +91,8 @@ def query_chunks(queries: DataFrame, max_queries: int = MAX_BROADCAST_QUERIES) -
             yield rows
 
 
-def rank_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Keep the k nearest hits of each query, number them and round their distances.
+def rank_hits(hits: DataFrame, k: int, shown: bool = True) -> DataFrame:
+    """Keep the k nearest hits of each query, number them and, if they are `shown`, round their distances.
 
     Hits of a query meet in as many tasks as they are dealt over before they meet in one, so
     a single query over a large index sends no task more than its share of them.
@@ -102,7 +103,8 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     hits = dealt.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= k).select(*hits.columns)
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     rest = [c for c in hits.columns if c not in ("query_id", "id", "distance")]
-    return ranked.select("query_id", "rank", "id", F.round("distance", DISTANCE_DECIMALS).alias("distance"), *rest)
+    distance = F.round("distance", DISTANCE_DECIMALS).alias("distance") if shown else F.col("distance")
+    return ranked.select("query_id", "rank", "id", distance, *rest)
 
 
 def _hit_schema(index: DataFrame, queries: DataFrame) -> T.StructType:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.session import materialise
+
 # Up to this many rows the sample is a top-n; beyond it no single task holds the sample.
 MAX_TOP = 50_000
 PREFIX = 4
@@ -13,12 +18,28 @@ PREFIX = 4
 def seeded_sample(df: DataFrame, n: int, seed: str, key: str = "id") -> DataFrame:
     """The n rows with the smallest hash of seed and key; all rows when there are fewer.
 
-    The same seed and rows give the same sample however the rows are partitioned.
+    The same seed and rows give the same sample however the rows are partitioned. The rows are read
+    once: each task hands on its own n smallest, and of a large sample those are written, cut by
+    ranges of the hash and never gathered in one task.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
     if n <= MAX_TOP:
         return hashed.orderBy("_h", key).limit(n).drop("_h")
-    return _large(hashed, n, key, "").drop("_h")
+    return _large(materialise(_smallest(hashed, n, key), "sample"), n, key, "").drop("_h")
+
+
+def _smallest(hashed: DataFrame, n: int, key: str) -> DataFrame:
+    """Of every task's rows the n smallest."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = n
+        for batch in batches:
+            if left <= 0:
+                return
+            yield batch.slice(0, left)
+            left -= batch.num_rows
+
+    return hashed.sortWithinPartitions("_h", key).mapInArrow(first, hashed.schema)
 
 
 def _large(hashed: DataFrame, n: int, key: str, prefix: str) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.hashing import content_hash
 from waymark.operators.diff import rows_on_paths, stale_paths, upload_set
 from waymark.operators.embed import FAILED, NO_VECTOR, OK, SHORT, BatchProvider, ColumnProvider, embed
 from waymark.operators.extract import chunk_table
@@ -14,7 +15,7 @@ from waymark.operators.filters import MAX_BYTES, size_filter
 from waymark.operators.filetypes import SUPPORTED_TYPES
 from waymark.operators.stats import broken_rules
 from waymark.session import counted, materialise, temporary
-from waymark.functions.hashing import content_hash
+from waymark.sources.corpus import SPREAD_BYTES
 from waymark.sources.index import IndexStore
 
 STATUSES = (OK, NO_VECTOR, FAILED, SHORT)
@@ -67,10 +68,20 @@ def sync(
         return _sync(store, namespace, corpus, provider, types, by, partial, token, max_bytes)
 
 
-def fingerprinted(corpus: DataFrame, types: tuple[str, ...], max_bytes: int) -> tuple[DataFrame, dict, tuple[str, ...]]:
-    """Fingerprints of all files, written; how many are left out, why; the types there are to split."""
+class Seen(NamedTuple):
+    """Fingerprints of all files, written; why files are left out; the types there are to split; their bytes."""
+
+    prints: DataFrame
+    left_out: dict[str, int]
+    types: tuple[str, ...]
+    n_bytes: int
+
+
+def fingerprinted(corpus: DataFrame, types: tuple[str, ...], max_bytes: int) -> Seen:
+    """One pass over a corpus, of which only what identifies a file is kept."""
     size = F.coalesce(F.col("size"), F.lit(0))
     fits = (size > 0) & (size <= max_bytes)
+    wanted = fits & F.coalesce(F.col("type").isin(*types), F.lit(False))
     prints, seen = counted(
         corpus.select(
             "path", content_hash(F.col("content")).alias("file_hash"), F.col("mtime").alias("file_mtime"),
@@ -79,26 +90,32 @@ def fingerprinted(corpus: DataFrame, types: tuple[str, ...], max_bytes: int) ->
         "prints",
         empty=F.count_if(size <= 0),
         too_large=F.count_if(size > max_bytes),
-        type=F.count_if(fits & ~F.coalesce(F.col("type").isin(*types), F.lit(False))),
+        type=F.count_if(fits & ~wanted),
+        n_bytes=F.sum(F.when(wanted, size).otherwise(0)),
         **{f"of_{t}": F.count_if(fits & (F.col("type") == t)) for t in types},
     )
     present = tuple(t for t in types if seen[f"of_{t}"])
-    return prints.drop("size", "type"), {k: seen[k] for k in ("empty", "too_large", "type")}, present
+    left_out = {k: seen[k] for k in ("empty", "too_large", "type")}
+    return Seen(prints.drop("size", "type"), left_out, present, seen["n_bytes"] or 0)
 
 
 def embedded_units(
-    corpus: DataFrame, index: DataFrame | None, provider: ColumnProvider | BatchProvider, types: tuple[str, ...], max_bytes: int
+    corpus: DataFrame, index: DataFrame | None, provider: ColumnProvider | BatchProvider, seen: Seen, max_bytes: int
 ) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
     """Embedded units that `index` does not hold, written; how many by status; broken rules."""
-    # Written by type, so that each type's plan reads its own files only.
-    texts = size_filter(corpus.where(F.col("type").isin(*types)), max_bytes)
-    texts = materialise(texts.select("path", "content", "size", "mtime", "ctime", "type"), "texts", by="type")
-    units = chunk_table(texts, types, max_bytes)
+    # Written by type, so that each type's plan reads its own files only; a small corpus in enough
+    # files to keep all cores busy.
+    texts = size_filter(corpus.where(F.col("type").isin(*seen.types)), max_bytes)
+    texts = texts.select("path", "content", "size", "mtime", "ctime", "type")
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    if seen.n_bytes < cores * SPREAD_BYTES:
+        texts = texts.repartition(cores)
+    units = chunk_table(materialise(texts, "texts", by="type"), seen.types, max_bytes)
     uploads = units if index is None else upload_set(units, index)
     metrics = {f"status_{s}": F.count_if(F.col("status") == s) for s in STATUSES}
-    embedded, seen = counted(embed(uploads.dropDuplicates(["path", "id"]), provider), "embedded", **metrics, **broken_rules())
-    statuses = {s: seen[f"status_{s}"] for s in STATUSES if seen[f"status_{s}"]}
-    return embedded, statuses, {rule: seen[rule] for rule in broken_rules()}
+    embedded, got = counted(embed(uploads.dropDuplicates(["path", "id"]), provider), "embedded", **metrics, **broken_rules())
+    statuses = {s: got[f"status_{s}"] for s in STATUSES if got[f"status_{s}"]}
+    return embedded, statuses, {rule: got[rule] for rule in broken_rules()}
 
 
 def _sync(
@@ -107,7 +124,8 @@ def _sync(
 ) -> SyncReport:
     at = store.version(namespace)
     index, first = store.read(namespace, at), at is None
-    prints, left_out, present = fingerprinted(corpus, types, max_bytes)
+    found = fingerprinted(corpus, types, max_bytes)
+    prints, left_out = found.prints, found.left_out
     n_files = F.count("*")
     if first:
         changed_corpus, new_files, n_new, old_retry, n_retry = corpus, prints, 1, None, 0
@@ -126,12 +144,12 @@ def _sync(
         changed = new_files.where("file_hash IS NOT NULL").select("path").unionByName(old_retry).distinct()
         changed, seen = counted(changed, "changed", n=n_files)
         changed_corpus = corpus.join(changed, "path", "left_semi")
-        present = present if seen["n"] else ()
+        found = found if seen["n"] else found._replace(types=())
         n_retry = 0 if old_retry.isEmpty() else 1
 
     embedded, statuses, broken = None, {}, {}
-    if present:
-        embedded, statuses, broken = embedded_units(changed_corpus, None if first else index, provider, present, max_bytes)
+    if found.types:
+        embedded, statuses, broken = embedded_units(changed_corpus, None if first else index, provider, found, max_bytes)
     deletes, n_delete = None, 0
     if not first:
         scope = rows_on_paths(index, prints) if partial else index
@@ -192,18 +210,18 @@ def rebuild(
     """
     at = store.version(namespace)
     with temporary(store.spark):
-        prints, left_out, present = fingerprinted(corpus, types, max_bytes)
+        found = fingerprinted(corpus, types, max_bytes)
         embedded, statuses, broken = None, {}, {}
-        if present:
-            embedded, statuses, broken = embedded_units(corpus, None, provider, present, max_bytes)
+        if found.types:
+            embedded, statuses, broken = embedded_units(corpus, None, provider, found, max_bytes)
         failed = bool(statuses.get(FAILED) or statuses.get(SHORT))
         version = store.publish(
             namespace,
             embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
             retry=embedded.where(F.col("status").isin(FAILED, SHORT)) if failed else None,
-            files=prints,
+            files=found.prints,
             base=True,
             expected=at,
             unique=True,
         )
-    return SyncReport(version, True, sum(statuses.values()), 0, statuses, left_out, broken)
+    return SyncReport(version, True, sum(statuses.values()), 0, statuses, found.left_out, broken)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import pandas as pd
@@ -26,6 +27,8 @@ _LISTED = "uri string, length long, modificationTime timestamp, kind string, uns
 _OPENED = "path string, content binary, length long, modificationTime timestamp"
 # Input bytes per core below which an input is dealt out.
 SPREAD_BYTES = 32 << 20
+# Paths up to this many are sent to every task.
+MAX_NAMED = 200_000
 # Entries that a task lists before it hands further folders on.
 WALK = 10_000
 
@@ -261,13 +264,67 @@ def corpus_from_table(
     )
 
 
+class FileSource:
+    """Source files below roots of one store, and single ones of them by path."""
+
+    def __init__(
+        self, spark: SparkSession, root: str | list[str], rules: tuple[TypeRule, ...] = DEFAULT_RULES, max_bytes: int = MAX_BYTES
+    ):
+        self.spark, self.rules, self.max_bytes = spark, rules, max_bytes
+        self.roots = [root] if isinstance(root, str) else root
+        leads = {qualified(spark, r).partition(":/")[0] + ":" for r in self.roots}
+        if leads != {"file:"}:
+            raise ValueError("single files are opened from local or mounted folders only; use scan_files")
+
+    def scan(self) -> Scan:
+        return scan_tree(self.spark, self.roots, self.rules, self.max_bytes)
+
+    @property
+    def files(self) -> DataFrame:
+        return self.scan().files
+
+    def open(self, paths: DataFrame, most: int | None = None) -> DataFrame:
+        """`path, content` of the files named, as they are now; no other file is opened."""
+        listed = paths.select(F.col("path").alias("uri"), F.lit(None).cast("timestamp").alias("modificationTime"))
+        return decode_utf8(open_files(listed)).select("path", "content")
+
+
+class TableSource:
+    """A corpus stored in folders by a hash of its paths, so that single files are read from few."""
+
+    def __init__(self, spark: SparkSession, at: str, buckets: int = 256):
+        self.spark, self.at, self.buckets = spark, at, buckets
+        self._bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+
+    def write(self, corpus: DataFrame) -> TableSource:
+        """Store a typed corpus. A bucket too large for one task is split."""
+        rows = corpus.withColumn("bucket", self._bucket).hint("rebalance", "bucket")
+        rows.write.partitionBy("bucket").parquet(self.at)
+        return self
+
+    @cached_property
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.at)
+
+    @property
+    def files(self) -> DataFrame:
+        return self._stored.drop("bucket")
+
+    def open(self, paths: DataFrame, most: int | None = None) -> DataFrame:
+        """`path, content` of the files named. Only the folders of their buckets are read."""
+        buckets = [r.bucket for r in paths.select(self._bucket.alias("bucket")).distinct().collect()]
+        wanted = paths.select("path")
+        rows = self._stored.where(F.col("bucket").isin(buckets)).select("path", "content")
+        return rows.join(F.broadcast(wanted) if most is not None and most <= MAX_NAMED else wanted, "path", "left_semi")
+
+
 def spread_input(df: DataFrame) -> DataFrame:
     """Rows of a small input, dealt out to all cores ahead of per-row work such as embedding.
 
     An input large enough to keep the cluster busy is left as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.operators.cells import CellIndex
+from waymark.operators.knn import DEFAULT_K
 from waymark.schema import INDEX, INDEX_COLUMNS, INDEX_READ_COLUMNS
 from waymark.session import materialise
 
@@ -47,6 +49,8 @@ _RANGES = T.StructType(
 # Dropped ids (of 32 characters) or paths that a read may broadcast; segments that it should open.
 MAX_DROPS = 1 << 20
 MAX_SEGMENTS = 64
+# Cells are built anew when one row in this many is not of their version.
+CELLS_STALE = 20
 # Rows that a page's first files should hold, for every row of the page.
 PAGE_SLACK = 2
 # No version is expected: whatever is the latest will do.
@@ -103,6 +107,10 @@ class IndexStore:
     def added(self, namespace: str, since: int, version: int | None = None) -> DataFrame:
         """Rows, with vectors, that versions after `since` added and that are still there."""
         live = self._live(self._commits(namespace), version)
+        if any(c.base and c.seq > since for c in live):
+            # A rewrite holds old rows and new ones alike.
+            old = self.read(namespace, since).select("id")
+            return self.read(namespace, version, vectors=True).join(old, "id", "left_anti")
         return self._rows([c._replace(rows=c.rows if c.seq > since else None) for c in live]).select(*INDEX_COLUMNS)
 
     def hidden(self, namespace: str, since: int, version: int | None = None) -> DataFrame:
@@ -325,6 +333,31 @@ class IndexStore:
         live = self._live(self._commits(namespace), None)
         return sum((c.rows is not None) + (c.drops is not None) + (c.gone is not None) for c in live)
 
+    # --- cells ---
+
+    def cells(self, namespace: str, version: int, payload: tuple[str, ...], k: int = DEFAULT_K) -> tuple[CellIndex, int]:
+        """The rows of a version by cell, and the version they are of: an earlier one will do.
+
+        Built again when more than a `CELLS_STALE`th of the rows, or as many as a read may broadcast,
+        were published or dropped since.
+        """
+        base = f"{self.base}/{namespace}/cells"
+        jvm, folder, fs = self._folder(namespace, "cells")
+        live = self._live(self._commits(namespace), version)
+        if fs.exists(folder):
+            built = sorted(s.getPath().getName() for s in fs.listStatus(folder))
+            # The schema is written last; cells of a build that was cut off have none.
+            built = [n for n in built if int(n[:12]) <= version and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{n}/schema/_SUCCESS"))]
+            for name in reversed(built[-1:]):
+                at, stored = int(name[:12]), CellIndex(self.spark, f"{base}/{name}")
+                hidden, rows = self.n_hidden(namespace, at, version), stored.n_rows
+                fresh = not any(c.base and c.seq > at and not c.same for c in live) and not any(c.n_gone for c in live if c.seq > at)
+                if fresh and set(payload) <= set(stored.schema.fieldNames()) and hidden <= min(MAX_DROPS, rows // CELLS_STALE):
+                    if self.added(namespace, at, version).count() <= rows // CELLS_STALE:
+                        return stored, at
+        path = f"{base}/{version:012d}-{uuid.uuid4().hex}"
+        return CellIndex.build(self.read(namespace, version, vectors=True), path, k, payload), version
+
     # --- files ---
 
     def _write(self, namespace: str, kind: str, df: DataFrame) -> str:
@@ -343,9 +376,9 @@ class IndexStore:
         starts = [i for i, c in enumerate(commits) if c.base]
         return commits[starts[-1] if starts else 0 :]
 
-    def _folder(self, namespace: str):
+    def _folder(self, namespace: str, name: str = "commits"):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{namespace}/commits")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{namespace}/{name}")
         return jvm, path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def _commits(self, namespace: str) -> list[Commit]:

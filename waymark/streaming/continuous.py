@@ -1,8 +1,8 @@
 """Continuous sync: new, changed and removed sources as they arrive.
 
 What a stream knows of each path, its modification time and fingerprint, is keyed state of the stream
-(RocksDB, in its checkpoint), begun from the index as it is when the stream is first started. A
-batch therefore reads no index row: arrivals are compared with the state, late ones and those that
+(RocksDB, in its checkpoint), begun from the index as it is when the stream is first started: those
+rows are written beside the checkpoint and come with the first batch. A batch therefore reads no index row: arrivals are compared with the state, late ones and those that
 bring nothing new fall out there, and the rows of changed and removed paths are dropped by path.
 Should something else publish into the namespace meanwhile, the state is no longer the whole truth, and
 batches are compared with the index instead.
@@ -13,12 +13,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waymark.functions.hashing import content_hash
 from waymark.operators.embed import FAILED, OK, SHORT, BatchProvider, ColumnProvider
@@ -31,6 +33,9 @@ from waymark.sources.index import IndexStore
 
 # Fixed value: what `op` says of a source that was removed. Any other value, or none, is an arrival.
 DELETE = "delete"
+# What begins the state of a path.
+SEED = "known"
+EPOCH = datetime(1970, 1, 1)
 _STATE = T.StructType([T.StructField("mtime", T.TimestampType()), T.StructField("file_hash", T.StringType())])
 _ROWS = T.StructType(
     [
@@ -70,56 +75,52 @@ def batch_token(identity: str, batch_id: int) -> str:
     return f"{identity}-batch-{batch_id}"
 
 
-class Newest(StatefulProcessor):
-    """Per path, the newest arrival that is not older than what is known of it.
+def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest arrival of a path that is not older than what is known of it.
 
     Rows without a time are as old as can be among arrivals, but never older than the state. `news`
     says that the fingerprint differs from the known one, `known` that there was one.
     """
-
-    def init(self, handle) -> None:
-        self._known = handle.getValueState("known", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:
-            part = part.assign(at=part["mtime"].fillna(pd.Timestamp(0)), mark=part["file_hash"].fillna(""))
-            part = part if best is None else pd.concat([best, part])
-            best = part.sort_values(["at", "mark"]).tail(1)
-        held = self._known.get()
-        at, mark = held if held is not None else (None, None)
-        [row] = best.itertuples()
-        if at is not None and not pd.isna(row.mtime) and row.mtime < pd.Timestamp(at):
-            return
-        mark = None if mark is None or pd.isna(mark) else mark
-        now = None if pd.isna(row.file_hash) else row.file_hash
-        when = None if pd.isna(row.mtime) else row.mtime.to_pydatetime()
-        self._known.update((when or at, now))
-        yield best.assign(news=now != mark, known=mark is not None)[_ROWS.fieldNames()]
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        [row] = initialState.itertuples()
-        self._known.update(
-            (None if pd.isna(row.mtime) else row.mtime.to_pydatetime(), None if pd.isna(row.file_hash) else row.file_hash)
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def newest_arrivals(arrivals: DataFrame, known: DataFrame) -> DataFrame:
-    """`Newest` of a stream of corpus rows; `known` is `path, mtime, file_hash` to begin with."""
+    at, mark = state.get if state.exists else (None, None)
+    best, order = None, None
+    for part in parts:
+        for row in part.itertuples(index=False):
+            when = None if pd.isna(row.mtime) else row.mtime.to_pydatetime()
+            if row.op == SEED:
+                at, mark = when, row.file_hash
+                continue
+            mine = when or EPOCH, row.file_hash or ""
+            if order is None or mine > order:
+                best, order, best_at = row, mine, when
+    if best is None or (at is not None and best_at is not None and best_at < at):
+        state.update((at, mark))
+        return
+    state.update((best_at or at, best.file_hash))
+    yield pd.DataFrame([(*best, best.file_hash != mark, mark is not None)], columns=_ROWS.fieldNames())
+
+
+def arrived(arrivals: DataFrame) -> DataFrame:
+    """Arrivals with a fingerprint, null for a removal."""
     op = F.col("op") if "op" in arrivals.columns else F.lit(None).cast("string")
     gone = F.coalesce(op == DELETE, F.lit(False))
-    rows = arrivals.select(
-        *[F.col(c) for c in CORPUS.fieldNames()],
-        F.when(~gone, F.coalesce(content_hash(F.col("content")), F.lit("")) ).alias("file_hash"),
+    return arrivals.select(
+        *CORPUS.fieldNames(),
+        F.when(~gone, F.coalesce(content_hash(F.col("content")), F.lit(""))).alias("file_hash"),
         F.when(gone, DELETE).otherwise("arrival").alias("op"),
     )
-    return rows.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=Newest(), outputStructType=_ROWS, outputMode="Append", timeMode="None",
-        initialState=known.groupBy("path"),
-    )
+
+
+def seeds(store: IndexStore, namespace: str, version: int | None, checkpoint: str) -> DataFrame:
+    """A stream of what the index knew when the stream was begun, written once beside its checkpoint."""
+    spark = store.spark
+    path = f"{checkpoint.rstrip('/')}-known"
+    schema = T.StructType(_ROWS.fields[:-2])
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(file):
+        known = store.known_files(namespace, version or 0).withColumn("op", F.lit(SEED))
+        absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in known.columns]
+        known.select("*", *absent).select(*schema.fieldNames()).write.mode("overwrite").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def not_older(arrivals: DataFrame, store: IndexStore, namespace: str) -> DataFrame:
@@ -156,7 +157,8 @@ def continuous_sync(
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     identity, start = stream_start(store, namespace, checkpoint)
-    newest = newest_arrivals(arrivals, store.known_files(namespace, start or 0))
+    rows = seeds(store, namespace, start, checkpoint).unionByName(arrived(arrivals))
+    changes = rows.groupBy("path").applyInPandasWithState(newest, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         token = batch_token(identity, batch_id)
@@ -184,15 +186,15 @@ def continuous_sync(
         rows, seen = counted(rows, "news", n=F.count("*"))
         if not seen["n"]:
             return
-        prints, _, present = fingerprinted(typed(rows.where(F.col("op") != DELETE)), types, max_bytes)
+        found = fingerprinted(typed(rows.where(F.col("op") != DELETE)), types, max_bytes)
         gone = rows.where(F.col("op") == DELETE).select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
         embedded, statuses = None, {}
-        if present:
-            embedded, statuses, _ = embedded_units(typed(rows.where(F.col("op") != DELETE)), None, provider, present, max_bytes)
+        if found.types:
+            embedded, statuses, _ = embedded_units(typed(rows.where(F.col("op") != DELETE)), None, provider, found, max_bytes)
         waiting = retry.join(rows.select("path"), "path", "left_anti")
         if embedded is not None:
             waiting = waiting.unionByName(embedded.where(F.col("status").isin(FAILED, SHORT)).select("path"))
-        replaced, seen = counted(rows.where(F.col("known") & (F.col("op").isNotNull())).select("path"), "replaced", n=F.count("*"))
+        replaced, seen = counted(rows.where("known").select("path"), "replaced", n=F.count("*"))
         store.publish(
             namespace,
             embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
@@ -200,7 +202,7 @@ def continuous_sync(
             retry=waiting,
             token=token,
             replace=False,
-            files=prints.drop("file_ctime").unionByName(gone),
+            files=found.prints.drop("file_ctime").unionByName(gone),
             expected=at,
             unique=True,
         )
@@ -213,6 +215,6 @@ def continuous_sync(
             files = gone.select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
             store.publish(namespace, gone_paths=gone, files=files, token=f"{token}-removed")
 
-    writer = newest.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from waymark.operators import markdown as md
 from waymark.operators.cells import CALIBRATION, CENTROID_DECIMALS, MAX_CELLS, ROUNDS, ROWS_PER_CELL, SAMPLE_BYTES, SAMPLE_ROWS, TARGET
 from waymark.operators.html import BLOCKS, CONTAINERS, HEADINGS, LISTS, TOKEN
+from workload.languages import LANGUAGES, LONG_BYTES, LONG_EVERY, UNSAFE
 from workload.tables import EXTENSIONS, MARKDOWN_STEPS
 
 NL = "chr(10)"
@@ -73,7 +74,7 @@ def prose(corpus: str, prefix: str = "") -> str:
     return f"""
 {p}corpus AS ({corpus}),
 {p}raw AS (SELECT *, string_split(content, {NL}) AS l FROM {p}corpus
-        WHERE strlen(content) BETWEEN 1 AND 1000000),
+        WHERE strlen(content) > 0),
 {p}lines AS (SELECT path, i AS n, l[i] AS piece, NOT regexp_matches(l[i], '^\\s*$') AS solid
           FROM {p}raw, unnest(range(1, len(l) + 1)) AS u(i)),
 {p}islands AS (
@@ -92,6 +93,28 @@ def prose(corpus: str, prefix: str = "") -> str:
 
 FILE_NAME = """CASE doc_id % 5 WHEN 1 THEN 'plain/_' WHEN 2 THEN '.git/' WHEN 3 THEN '_x/y/' ELSE 'plain/' END
     || 'doc_' || doc_id || '.md'"""
+LONG = f"""
+  SELECT {DOC_PATH} AS path, CASE WHEN doc_id % {LONG_EVERY} = 0 THEN repeat(text || {NL} || {NL},
+         floor({LONG_BYTES} / (length(text) + 2))::INT + 1) ELSE text END AS content, 1700000000 + doc_id AS mtime FROM documents"""
+
+
+def _language_units() -> str:
+    parts = []
+    for n, (extension, (template, units)) in enumerate(LANGUAGES.items()):
+        made = text(template).replace("\n", f"' || {NL} || '").replace("§", "' || q || '").replace("¤", "' || (i - 1) || '")
+        height = template.count("\n")
+        for kind, first, last, lead in units:
+            parts.append(f"""
+SELECT '/src/doc_' || doc_id || '.{extension}' AS path, '{kind}' AS kind, {height} * (i - 1) + {first} AS start_line,
+  {height} * (i - 1) + {last} AS end_line, md5(trim(array_to_string(string_split({made}, {NL})[{lead}:{last}], {NL}), {BLANKS})) AS chunk_hash
+FROM pieces WHERE doc_id % {len(LANGUAGES)} = {n}""")
+    unsafe = text(UNSAFE.replace("\r", "")) + " || chr(13)"
+    return f"""
+WITH lines AS (SELECT doc_id, string_split(text, {NL}) AS l FROM documents),
+pieces AS (SELECT doc_id, i, translate(l[i], {unsafe}, '') AS q FROM lines, unnest(range(1, len(l) + 1)) AS u(i))
+{" UNION ALL ".join(parts)}"""
+
+
 LOCAL_INDEX = f"WITH {prose(DOCS, 'l_')}, {prose(CHANGED, 'i_')}"
 
 
@@ -331,6 +354,12 @@ SELECT path, 'function', CASE WHEN doc_id % 2 = 0 THEN 7 * (i - 1) + 3 ELSE 8 *
        CASE WHEN doc_id % 2 = 0 THEN 7 * (i - 1) + 7 ELSE 8 * (i - 1) + 7 END,
        md5(trim(functions[i], {BLANKS}))
 FROM files, unnest(range(1, len(functions) + 1)) AS u(i)""",
+    "language_units": _language_units(),
+    "long_units": f"WITH {prose(LONG)} SELECT path, start_line, end_line, chunk_hash FROM units",
+    "left_out_files": f"""
+WITH {prose(LONG)} SELECT count(DISTINCT path) FILTER (strlen(f.content) <= 1000000 AND regexp_matches(lower(units.content), '\\p{{L}}')) AS n_paths,
+  (SELECT count(*) FROM l0 WHERE strlen(content) > 1000000) AS n_too_large, 0::BIGINT AS n_broken
+FROM units JOIN l0 f USING (path)""".replace("WITH ", f"WITH l0 AS ({LONG}), ", 1),
     "chunk_checks": f"""
 WITH {prose(SPACED)}
 SELECT count(*) AS n_chunks, count(*) FILTER (path = '') AS bad_path,
@@ -380,6 +409,17 @@ SELECT {FILE_NAME} AS name, strlen(text) AS size, md5(text) AS text_hash FROM do
 SELECT {FILE_NAME} AS name, md5(text) AS text_hash, NULL AS reason FROM documents WHERE strlen(text) BETWEEN 1 AND 1000000
 UNION ALL SELECT 'links/doc_' || doc_id || '.md', NULL, 'link' FROM documents WHERE doc_id % 10 = 0
 UNION ALL SELECT 'links/loop_' || doc_id, NULL, 'link' FROM documents WHERE doc_id % 50 = 0""",
+    "stream_removed": f"""
+WITH {prose(DOCS + " WHERE (1700000000 + doc_id) % 3 <> 0")} SELECT id, path, start_line, file_hash FROM units
+WHERE regexp_matches(lower(content), '\\p{{L}}')""",
+    "sampled_lines": """
+WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey FROM lineitem)
+SELECT id, l_partkey FROM l ORDER BY md5('lines:' || id), id LIMIT 55000""",
+    "short_responses": """
+SELECT unnest(['ok', 'short_response']) AS status, 0::BIGINT AS n_wrong, true AS seen""",
+    "embedding_kinds": """
+SELECT doc_id, kind, length(text) AS n_chars, (kind = 'query')::BIGINT AS as_query
+FROM documents, (SELECT unnest(['query', 'document']) AS kind) WHERE doc_id % 4 <> 0""",
     "stored_sync": f"""
 WITH {prose(DOCS)} SELECT id, path, start_line, file_hash FROM units
 WHERE regexp_matches(lower(content), '\\p{{L}}')""",

@@ -36,7 +36,7 @@ from waymark.operators.stats import check_chunks, corpus_stats
 from waymark.plans.search import search_index
 from waymark.plans.sync import rebuild, sync
 from waymark.schema import CORPUS
-from waymark.session import fresh_path
+from waymark.session import fresh_path, materialise
 from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_path, scan_files, scan_tree
 from waymark.sources.index import IndexStore, keyset_page, upload_projection
 from waymark.streaming.continuous import continuous_sync
@@ -207,6 +207,32 @@ def source_units(spark, sf_dir):
     return _unit_rows(code_units(t.source_files(spark, sf_dir)))
 
 
+@register
+def language_units(spark, sf_dir):
+    """Units of all ten code types: nested, one-line, bodiless and commented ones."""
+    return _unit_rows(code_units(t.language_files(spark, sf_dir)))
+
+
+@register
+def long_units(spark, sf_dir):
+    """Units of texts beyond the default size bound."""
+    return t.chunks(t.long_corpus(spark, sf_dir)).select(
+        "path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "chunk_hash"
+    )
+
+
+@register
+def left_out_files(spark, sf_dir):
+    """What a sync with the default bound says of the same texts."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    report = sync(store, "docs", t.long_corpus(spark, sf_dir), hashed_provider(), ("prose",))
+    return store.read("docs").agg(
+        F.countDistinct("path").alias("n_paths"),
+        F.lit(report.left_out["too_large"]).cast("bigint").alias("n_too_large"),
+        F.lit(sum(report.broken.values())).cast("bigint").alias("n_broken"),
+    )
+
+
 @register
 def chunk_checks(spark, sf_dir):
     return check_chunks(t.chunks(t.spaced_corpus(spark, sf_dir)))
@@ -236,6 +262,13 @@ def corpus_statistics(spark, sf_dir):
     return corpus_stats(identify(code_units(corpus)), corpus)
 
 
+@register
+def sampled_lines(spark, sf_dir):
+    """A sample too large for one task, of the order lines."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")
+    return seeded_sample(t.table(spark, sf_dir, "lineitem").select(key, "l_partkey"), 55_000, "lines")
+
+
 @register
 def sampled_chunks(spark, sf_dir):
     rows = t.chunks(t.document_corpus(spark, sf_dir))
@@ -279,7 +312,7 @@ def delete_by_path(spark, sf_dir):
 
 @register
 def applied_diff(spark, sf_dir):
-    local, index = _local_and_index(spark, sf_dir)
+    local, index = (materialise(side, "chunks") for side in _local_and_index(spark, sf_dir))
     after = diff.apply_diff(
         index, diff.upload_set(local, index), diff.delete_set(local, index)
     )
@@ -294,8 +327,11 @@ def sync_report(spark, sf_dir):
 
 @register
 def sync_unchanged(spark, sf_dir):
-    local, _ = _local_and_index(spark, sf_dir)
-    return diff.sync_counts(diff.diff_actions(local, local))
+    """An index and the corpus it was made of, read back: nothing to do."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    local = materialise(t.chunks(t.document_corpus(spark, sf_dir)), "local")
+    store.publish("docs", upload_projection(local), unique=True)
+    return diff.sync_counts(diff.diff_actions(local, store.read("docs")))
 
 
 def _index_rows(index: DataFrame) -> DataFrame:
@@ -309,8 +345,8 @@ def stored_sync(spark, sf_dir):
     """Index the earlier state, then sync to the current one, through the stored index."""
     store = IndexStore(spark, fresh_path(spark, "index"))
     provider = hashed_provider()
-    sync(store, "docs", t.changed_corpus(spark, sf_dir), provider, ("prose",))
-    sync(store, "docs", t.document_corpus(spark, sf_dir), provider, ("prose",))
+    sync(store, "docs", t.changed_corpus(spark, sf_dir), provider, ("prose",), max_bytes=t.WHOLE)
+    sync(store, "docs", t.document_corpus(spark, sf_dir), provider, ("prose",), max_bytes=t.WHOLE)
     return _index_rows(store.read("docs"))
 
 
@@ -319,8 +355,8 @@ def sync_twice(spark, sf_dir):
     """A second sync of one corpus: nothing changed, no new version."""
     store = IndexStore(spark, fresh_path(spark, "index"))
     corpus = t.document_corpus(spark, sf_dir)
-    first = sync(store, "docs", corpus, hashed_provider(), ("prose",))
-    second = sync(store, "docs", corpus, hashed_provider(), ("prose",))
+    first = sync(store, "docs", corpus, hashed_provider(), ("prose",), max_bytes=t.WHOLE)
+    second = sync(store, "docs", corpus, hashed_provider(), ("prose",), max_bytes=t.WHOLE)
     return store.read("docs").agg(
         F.count("*").alias("n_rows"),
         F.lit(second.changed).alias("changed"),
@@ -340,7 +376,8 @@ def duplicate_upserts(spark, sf_dir):
 
 def _drained(spark, store: IndexStore, folder: str, checkpoint: str) -> None:
     """All files of a folder of corpus rows, one micro-batch each, through a stream."""
-    stream = spark.readStream.schema(CORPUS).option("maxFilesPerTrigger", 1).parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     continuous_sync(
         stream,
         store,
@@ -349,6 +386,7 @@ def _drained(spark, store: IndexStore, folder: str, checkpoint: str) -> None:
         checkpoint,
         ("prose",),
         available_now=True,
+        max_bytes=t.WHOLE,
         add_types=lambda df: assign_type(df, TABLE_RULES),
     ).awaitTermination()
 
@@ -379,12 +417,27 @@ def stream_late_rows(spark, sf_dir):
     return _index_rows(store.read("docs"))
 
 
+@register
+def stream_removed(spark, sf_dir):
+    """All documents arrive, then the removal of one in three, then older states of those."""
+    store = IndexStore(spark, fresh_path(spark, "index"))
+    now = t.document_corpus(spark, sf_dir).select(*CORPUS.fieldNames()).withColumn("op", F.lit(None).cast("string"))
+    third = F.pmod(F.unix_timestamp("mtime"), F.lit(3)) == 0
+    hour = F.expr("interval 1 hour")
+    gone = now.where(third).withColumns({"content": F.lit(None).cast("string"), "op": F.lit("delete"), "mtime": F.col("mtime") + hour})
+    checkpoint, folder = fresh_path(spark, "progress"), fresh_path(spark, "arrivals")
+    for state in (now, gone, now.where(third)):
+        state.coalesce(1).write.mode("append").parquet(folder)
+        _drained(spark, store, folder, checkpoint)
+    return _index_rows(store.read("docs"))
+
+
 @register
 def reset_index(spark, sf_dir):
     store = IndexStore(spark, fresh_path(spark, "index"))
     provider = hashed_provider()
-    sync(store, "docs", t.changed_corpus(spark, sf_dir), provider, ("prose",))
-    rebuild(store, "docs", t.document_corpus(spark, sf_dir), provider, ("prose",))
+    sync(store, "docs", t.changed_corpus(spark, sf_dir), provider, ("prose",), max_bytes=t.WHOLE)
+    rebuild(store, "docs", t.document_corpus(spark, sf_dir), provider, ("prose",), max_bytes=t.WHOLE)
     return _index_rows(store.read("docs"))
 
 
@@ -410,6 +463,7 @@ def stream_sync(spark, sf_dir):
         fresh_path(spark, "progress"),
         ("prose",),
         available_now=True,
+        max_bytes=t.WHOLE,
         add_types=lambda df: assign_type(df, TABLE_RULES),
     ).awaitTermination()
     return _index_rows(store.read("docs"))
@@ -457,6 +511,37 @@ def embed_batches(spark, sf_dir):
     )
 
 
+@register
+def short_responses(spark, sf_dir):
+    """A provider that answers fewer vectors than it was given texts: the first ones are paired."""
+
+    def call(texts: list[str], kind: str) -> Response:
+        return Response([[float(len(x))] for x in texts[:-1]], None)
+
+    docs = t.table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    rows = embed(docs, BatchProvider("short", call, 2), text="text")
+    return rows.groupBy("status").agg(
+        F.sum(F.when(F.col("vector").isNull() | (F.col("vector")[0] == F.length("text")), 0).otherwise(1)).alias("n_wrong"),
+        (F.count("*") > 0).alias("seen"),
+    )
+
+
+@register
+def embedding_kinds(spark, sf_dir):
+    """Queries and documents are told apart; a text that is missing is never sent."""
+
+    def call(texts: list[str], kind: str) -> Response:
+        return Response([[float(len(x)), float(kind == "query")] for x in texts], None)
+
+    docs = t.table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("text")
+    )
+    parts = [embed(docs, BatchProvider("kinds", call), kind, "text").withColumn("kind", F.lit(kind)) for kind in ("query", "document")]
+    return parts[0].unionByName(parts[1]).select(
+        "doc_id", "kind", F.col("vector")[0].cast("bigint").alias("n_chars"), F.col("vector")[1].cast("bigint").alias("as_query")
+    )
+
+
 @register
 def embed_token_total(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents", heavy=True)
@@ -571,7 +656,7 @@ def formatted_results(spark, sf_dir):
 def search_documents(spark, sf_dir):
     """Flagship: documents to units to vectors; every benchmark item as a query; shown lines."""
     corpus = t.document_corpus(spark, sf_dir)
-    index = embed(chunk_table(corpus, ("prose",)), hashed_provider()).where("status = 'ok'")
+    index = embed(chunk_table(corpus, ("prose",), t.WHOLE), hashed_provider()).where("status = 'ok'")
     queries = t.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )

@@ -9,7 +9,10 @@ from waymark.operators.extract import chunk_table
 from waymark.operators.filetypes import TABLE_RULES, assign_type
 from waymark.session import fresh_path, materialise
 from waymark.sources.corpus import corpus_from_table, spread_input
+from workload.languages import LANGUAGES, LONG_BYTES, LONG_EVERY, UNSAFE
 
+# A bound on files that no text of a table passes: whole texts are split.
+WHOLE = (1 << 31) - 1
 EXTENSIONS = ["rs", "py", "js", "ts", "go", "java", "c", "hpp", "rb", "sh", "md", "txt", "zig"]
 
 
@@ -125,13 +128,50 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(corpus_from_table(docs.withColumn("code", content), path, "code"))
 
 
+def language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of one of the ten code types: a snippet per line."""
+    docs = table(spark, sf_dir, "documents", heavy=True)
+
+    def snippet(template: str):
+        def made(line: Column, i: Column) -> Column:
+            parts = [p.split("§") for p in template.split("¤")]
+            safe = F.translate(line, UNSAFE, "")
+            pieces = []
+            for n, own in enumerate(parts):
+                pieces += [i.cast("string")] * bool(n)
+                for m, part in enumerate(own):
+                    pieces += [safe] * bool(m) + [F.lit(part)]
+            return F.concat(*pieces)
+
+        return made
+
+    code = F.lit(None).cast("string")
+    path = F.lit(None).cast("string")
+    for n, (extension, (template, _)) in enumerate(LANGUAGES.items()):
+        mine = F.col("doc_id") % len(LANGUAGES) == n
+        code = F.when(mine, F.array_join(F.transform(F.split("text", "\n"), snippet(template)), "")).otherwise(code)
+        path = F.when(mine, F.concat(F.lit("/src/doc_"), F.col("doc_id").cast("string"), F.lit(f".{extension}"))).otherwise(path)
+    return _written(corpus_from_table(docs.withColumn("code", code), path, "code"))
+
+
+def long_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, some repeated until they are longer than two million bytes."""
+    again = F.concat("text", F.lit("\n\n"))
+    times = (F.lit(LONG_BYTES) / F.length(again)).cast("int") + 1
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "text", F.when(F.col("doc_id") % LONG_EVERY == 0, F.repeat(again, times)).otherwise(F.col("text"))
+    )
+    return assign_type(corpus_from_table(docs, doc_path(), "text", doc_time()), TABLE_RULES)
+
+
 def _written(corpus: DataFrame) -> DataFrame:
     """A corpus written once: a filter on its size would work out its content again."""
     return assign_type(materialise(corpus, "corpus"), TABLE_RULES)
 
 
 def chunks(corpus: DataFrame) -> DataFrame:
-    return chunk_table(corpus, ("prose",))
+    """The chunk table of documents, whatever their length."""
+    return chunk_table(corpus, ("prose",), WHOLE)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
