@@ -78,13 +78,14 @@ class Seen(NamedTuple):
 
 
 def fingerprinted(corpus: DataFrame, types: tuple[str, ...], max_bytes: int) -> Seen:
-    """One pass over a corpus, of which only what identifies a file is kept."""
+    """One pass over a corpus, of which only what identifies a file is kept; a `file_hash` is taken as it is."""
     size = F.coalesce(F.col("size"), F.lit(0))
     fits = (size > 0) & (size <= max_bytes)
     wanted = fits & F.coalesce(F.col("type").isin(*types), F.lit(False))
+    file_hash = F.col("file_hash") if "file_hash" in corpus.columns else content_hash(F.col("content"))
     prints, seen = counted(
         corpus.select(
-            "path", content_hash(F.col("content")).alias("file_hash"), F.col("mtime").alias("file_mtime"),
+            "path", file_hash.alias("file_hash"), F.col("mtime").alias("file_mtime"),
             F.col("ctime").alias("file_ctime"), "size", "type",
         ),
         "prints",

@@ -1,7 +1,7 @@
 """Continuous sync: new, changed and removed sources as they arrive.
 
-What a stream knows of each path, its modification time and fingerprint, is keyed state of the stream
-(RocksDB, in its checkpoint), begun from the index as it is when the stream is first started: those
+What a stream knows of each path, its modification time and fingerprint, is state of the stream, keyed by
+buckets of paths (RocksDB, in its checkpoint), begun from the index as it is when the stream is first started: those
 rows are written beside the checkpoint and come with the first batch. A batch therefore reads no index row: arrivals are compared with the state, late ones and those that
 bring nothing new fall out there, and the rows of changed and removed paths are dropped by path.
 Should something else publish into the namespace meanwhile, the state is no longer the whole truth, and
@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +34,9 @@ from waymark.sources.index import IndexStore
 DELETE = "delete"
 # What begins the state of a path.
 SEED = "known"
-EPOCH = datetime(1970, 1, 1)
-_STATE = T.StructType([T.StructField("mtime", T.TimestampType()), T.StructField("file_hash", T.StringType())])
+_STATE = T.StructType([T.StructField("known", T.StringType())])
+# Buckets that paths are kept in, each one state row of some hundred bytes a path.
+STATE_BUCKETS = 1024
 _ROWS = T.StructType(
     [
         *CORPUS.fields,
@@ -76,27 +76,30 @@ def batch_token(identity: str, batch_id: int) -> str:
 
 
 def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest arrival of a path that is not older than what is known of it.
+    """Of a bucket of paths, the newest arrival of each that is not older than what is known of it.
 
     Rows without a time are as old as can be among arrivals, but never older than the state. `news`
-    says that the fingerprint differs from the known one, `known` that there was one.
+    says that the fingerprint differs from the known one, `known` that there was one. The state is
+    {path: [time in microseconds, fingerprint]}.
     """
-    at, mark = state.get if state.exists else (None, None)
-    best, order = None, None
+    known: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    best: dict[str, tuple] = {}
     for part in parts:
-        for row in part.itertuples(index=False):
-            when = None if pd.isna(row.mtime) else row.mtime.to_pydatetime()
+        times = part["mtime"].astype("datetime64[us]").astype("int64").where(part["mtime"].notna(), None).astype(object)
+        for row, when in zip(part.itertuples(index=False), times):
+            when = None if when is None or when != when else int(when)
             if row.op == SEED:
-                at, mark = when, row.file_hash
-                continue
-            mine = when or EPOCH, row.file_hash or ""
-            if order is None or mine > order:
-                best, order, best_at = row, mine, when
-    if best is None or (at is not None and best_at is not None and best_at < at):
-        state.update((at, mark))
-        return
-    state.update((best_at or at, best.file_hash))
-    yield pd.DataFrame([(*best, best.file_hash != mark, mark is not None)], columns=_ROWS.fieldNames())
+                known[row.path] = [when, row.file_hash]
+            elif row.path not in best or (when or 0, row.file_hash or "") > best[row.path][0]:
+                best[row.path] = (when or 0, row.file_hash or ""), when, row
+    out = []
+    for path, (_, when, row) in best.items():
+        at, mark = known.get(path, (None, None))
+        if at is None or when is None or when >= at:
+            known[path] = [at if when is None else when, row.file_hash]
+            out.append((*row[: len(_ROWS) - 2], row.file_hash != mark, mark is not None))
+    state.update((json.dumps(known),))
+    yield pd.DataFrame(out, columns=_ROWS.fieldNames())
 
 
 def arrived(arrivals: DataFrame) -> DataFrame:
@@ -141,6 +144,7 @@ def continuous_sync(
     interval: str = "1 minute",
     add_types: Callable[[DataFrame], DataFrame] | None = None,
     max_bytes: int = MAX_BYTES,
+    state_buckets: int = STATE_BUCKETS,
 ) -> StreamingQuery:
     """Start a stream of corpus rows into an index.
 
@@ -150,6 +154,7 @@ def continuous_sync(
     column `op` is `delete` takes its path out of the index; it has a time like any other, so an
     older arrival does not bring the path back. `add_types` turns corpus rows into typed ones when
     the stream's are not. `store.crowded` says when a batch job should compact the index.
+    `state_buckets`, fixed for a checkpoint, should leave some thousand paths to a bucket.
     """
     spark = arrivals.sparkSession
     spark.conf.set(
@@ -158,7 +163,9 @@ def continuous_sync(
     )
     identity, start = stream_start(store, namespace, checkpoint)
     rows = seeds(store, namespace, start, checkpoint).unionByName(arrived(arrivals))
-    changes = rows.groupBy("path").applyInPandasWithState(newest, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    # Python state has a price per key, so paths share one: a bucket of them.
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(state_buckets)))
+    changes = rows.groupBy("bucket").applyInPandasWithState(newest, _ROWS, _STATE, "append", GroupStateTimeout.NoTimeout)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         token = batch_token(identity, batch_id)
@@ -166,50 +173,60 @@ def continuous_sync(
             return
         with temporary(spark):
             # Written first: whatever reads a batch twice runs its state twice.
-            rows, seen = counted(batch, "arrivals", n=F.count("*"))
-            if not seen["n"]:
-                return
-            if store.touched(namespace, start or 0, identity):
+            news = F.col("news")
+            rows, seen = counted(
+                batch, "arrivals", n=F.count("*"), news=F.count_if(news), replaced=F.count_if(news & F.col("known")),
+                gone=F.count_if(F.col("op") == DELETE),
+            )
+            if seen["n"] and store.touched(namespace, start or 0, identity):
                 by_index(rows, token)
-            else:
-                by_state(rows, token)
+            elif seen["n"]:
+                by_state(rows, seen, token)
 
     def typed(rows: DataFrame) -> DataFrame:
-        rows = rows.select(*CORPUS.fieldNames(), *[c for c in ("type",) if c in rows.columns])
+        rows = rows.where(F.col("op") != DELETE).select(*CORPUS.fieldNames(), "file_hash")
         return rows if add_types is None else add_types(rows)
 
-    def by_state(rows: DataFrame, token: str) -> None:
+    def by_state(rows: DataFrame, seen: dict[str, int], token: str) -> None:
         at = store.version(namespace)
         retry = store.retry_paths(namespace, at)
-        again = rows.join(retry, "path", "left_semi").select("path", F.lit(True).alias("again"))
-        rows = rows.join(F.broadcast(again), "path", "left").where(F.col("news") | F.col("again"))
-        rows, seen = counted(rows, "news", n=F.count("*"))
-        if not seen["n"]:
+        waiting = None if retry.isEmpty() else retry.join(rows.select("path"), "path", "left_anti")
+        replaced = rows.where("news AND known").select("path")
+        if waiting is None:
+            rows = rows.where("news")
+        else:
+            # Units that failed are tried again whenever their path arrives.
+            again = retry.join(rows.select("path"), "path", "left_semi").select("path", F.lit(True).alias("again"))
+            rows = rows.join(again, "path", "left").where(F.col("news") | F.col("again"))
+            replaced = replaced.unionByName(again.select("path"))
+        if not seen["news"] and waiting is None:
             return
-        found = fingerprinted(typed(rows.where(F.col("op") != DELETE)), types, max_bytes)
-        gone = rows.where(F.col("op") == DELETE).select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
+        found = fingerprinted(typed(rows), types, max_bytes)
+        files = found.prints.drop("file_ctime")
+        if seen["gone"]:
+            nothing = F.lit(None).cast("string").alias("file_hash")
+            files = files.unionByName(rows.where(F.col("op") == DELETE).select("path", nothing, F.col("mtime").alias("file_mtime")))
         embedded, statuses = None, {}
         if found.types:
-            embedded, statuses, _ = embedded_units(typed(rows.where(F.col("op") != DELETE)), None, provider, found, max_bytes)
-        waiting = retry.join(rows.select("path"), "path", "left_anti")
-        if embedded is not None:
-            waiting = waiting.unionByName(embedded.where(F.col("status").isin(FAILED, SHORT)).select("path"))
-        replaced, seen = counted(rows.where("known").select("path"), "replaced", n=F.count("*"))
+            embedded, statuses, _ = embedded_units(typed(rows), None, provider, found, max_bytes)
+        if statuses.get(FAILED) or statuses.get(SHORT):
+            failed = embedded.where(F.col("status").isin(FAILED, SHORT)).select("path")
+            waiting = failed if waiting is None else waiting.unionByName(failed)
         store.publish(
             namespace,
             embedded.where(F.col("status") == OK) if statuses.get(OK) else None,
-            gone_paths=replaced if seen["n"] else None,
+            gone_paths=replaced if seen["replaced"] or waiting is not None else None,
             retry=waiting,
             token=token,
             replace=False,
-            files=found.prints.drop("file_ctime").unionByName(gone),
+            files=files,
             expected=at,
             unique=True,
         )
 
     def by_index(rows: DataFrame, token: str) -> None:
         rows = not_older(rows, store, namespace)
-        sync(store, namespace, typed(rows.where(F.col("op") != DELETE)), provider, types, partial=True, token=token, max_bytes=max_bytes)
+        sync(store, namespace, typed(rows), provider, types, partial=True, token=token, max_bytes=max_bytes)
         gone, seen = counted(rows.where(F.col("op") == DELETE).select("path", "mtime"), "removed", n=F.count("*"))
         if seen["n"]:
             files = gone.select("path", F.lit(None).cast("string").alias("file_hash"), F.col("mtime").alias("file_mtime"))
