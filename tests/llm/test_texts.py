@@ -436,3 +436,14 @@ def test_checksums_are_unsigned(spark):
     raw = b"\x01\x00\x00\x00"
     (row,) = spark.createDataFrame([(bytearray(raw),)], "ids binary").select(F.crc32("ids").alias("c")).collect()
     assert row.c == zlib.crc32(raw) and hashlib is not None
+
+
+def test_long_words_alike_modulo_two_are_told_apart(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(WORDS[:12])
+    docs = spark.createDataFrame([(1, f"{lead} {word}"), (2, f"{lead} {other}")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", f"{lead} {word}")], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in find_contamination(docs, items).collect()} == {1: 13, 2: 0}

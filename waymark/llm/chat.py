@@ -179,13 +179,6 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn as a linked, ordered, validated tool call in canonical JSON."""
-    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
-    found = format_calls(calls, results)
-    return found.select("conv_id", "turn", "call_id", "depth", "status", F.array_join("errors", "; ").alias("errors"), "json")
-
-
 def format_turns(turns: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
     """Every row of `turns` (`conv_id, turn, role, text`) as a message: the columns of `format_calls` and `role`.
 
@@ -217,8 +210,8 @@ def format_turns(turns: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFr
     return said.unionByName(plain)
 
 
-def op10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a message in canonical JSON, assistant turns as the calls of `op10_chat`."""
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message in canonical JSON, assistant turns as linked, ordered, validated calls."""
     found = format_turns(table(spark, sf_dir, "conversations"))
     return found.select("conv_id", "turn", "role", "call_id", "depth", "status", F.array_join("errors", "; ").alias("errors"), "json")
 
@@ -236,7 +229,7 @@ WITH RECURSIVE t AS (
     SELECT a.conv_id, a.turn, depth + 1 FROM depths d JOIN t a
         ON a.conv_id = d.conv_id AND a.turn = d.turn + 2 AND a.role = 'assistant'
 )
-SELECT a.conv_id, a.turn, a.conv_id || ':' || a.turn AS call_id, depth,
+SELECT a.conv_id, a.turn, a.role, a.conv_id || ':' || a.turn AS call_id, depth,
     CASE WHEN r.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
     concat_ws('; ', CASE WHEN a.text = '' THEN '$.text: too short' END,
         CASE WHEN a.words < 5 THEN '$.words: below minimum' WHEN a.words > 200 THEN '$.words: above maximum' END) AS errors,
@@ -246,4 +239,10 @@ SELECT a.conv_id, a.turn, a.conv_id || ':' || a.turn AS call_id, depth,
 FROM t a JOIN depths d ON d.conv_id = a.conv_id AND d.turn = a.turn
 LEFT JOIN t r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1
 WHERE a.role = 'assistant'
+UNION ALL
+SELECT a.conv_id, a.turn, a.role, c.conv_id || ':' || c.turn, NULL, CASE WHEN c.conv_id IS NULL THEN 'message' ELSE 'result' END, '',
+    '{"content":' || to_json(a.text) || ',"role":' || coalesce(to_json(a.role), 'null')
+        || CASE WHEN c.conv_id IS NULL THEN '' ELSE ',"tool_call_id":"' || c.conv_id || ':' || c.turn || '"' END || '}'
+FROM t a LEFT JOIN t c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1 AND c.role = 'assistant'
+WHERE a.role IS DISTINCT FROM 'assistant'
 """

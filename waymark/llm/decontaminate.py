@@ -35,8 +35,10 @@ _LOWER[65:91] += 32
 _LOWER_BYTES = _LOWER.tobytes()
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
-# An odd multiplier for word hashes modulo 2^64.
+# An odd multiplier for word hashes modulo 2^64, and one modulo a prime: no pair of words is alike
+# under every multiplier of both, as some long ones are modulo a power of two.
 _STEP = 0x9E3779B97F4A7C15 | 1
+_PRIME, _PRIME_STEP = (1 << 31) - 1, 1_664_525
 _TABLE_BITS = 20
 MATCHES = "array<struct<item_id: string, doc_word: long, item_word: long, n_words: long>>"
 HITS = f"n_words long, n_hit long, item_ids array<string>, matches {MATCHES}"
@@ -45,16 +47,22 @@ HITS = f"n_words long, n_hit long, item_ids array<string>, matches {MATCHES}"
 class _Powers:
     """Powers of the multiplier and of its inverse, as far as any shard needed them."""
 
-    up = down = np.ones(1, dtype=np.uint64)
+    up = down = prime_up = prime_down = np.ones(1, dtype=np.uint64)
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def upto(cls, n: int) -> tuple[np.ndarray, ...]:
         if len(cls.up) < n:
             for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
                 factors = np.full(n, base, dtype=np.uint64)
                 factors[0] = 1
                 setattr(cls, name, np.cumprod(factors))
-        return cls.up[:n], cls.down[:n]
+            for name, base in (("prime_up", _PRIME_STEP), ("prime_down", pow(_PRIME_STEP, -1, _PRIME))):
+                powers = np.ones(1, dtype=np.uint64)
+                while len(powers) < n:
+                    ahead = np.uint64(pow(base, len(powers), _PRIME))
+                    powers = np.concatenate([powers, powers * ahead % np.uint64(_PRIME)])
+                setattr(cls, name, powers[:n])
+        return cls.up[:n], cls.down[:n], cls.prime_up[:n], cls.prime_down[:n]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +73,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if inside[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _Powers.upto(len(joined) + 1)
+    up, down, prime_up, prime_down = _Powers.upto(len(joined) + 1)
+    letters = joined.astype(np.uint64) + np.uint64(1)
     sums = np.zeros(len(joined) + 1, dtype=np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    np.cumsum(letters * up[:-1], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
+    # Sums of numbers below 2^40 stay exact for texts of less than 2^24 times a shard's bytes.
+    np.cumsum(letters * prime_up[:-1], out=sums[1:])
+    second = (sums[ends] - sums[starts]) % np.uint64(_PRIME) * prime_down[starts] % np.uint64(_PRIME)
+    hashes ^= second * np.uint64(0xC2B2AE3D27D4EB4F)
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
