@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Settings the library's plans are written for. AQE splits skewed join partitions and
 # merges small ones, so shuffle width only has to be large enough, not exact.
@@ -100,7 +100,6 @@ def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> Da
 
 
 def counted(df: DataFrame, name: str, by: str | None = None, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
-    """`materialise`, and aggregates taken in the same pass."""
-    seen = Observation()
-    out = materialise(df.observe(seen, *[c.alias(m) for m, c in metrics.items()]), name, by)
-    return out, seen.get
+    """`materialise`, and aggregates over what was written: an observed plan that turns out empty never reports."""
+    out = materialise(df, name, by)
+    return out, out.agg(*[c.alias(m) for m, c in metrics.items()]).first().asDict()
