@@ -1,10 +1,13 @@
+import time
+
 from pyspark.sql import functions as F
 
-from waymark.operators.code import code_units
+from waymark.operators.code import blanked, code_units
 from waymark.operators.extract import chunk_table, extract_units
-from waymark.operators.filetypes import TABLE_RULES, assign_type
+from waymark.operators.filetypes import BRACE_TYPES, INDENT_TYPES, TABLE_RULES, assign_type
 from waymark.operators.html import page_block_units, page_comment_units, page_units
 from waymark.operators.markdown import markdown_units
+from waymark.operators.modes import MODES, blank_nested
 from waymark.operators.prose import prose_units
 from waymark.operators.stats import check_chunks, corpus_stats
 
@@ -420,3 +423,44 @@ def test_the_size_bound_is_a_parameter(spark, make_corpus):
     assert paths(extract_units(corpus, ("markdown",), 1000)) == {"b.md"}
     assert paths(extract_units(corpus, ("markdown",), 10_000)) == {"a.md", "b.md"}
     assert {(r.path, r.reason) for r in left_out(corpus, ("markdown",), 1000).collect()} == {("a.md", "too_large"), ("c.md", "empty")}
+
+
+def test_literals_that_nest():
+    def kept(text, kind):
+        made = blank_nested(text, kind)
+        assert len(made) == len(text) and made.count("\n") == text.count("\n")
+        return "".join(c for c in made if c >= " " or c == "\n")
+
+    assert kept('a = `x ${ f(`{ ${"}"}`) } }`; b', "js") == "a = _ f(__) ; b"
+    assert kept("a / b / c; x = /[/'\"]/g; y", "js") == "a / b / c; x = _; y"
+    assert kept("<b>{x}</b> + <i/>", "js") == "<b>{x}</b> + <i/>"
+    assert kept('f"{d["a"]:>{w}} }}" + 1', "python") == "f_ + 1"
+    assert kept('f"{x!r:\'>4}"; f"open\nz', "python") == "f_; f_\nz"
+    assert kept('<<~A + <<B + 1\n a "\n A\nb\nB\nc', "ruby") == "<<~A + <<B + 1\n\n\n\n\nc"
+    assert kept("a <<B\nno end", "ruby") == "a <<B\nno end"
+    assert kept('cat <<-"E F" | x\n} "\n\tE F\n{', "bash") == 'cat <<-"E F" | x\n\n\n{'
+    assert kept('${#a} "${b:-"}"} $(c ")")" \\" $((1<<D)) <<< e', "bash") == '_ _ \\" $((1<<D)) <<< e'
+    assert kept("/* /* */ { */ x", "rust") == " x"
+    assert kept('r##"a"# }"## y', "rust") == "_ y"
+    assert kept('R"q( )" )q" z', "cpp") == "_ z"
+    for kind in MODES:
+        assert kept("", kind) == ""
+
+
+def test_modes_agree_with_flat_patterns(spark):
+    """Files without nesting literals are blanked alike by both."""
+    files = [("js", "a = '}'; // {\nb = \"\\\"\" /* } */"), ("cpp", CPP), ("rust", RUST), ("python", PYTHON), ("ruby", RUBY), ("bash", BASH)]
+    for types in (BRACE_TYPES, INDENT_TYPES):
+        rows = spark.createDataFrame([f for f in files if f[0] in types], "kind string, content string")
+        flat = blanked(F.col("content"), F.col("kind"), types).alias("flat")
+        for r in rows.select("kind", "content", flat).collect():
+            assert r.flat == blank_nested(r.content, r.kind), r.kind
+
+
+def test_modes_are_linear():
+    begin = time.time()
+    many = 50_000
+    hard = [("`${", "js"), ("x = / 1 ", "js"), ("a <<B\n", "ruby"), ('f"{', "python"), ("/*", "rust"), ('"$(', "bash")]
+    for text, kind in hard:
+        assert len(blank_nested(text * many, kind)) == len(text) * many
+    assert time.time() - begin < 20

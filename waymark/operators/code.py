@@ -10,8 +10,9 @@ running window over them, linear in the file:
 3. A unit ends at the first closing event of its own level, so nested units come out
    overlapping, each on its own level.
 
-Known limits: structure made by macros or preprocessor conditions, nested template strings,
-regular-expression literals holding quotes, here-documents, and object types between a
+Literals that nest (templates, here-documents, interpolations) are blanked by `operators/modes.py`.
+
+Known limits: structure made by macros or preprocessor conditions, and object types between a
 TypeScript parameter list and its body.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from waymark.functions.text import count_newlines
 from waymark.operators.context import leading_comments
 from waymark.operators.filetypes import BRACE_TYPES, INDENT_TYPES
+from waymark.operators.modes import nested
 from waymark.operators.spans import (
     before,
     cut_units,
@@ -142,7 +144,12 @@ def indent_units(corpus: DataFrame) -> DataFrame:
 
 
 def blanked(content: Column, kind: Column, types: tuple[str, ...]) -> Column:
-    """Content with string and comment text overwritten, newlines and length kept."""
+    """Content with string and comment text overwritten, newlines and length kept.
+
+    Files with literals that nest go through `modes.nested`, the others through flat patterns.
+    """
+    by_modes = nested(content, kind, types)
+    content = F.when(by_modes.isNull(), content)
     tokens = {
         name: "|".join(LITERALS[name] + [rf"[^{LITERAL_STARTS[name]}]++|(?s:.)"]) for name in types
     }
@@ -166,7 +173,7 @@ def blanked(content: Column, kind: Column, types: tuple[str, ...]) -> Column:
             .otherwise(piece)
         )
 
-    return F.array_join(F.transform(pieces, blank), "")
+    return F.coalesce(by_modes, F.array_join(F.transform(pieces, blank), ""))
 
 
 def pattern_of(kind: Column, patterns: dict[str, str]) -> Column:

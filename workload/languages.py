@@ -155,6 +155,94 @@ function g¤ { echo '}'; }
         [("function", 2, 5, 1), ("function", 7, 7, 7)],
     ),
 }
+# The same with literals that nest: templates, here-documents, interpolations, regular expressions.
+NESTED: dict[str, tuple[str, list[tuple[str, int, int, int]]]] = {
+    "js": (
+        """// note §
+function f¤(a) {
+  const s = `§ ${a.map(
+    function (x) { return `} ${x + "{"} §`; }
+  )} {`;
+  const r = /["'`{]§/g;
+  return s / r.length;
+}
+
+""",
+        [("function", 2, 8, 1), ("function", 4, 4, 4)],
+    ),
+    "ts": (
+        """/** note § */
+function f¤(a: string): string {
+  return `} ${a ? `{ ${a} §` : /[/"}]/.source} {`;
+}
+
+""",
+        [("function", 2, 4, 1)],
+    ),
+    "py": (
+        '''# note §
+def f¤(a):
+    s = f"{a["def x(): §"]:>{len("#")}} {{ #"
+    t = f"""{
+def fake(): §
+}"""
+    return s
+
+''',
+        [("function", 2, 7, 1)],
+    ),
+    "rb": (
+        """# note §
+def f¤(a)
+  s = <<~SQL + "#{a["end"]} end"
+    def fake §
+    "
+  SQL
+  t = s =~ /["#]§/
+  u = %w[a " §]
+  t
+end
+
+def g¤; 1; end
+
+""",
+        [("function", 2, 10, 1), ("function", 12, 12, 12)],
+    ),
+    "sh": (
+        """# note §
+f¤() {
+  cat <<EOF | tr '}' "$(echo "{ §")"
+} § "
+EOF
+  x=${#y}
+  echo "${a:-"}"} §" $((1<<2)) <<< "}"
+}
+
+function g¤ { echo \\"; }
+
+""",
+        [("function", 2, 8, 1), ("function", 10, 10, 10)],
+    ),
+    "rs": (
+        """/* note /* § } */ { */
+fn f¤() {
+    let s = r####"§ "### } "####;
+}
+
+""",
+        [("function", 2, 4, 1)],
+    ),
+    "cpp": (
+        """// note §
+int f¤() {
+  auto s = R"x(§ )" } )x";
+  return '{';
+}
+
+""",
+        [("function", 2, 5, 1)],
+    ),
+}
 # Characters that would end a comment or string, left out of the lines.
 UNSAFE = "\"'\\*/$`#{}()<>\r"
 # A document long enough to pass the fixed size rule, made of one in so many documents.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from waymark.operators import markdown as md
 from waymark.operators.cells import CALIBRATION, CENTROID_DECIMALS, MAX_CELLS, ROUNDS, ROWS_PER_CELL, SAMPLE_BYTES, SAMPLE_ROWS, TARGET
 from waymark.operators.html import BLOCKS, CONTAINERS, HEADINGS, LISTS, TOKEN
-from workload.languages import LANGUAGES, LONG_BYTES, LONG_EVERY, UNSAFE
+from workload.languages import LANGUAGES, LONG_BYTES, LONG_EVERY, NESTED, UNSAFE
 from workload.tables import EXTENSIONS, MARKDOWN_STEPS
 
 NL = "chr(10)"
@@ -98,16 +98,16 @@ LONG = f"""
          floor({LONG_BYTES} / (length(text) + 2))::INT + 1) ELSE text END AS content, 1700000000 + doc_id AS mtime FROM documents"""
 
 
-def _language_units() -> str:
+def _language_units(languages: dict) -> str:
     parts = []
-    for n, (extension, (template, units)) in enumerate(LANGUAGES.items()):
+    for n, (extension, (template, units)) in enumerate(languages.items()):
         made = text(template).replace("\n", f"' || {NL} || '").replace("§", "' || q || '").replace("¤", "' || (i - 1) || '")
         height = template.count("\n")
         for kind, first, last, lead in units:
             parts.append(f"""
 SELECT '/src/doc_' || doc_id || '.{extension}' AS path, '{kind}' AS kind, {height} * (i - 1) + {first} AS start_line,
   {height} * (i - 1) + {last} AS end_line, md5(trim(array_to_string(string_split({made}, {NL})[{lead}:{last}], {NL}), {BLANKS})) AS chunk_hash
-FROM pieces WHERE doc_id % {len(LANGUAGES)} = {n}""")
+FROM pieces WHERE doc_id % {len(languages)} = {n}""")
     unsafe = text(UNSAFE.replace("\r", "")) + " || chr(13)"
     return f"""
 WITH lines AS (SELECT doc_id, string_split(text, {NL}) AS l FROM documents),
@@ -354,7 +354,8 @@ SELECT path, 'function', CASE WHEN doc_id % 2 = 0 THEN 7 * (i - 1) + 3 ELSE 8 *
        CASE WHEN doc_id % 2 = 0 THEN 7 * (i - 1) + 7 ELSE 8 * (i - 1) + 7 END,
        md5(trim(functions[i], {BLANKS}))
 FROM files, unnest(range(1, len(functions) + 1)) AS u(i)""",
-    "language_units": _language_units(),
+    "language_units": _language_units(LANGUAGES),
+    "nested_units": _language_units(NESTED),
     "long_units": f"WITH {prose(LONG)} SELECT path, start_line, end_line, chunk_hash FROM units",
     "left_out_files": f"""
 WITH {prose(LONG)} SELECT count(DISTINCT path) FILTER (strlen(f.content) <= 1000000 AND regexp_matches(lower(units.content), '\\p{{L}}')) AS n_paths,

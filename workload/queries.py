@@ -41,6 +41,7 @@ from waymark.sources.corpus import corpus_from_table, decode_utf8, latest_per_pa
 from waymark.sources.index import IndexStore, keyset_page, upload_projection
 from waymark.streaming.continuous import continuous_sync
 from workload import tables as t
+from workload.languages import NESTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +214,12 @@ def language_units(spark, sf_dir):
     return _unit_rows(code_units(t.language_files(spark, sf_dir)))
 
 
+@register
+def nested_units(spark, sf_dir):
+    """Units of files whose literals nest: templates, here-documents, interpolations, raw strings."""
+    return _unit_rows(code_units(t.language_files(spark, sf_dir, NESTED)))
+
+
 @register
 def long_units(spark, sf_dir):
     """Units of texts beyond the default size bound."""

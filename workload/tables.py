@@ -128,8 +128,8 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(corpus_from_table(docs.withColumn("code", content), path, "code"))
 
 
-def language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file of one of the ten code types: a snippet per line."""
+def language_files(spark: SparkSession, sf_dir: str, languages: dict = LANGUAGES) -> DataFrame:
+    """Every document as a file of one of the code types: a snippet per line."""
     docs = table(spark, sf_dir, "documents", heavy=True)
 
     def snippet(template: str):
@@ -147,8 +147,8 @@ def language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     code = F.lit(None).cast("string")
     path = F.lit(None).cast("string")
-    for n, (extension, (template, _)) in enumerate(LANGUAGES.items()):
-        mine = F.col("doc_id") % len(LANGUAGES) == n
+    for n, (extension, (template, _)) in enumerate(languages.items()):
+        mine = F.col("doc_id") % len(languages) == n
         code = F.when(mine, F.array_join(F.transform(F.split("text", "\n"), snippet(template)), "")).otherwise(code)
         path = F.when(mine, F.concat(F.lit("/src/doc_"), F.col("doc_id").cast("string"), F.lit(f".{extension}"))).otherwise(path)
     return _written(corpus_from_table(docs.withColumn("code", code), path, "code"))
