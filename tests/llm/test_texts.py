@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.components import components
-from waymark.llm.decontaminate import contaminated, find_contamination
+from waymark.llm.decontaminate import Benchmark, contaminated, find_contamination, match_shard, word_hashes
 from waymark.llm.elias_fano import EliasFano
 from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, prefix, rarest, tables
 from waymark.llm.packing import pack_documents
@@ -354,6 +355,51 @@ def test_contamination(spark, block_bytes):
     assert kept.columns == df.columns
 
 
+def test_matches_against_all_window_pairs():
+    """Matches from their two ends are those found by chaining every (window, place) pair."""
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        letters = rng.integers(1, 5)
+        words = lambda n: " ".join(rng.choice(list("abcd")[:letters], n))
+        items = [(str(k), words(rng.integers(1, 12))) for k in range(4)]
+        docs = [words(rng.integers(0, 30)) for _ in range(3)]
+        bench = Benchmark(items, 3)
+        texts = [d.encode() for d in docs]
+        hashes, owner = word_hashes(texts)
+        hit, rows = match_shard(hashes, owner, bench)
+        starts = np.searchsorted(owner, np.arange(len(docs) + 1))
+        # The first of equal items stands for all of them.
+        first: dict = {}
+        for item_id, text in items:
+            first.setdefault(text, item_id)
+        want, covered = set(), np.zeros(len(hashes), dtype=bool)
+        for n, doc in enumerate(docs):
+            d = doc.split()
+            for text, item_id in first.items():
+                t = text.split()
+                size = min(3, len(t))
+                pairs = {(i, j) for i in range(len(d) - size + 1) for j in range(len(t) - size + 1) if d[i : i + size] == t[j : j + size]}
+                for i, j in pairs:
+                    covered[starts[n] + i : starts[n] + i + size] = True
+                    if (i - 1, j - 1) not in pairs:
+                        k = 0
+                        while (i + k + 1, j + k + 1) in pairs:
+                            k += 1
+                        want.add((starts[n] + i, item_id, j, k + size))
+        assert {(a, bench.ids[c][0], b, n) for a, c, b, n in rows.tolist()} == want and len(rows) == len(want)
+        assert (hit == covered).all()
+
+
+def test_repeated_word_takes_little_memory():
+    """A megabyte of one word against an item of the same: one match for each place, not each pair."""
+    bench = Benchmark([("1", "w " * 100)], 13)
+    tracemalloc.start()
+    hit, rows = match_shard(*word_hashes([b"w " * 500_000]), bench)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.all() and len(rows) == 500_000 - 13 + 100 - 13 + 1 and peak < 500 << 20
+
+
 def test_longest_matches(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     docs = spark.createDataFrame([(1, f"so {item} so {item[4:]}")], "doc_id long, text string")

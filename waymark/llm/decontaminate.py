@@ -183,10 +183,41 @@ def _pair(ranks: np.ndarray, shift: int) -> np.ndarray:
     return ranks * (ranks.max() + 1) + later
 
 
+def _unlike(
+    keys: np.ndarray, beside: np.ndarray, tests: np.ndarray, base: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (shard suffix, test) of equal keys whose words `beside` them differ or are none.
+
+    Suffixes are ordered by key, then neighbour: what a test pairs with is its key's range without
+    the neighbour's, so the pairs listed are the ones returned.
+    """
+    order = np.lexsort((beside[base:], keys[base:]))
+    ordered, around = keys[base:][order], beside[base:][order]
+    low = np.searchsorted(ordered, keys[tests], side="left")
+    high = np.searchsorted(ordered, keys[tests], side="right")
+    some = np.flatnonzero(high > low)
+    tests, low, high = tests[some], low[some], high[some]
+    # One number per key (its place in order) and neighbour finds the part to leave out.
+    step = int(beside.max()) + 1
+    group = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
+    both, wanted = group * step + around, group[low] * step + beside[tests]
+    first = np.searchsorted(both, wanted, side="left")
+    last = np.searchsorted(both, wanted, side="right")
+    bare = beside[tests] == 0
+    first, last = np.where(bare, low, first), np.where(bare, low, last)
+    sizes = np.stack([first - low, high - last], axis=1)
+    begins = np.stack([low, last], axis=1)
+    return order[_spread(begins.ravel(), sizes.ravel())], np.repeat(tests, sizes.sum(axis=1))
+
+
 def match_shard(
     hashes: np.ndarray, owner: np.ndarray, bench: Benchmark
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The hit words of a shard, and its matches: rows (first word, item class, item word, words)."""
+    """The hit words of a shard, and its matches: rows (first word, item class, item word, words).
+
+    Hits are marked once per distinct window; of the windows that follow each other along an item
+    only the first and the last are listed, so memory grows with the shard and its matches.
+    """
     hit = np.zeros(len(hashes) + 1, dtype=np.int64)
     none = np.zeros((0, 4), dtype=np.int64)
     if not bench.windows or not len(hashes):
@@ -204,38 +235,26 @@ def match_shard(
     place_of[slots] = places
     joint = np.concatenate([bench.text, kept])
     base, found = len(bench.text), []
+    left = np.concatenate([[0], joint[:-1]])
     for size, keys in _keys(joint, list(bench.windows)):
-        suffixes = np.argsort(keys[base:], kind="stable")
-        ordered = keys[base:][suffixes]
         tests = bench.windows[size]
-        low = np.searchsorted(ordered, keys[tests], side="left")
-        high = np.searchsorted(ordered, keys[tests], side="right")
-        some = high > low
-        sizes = (high - low)[some]
-        docs = place_of[suffixes[_spread(low[some], sizes)]]
-        items = np.repeat(tests[some], sizes)
+        suffixes = np.flatnonzero(np.isin(keys[base:], keys[tests]))
+        docs = place_of[suffixes]
         hit += np.bincount(docs, minlength=len(hit)) - np.bincount(docs + size, minlength=len(hit))
-        found.append(np.stack([docs, items, np.full(len(docs), size)], axis=1))
-    matches = np.concatenate(found)
-    if not len(matches):
-        return hit[:-1] > 0, none
-    # Windows that follow each other in document and item are one match.
-    docs, items, size = matches.T
-    order = np.lexsort((docs, bench.owner[items], items - docs, size))
-    docs, items, size = docs[order], items[order], size[order]
-    new = np.ones(len(docs), dtype=bool)
-    new[1:] = (
-        (np.diff(docs) != 1)
-        | (np.diff(items) != 1)
-        | (np.diff(size) != 0)
-        | (owner[docs[1:]] != owner[docs[:-1]])
-        | (bench.owner[items[1:]] != bench.owner[items[:-1]])
-    )
-    first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [len(docs)]])) + size[first] - 1
-    which = items[first]
-    rows = np.stack([docs[first], bench.owner[which], which - bench.begin[which], length], axis=1)
-    return np.cumsum(hit)[:-1] > 0, rows
+        if not len(suffixes):
+            continue
+        # A whole item is one window, whatever stands beside it.
+        right = np.concatenate([joint[size:], np.zeros(size, dtype=np.int64)])
+        begins, heads = _unlike(keys, left, tests, base)
+        ends, tails = _unlike(keys, right, tests, base)
+        # Along one diagonal matches are apart: the n-th that begins is the n-th that ends.
+        ahead = np.lexsort((begins, begins - heads))
+        behind = np.lexsort((ends, ends - tails))
+        begins, heads, ends = begins[ahead], heads[ahead], ends[behind]
+        found.append(
+            np.stack([place_of[begins], bench.owner[heads], heads - bench.begin[heads], ends - begins + size], axis=1)
+        )
+    return np.cumsum(hit)[:-1] > 0, np.concatenate(found) if found else none
 
 
 def _blocks(spark: SparkSession, items: DataFrame, window: int, block_bytes: int) -> list:
@@ -287,27 +306,35 @@ def find_contamination(
                 hashes, owner = word_hashes(texts[begin:end])
                 count = end - begin
                 hit = np.zeros(len(hashes), dtype=bool)
-                listed: list[set] = [set() for _ in range(count)]
-                matches: list[list] = [[] for _ in range(count)]
                 starts = np.searchsorted(owner, np.arange(count + 1))
+                listed: list[set] = [set() for _ in range(count)]
+                rows, names = [], []
                 for block in blocks:
                     bench = block.value
-                    own, rows = match_shard(hashes, owner, bench)
+                    own, matches = match_shard(hashes, owner, bench)
                     hit |= own
-                    for (word, kind, item_word, n), doc in zip(rows.tolist(), owner[rows[:, 0]].tolist()):
-                        ids = bench.ids[kind]
-                        listed[doc].update(ids)
-                        matches[doc].append(
-                            (ids[0] if ids else None, word - int(starts[doc]), item_word, n)
-                        )
+                    docs = owner[matches[:, 0]]
+                    for pair in np.unique(docs * (len(bench.ids) or 1) + matches[:, 1]).tolist():
+                        doc, kind = divmod(pair, len(bench.ids))
+                        listed[doc].update(bench.ids[kind])
+                    first = np.array([ids[0] if ids else None for ids in bench.ids], dtype=object)
+                    names.append(first[matches[:, 1]] if len(first) else first)
+                    rows.append(np.stack([docs, matches[:, 0] - starts[docs], matches[:, 2], matches[:, 3]], axis=1))
+                told, names = np.concatenate(rows), np.concatenate(names)
+                order = np.lexsort(told.T[::-1])
+                told, names = told[order], names[order]
+                bounds = np.searchsorted(told[:, 0], np.arange(count + 1))
                 parts.append(pd.DataFrame(
                     {
                         "n_words": np.diff(starts),
                         "n_hit": np.bincount(owner[hit], minlength=count)[:count],
                         "item_ids": [sorted(x) for x in listed],
                         "matches": [
-                            [dict(zip(("item_id", "doc_word", "item_word", "n_words"), m)) for m in sorted(x, key=lambda m: m[1:])]
-                            for x in matches
+                            [
+                                {"item_id": name, "doc_word": word, "item_word": at, "n_words": n}
+                                for name, (_, word, at, n) in zip(names[a:b].tolist(), told[a:b].tolist())
+                            ]
+                            for a, b in zip(bounds[:-1], bounds[1:])
                         ],
                     }
                 ))
