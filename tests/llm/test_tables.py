@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from waymark.llm.chat import call_depths, canonical, conversation_calls, format_
 from waymark.llm.cover_tree import build_tree, close_leaves, cosine_links, descend
 from waymark.llm.quality import SLOTS, fit, ngram_slots, score_quality, train_quality
 from waymark.llm.shared import held_out
-from waymark.llm.toxicity import AIMED, DENIED, GRAMMAR, INSULT, NEGATION, OTHER, PLAIN, REPORT, REPORTED, TARGET
+from waymark.llm.toxicity import AIMED, DENIED, GRAMMAR, INSULT, NEGATION, OTHER, PLAIN, REPORT, REPORTED, TARGET, THREAT
 from waymark.llm.toxicity import Grammar, score_toxicity, train_toxicity
 from waymark.llm.warc import read_archives, verified_records, write_archives
 
@@ -106,6 +107,49 @@ def test_clauses_end_scopes():
     assert grammar.features("snarkwits")[PLAIN] > 0 and not grammar.features("").any()
 
 
+def plain_features(grammar, text):
+    """The features by rules read off each match's surroundings, without any machine."""
+    total, most, threats, hits, words = [0.0] * 4, [0.0] * 4, [0.0] * 4, 0, 0
+    for clause in re.split(r"[.!?;:\n]+", text.lower()):
+        found = [grammar.symbol(w) or (OTHER, 0.0) for w in re.findall(r"[^\W\d_]+", clause)]
+        words += len(found)
+        symbols, own = [s for s, _ in found], [0.0] * 4
+        for i, (symbol, weight) in enumerate(found):
+            if symbol not in (INSULT, THREAT):
+                continue
+            near = TARGET in symbols[max(0, i - 4) : i] or TARGET in symbols[i + 1 : i + 4]
+            kind = AIMED if near else PLAIN
+            kind = DENIED if NEGATION in symbols[max(0, i - 3) : i] else kind
+            kind = REPORTED if REPORT in symbols[:i] else kind
+            if symbol == THREAT:
+                threats[kind] += 1
+            else:
+                hits += 1
+                own[kind] += weight
+        total = [a + b for a, b in zip(total, own)]
+        most = [max(a, b) for a, b in zip(most, own)]
+    share = hits / words if words else 0.0
+    return [*np.log1p(total), *most, *np.log1p(threats), share]
+
+
+def test_features_against_a_plain_reading():
+    grammar = Grammar({"grumblor": 5.0, "vexnik": 3.5}, {"snark": 4.0})
+    rng = random.Random(3)
+    vocabulary = "grumblor vexnik snarkwits kill killing töten tuera you them not never said wrote stone river the".split()
+    for _ in range(1000):
+        text = "".join(rng.choice(vocabulary) + rng.choice([" "] * 9 + [". ", "; ", "\n"]) for _ in range(rng.randrange(40)))
+        assert np.allclose(grammar.features(text), plain_features(grammar, text)), text
+    long = "you grumblor " * 200_000
+    assert np.allclose(grammar.features(long), plain_features(grammar, long))
+
+
+def test_threats_by_kind(spark):
+    docs, labels = documents(spark)
+    grammar = train_toxicity(docs, labels, sample=200)
+    score = [grammar.score(t) for t in ("I will kill you", "I will not kill you", "He said I will kill you", "kill the process now please", "stone and river")]
+    assert score[0] > max(score[1:4]) and min(score[:4]) > score[4]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = documents(spark)
     grammar = train_toxicity(docs, labels, sample=200)

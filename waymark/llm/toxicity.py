@@ -2,21 +2,24 @@
 
 A word becomes a symbol: insult, threat, target, negation, report or other. Small transducers
 over symbols rewrite insults and threats that stand behind a negation, under a verb of saying,
-or next to a target; their composition is one table of (state, symbol) that runs over each
-clause, and a clause counts by what it matched, not by the words it holds. Weights of insults
-are log ratios of documents learned from labelled rows, for words and for word beginnings;
-a logistic curve weighs the kinds of matched clauses against each other.
-
-The lexicon and the curve are fitted on at most `sample` labelled rows of each class.
+or next to a target. What a target follows is marked by a machine that reads the clause from its
+end; the others are composed to one table of (state, symbol) that reads on from there. A clause
+counts by what it matched, not by the words it holds. Weights of insults are log ratios of
+documents learned from labelled rows, for words and for word beginnings; a logistic curve weighs
+the kinds of matched clauses against each other, those of threats about a prior.
+
+The lexicon and the curve are fitted on at most `sample` labelled rows of each class, the curve on
+rows whose half of the sample taught nothing to the lexicon they are read with.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log, log1p
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.quality import sampled_texts
-from waymark.llm.shared import held_out, small_batches, table
+from waymark.llm.shared import held_out, small_batches, table, written
 from waymark.llm.tokens import text_list
 
 SAMPLE = 4000
@@ -47,8 +50,18 @@ FUNCTION_WORDS = {
     TARGET: "you your yours he she him her they them people du dich dir ihr euch sie tu toi vous te ti usted ustedes vosotros ellos ils elles",
     NEGATION: "not no never none nobody without isn aren don nicht kein keine keinen nie niemals pas jamais aucun sans nunca jamás ningún sin",
     REPORT: "said says say wrote claimed quoted called sagte sagt schrieb dit disait écrit dijo dice escribió",
-    THREAT: "kill hurt destroy beat burn töten schlagen tuer frapper brûler matar golpear quemar",
 }
+# Threats as stems and their endings, and forms that follow no such rule.
+THREAT_FORMS = (
+    ("kill murder hurt destroy burn beat crush shoot", ",s,ed,ing"),
+    ("strangl", "e,es,ed,ing"),
+    ("töt schlag würg", "en,e,est,et,t,te,ten"),
+    ("tu frapp brûl étrangl", "er,e,es,ez,ent,erai,eras,era,é,és"),
+    ("mat golpe quem", "ar,o,as,an,aré,arás,ará,ado,ando"),
+    ("stab stabs stabbed stabbing shot beaten burnt schlägt schlägst getötet geschlagen umbringen", ""),
+)
+# What the curve expects of threats before it has seen any, by kind.
+THREAT_PRIOR = (0.2, 3.0, 0.3, 0.3)
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -100,22 +113,42 @@ def compose(machines: list[Transducer], symbols: list[int]) -> dict[tuple[int, i
     return out
 
 
+_SYMBOLS = [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT]
+# From the clause's end: matches before a target. Then from its beginning, over what that wrote.
+BACKWARD = compose([_scope(TARGET, AIMED, 3)], _SYMBOLS)
 GRAMMAR = compose(
     [_scope(TARGET, AIMED, 4), _scope(NEGATION, DENIED, 3), _scope(REPORT, REPORTED, None)],
-    [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT],
+    [*_SYMBOLS, _marked(AIMED, INSULT), _marked(AIMED, THREAT)],
 )
 
 
+def read_clause(symbols: list[int]) -> list[int]:
+    """A clause's symbols with its matches marked by their kinds."""
+    if TARGET in symbols:
+        state, marked = 0, []
+        for symbol in reversed(symbols):
+            state, symbol = BACKWARD[state, symbol]
+            marked.append(symbol)
+        symbols = marked[::-1]
+    state, out = 0, []
+    for symbol in symbols:
+        state, symbol = GRAMMAR[state, symbol]
+        out.append(symbol)
+    return out
+
+
 @dataclass
 class Grammar:
     """The fitted grammar: weights of words and of beginnings, and the curve over clause kinds."""
 
     words: dict[str, float]
     beginnings: dict[str, float]
-    curve: list[float] = field(default_factory=lambda: [0.0] * (2 * KINDS + 3))
+    curve: list[float] = field(default_factory=lambda: [0.0] * (3 * KINDS + 2))
 
     def __post_init__(self) -> None:
-        self._fixed = {w: (s, 1.0) for s, words in FUNCTION_WORDS.items() for w in words.split()}
+        threats = {stem + e for stems, ends in THREAT_FORMS for stem in stems.split() for e in ends.split(",")}
+        self._fixed = {w: (THREAT, 1.0) for w in threats}
+        self._fixed |= {w: (s, 1.0) for s, words in FUNCTION_WORDS.items() for w in words.split()}
         self._cache: dict[str, tuple[int, float] | None] = {}
 
     def symbol(self, word: str) -> tuple[int, float] | None:
@@ -131,8 +164,8 @@ class Grammar:
         return found
 
     def features(self, text: str) -> np.ndarray:
-        """Per kind of match the sum of clause weights, damped, and the greatest; and threats."""
-        out = np.zeros(2 * KINDS + 2)
+        """Per kind of match the sum of clause weights, damped, and the greatest, and its threats; and the share of insults."""
+        out = np.zeros(3 * KINDS + 1)
         text = text.lower()
         words = _WORD.findall(text)
         cache = self._cache
@@ -149,22 +182,23 @@ class Grammar:
             return out
         hits = 0
         for clause in _CLAUSE.split(text):
-            state, best = 0, {}
-            for word in _WORD.findall(clause):
-                symbol, weight = cache[word] or (OTHER, 0.0)
-                state, written = GRAMMAR[state, symbol]
-                kind, match = divmod(written, 10)
+            read = [cache[word] or (OTHER, 0.0) for word in _WORD.findall(clause)]
+            if not any(symbol in (INSULT, THREAT) for symbol, _ in read):
+                continue
+            best: dict[int, float] = {}
+            for symbol, (_, weight) in zip(read_clause([symbol for symbol, _ in read]), read):
+                kind, match = divmod(symbol, 10)
                 if match == INSULT:
                     hits += 1
                     best[kind] = best.get(kind, 0.0) + weight
                 elif match == THREAT:
-                    out[2 * KINDS] += 1.0
+                    out[2 * KINDS + kind] += 1.0
             for kind, weight in best.items():
                 out[kind] += weight
                 out[KINDS + kind] = max(out[KINDS + kind], weight)
         out[:KINDS] = np.log1p(out[:KINDS])
-        out[2 * KINDS] = log1p(out[2 * KINDS])
-        out[2 * KINDS + 1] = hits / len(words)
+        out[2 * KINDS : -1] = np.log1p(out[2 * KINDS : -1])
+        out[-1] = hits / len(words)
         return out
 
     def score(self, text: str) -> float:
@@ -179,45 +213,27 @@ def _terms(text: str) -> set[str]:
 
 
 def _curve(rows: np.ndarray, labels: np.ndarray) -> list[float]:
-    """Damped logistic regression by Newton's method, weights then constant."""
+    """Logistic regression by Newton's method, damped towards the prior: weights, then constant."""
     x = np.hstack([rows, np.ones((len(rows), 1))])
-    beta, damp = np.zeros(x.shape[1]), np.eye(x.shape[1]) * 0.5
+    prior = np.zeros(x.shape[1])
+    prior[2 * KINDS : 3 * KINDS] = THREAT_PRIOR
+    beta, damp = prior.copy(), np.eye(x.shape[1]) * 0.5
     damp[-1, -1] = 1e-3
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (labels - p) - damp @ beta
+        gradient = x.T @ (labels - p) - damp @ (beta - prior)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + damp, gradient)
         beta = beta + step * min(1.0, 3.0 / (np.abs(step).max() + 1e-12))
     return beta.tolist()
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """Fit on `docs` (`doc_id`, `text`) whose `labels` (`doc_id`, `toxic`) may be learned from.
+def _half(text: str) -> int:
+    """Which half of the sample a text belongs to; equal texts to the same."""
+    return zlib.crc32(text.encode()) & 1
 
-    Rows of null id or label teach nothing; without rows of both classes every score is the
-    share of toxic rows.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    known = known.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        share = min(max(totals.get(1, 0) / max(1, sum(totals.values())), 1e-9), 1 - 1e-9)
-        return Grammar({}, {}, [0.0] * (2 * KINDS + 2) + [log(share / (1 - share))])
-    taught = sampled_texts(docs, known, sample)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(text_list(batch["text"]), batch["toxic"]):
-                found[int(toxic)].update(_terms(text))
-                found[int(toxic)][""] += 1
-            rows = [(t, found[1][t], found[0][t]) for t in found[0] | found[1]]
-            yield pd.DataFrame(rows, columns=["term", "toxic", "clean"])
 
-    counts = taught.mapInPandas(count, "term string, toxic long, clean long")
+def _lexicon(counts: DataFrame) -> Grammar:
+    """The strongest terms of counted documents (`term, toxic, clean`; the empty term: all of them)."""
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     size = counts.where("term = ''").select(F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean"))
     # Cautious counts, a standard deviation towards each other: few samples prove little.
@@ -237,15 +253,50 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .limit(LEXICON)
     )
     lexicon = {r.term: r.weight for r in ranked.collect()}
-    grammar = Grammar(
+    return Grammar(
         {t: w for t, w in lexicon.items() if not t.endswith("*")},
         {t[:-1]: w for t, w in lexicon.items() if t.endswith("*")},
     )
-    shared = spark.sparkContext.broadcast(grammar)
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
+    """Fit on `docs` (`doc_id`, `text`) whose `labels` (`doc_id`, `toxic`) may be learned from.
+
+    Rows of null id or label teach nothing; without rows of both classes every score is the
+    share of toxic rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    known = known.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        share = min(max(totals.get(1, 0) / max(1, sum(totals.values())), 1e-9), 1 - 1e-9)
+        return Grammar({}, {}, [0.0] * (3 * KINDS + 1) + [log(share / (1 - share))])
+    taught = sampled_texts(docs, known, sample)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = {(half, toxic): Counter() for half in (0, 1) for toxic in (0, 1)}
+            for text, toxic in zip(text_list(batch["text"]), batch["toxic"]):
+                own = found[_half(text), int(toxic)]
+                own.update(_terms(text))
+                own[""] += 1
+            rows = [(t, h, found[h, 1][t], found[h, 0][t]) for h in (0, 1) for t in found[h, 0] | found[h, 1]]
+            yield pd.DataFrame(rows, columns=["term", "half", "toxic", "clean"])
+
+    counts = taught.mapInPandas(count, "term string, half int, toxic long, clean long")
+    counts = counts.groupBy("term", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts, "toxic-terms")
+    grammar = _lexicon(counts)
+    # Each half is described by what the other half taught.
+    shared = spark.sparkContext.broadcast([_lexicon(counts.where(F.col("half") != half)) for half in (0, 1)])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [shared.value.features(t).tolist() for t in text_list(batch["text"])]
+            texts = text_list(batch["text"])
+            rows = [shared.value[_half(t)].features(t).tolist() for t in texts]
             yield pd.DataFrame({"features": rows, "toxic": batch["toxic"]})
 
     # At most 2 * `sample` rows of a dozen numbers.
