@@ -139,8 +139,10 @@ def test_features_against_a_plain_reading():
     for _ in range(1000):
         text = "".join(rng.choice(vocabulary) + rng.choice([" "] * 9 + [". ", "; ", "\n"]) for _ in range(rng.randrange(40)))
         assert np.allclose(grammar.features(text), plain_features(grammar, text)), text
-    long = "you grumblor " * 200_000
+    long = "you grumblor " * 1000
     assert np.allclose(grammar.features(long), plain_features(grammar, long))
+    # A clause of 400,000 words; the plain reading would look back over all of it for each.
+    assert np.isclose(grammar.features(long * 200)[AIMED], np.log1p(5.0 * 200_000))
 
 
 def test_threats_by_kind(spark):
