@@ -1,14 +1,17 @@
+import re
 import time
+from unittest import mock
 
 from pyspark.sql import functions as F
 
-from waymark.operators.code import blanked, code_units
+from waymark.operators.code import PLAIN, blanked, code_units
 from waymark.operators.extract import chunk_table, extract_units
 from waymark.operators.filetypes import BRACE_TYPES, INDENT_TYPES, TABLE_RULES, assign_type
 from waymark.operators.html import page_block_units, page_comment_units, page_units
 from waymark.operators.markdown import markdown_units
 from waymark.operators.modes import MODES, blank_nested
 from waymark.operators.prose import prose_units
+from waymark.operators.spans import BLOCK, blocks_of, cut_text
 from waymark.operators.stats import check_chunks, corpus_stats
 
 RUST = '''// file note
@@ -414,6 +417,40 @@ def test_cutting_grows_with_the_file(spark, make_corpus):
     assert large < 20 * small + 5 and large < 40
 
 
+def test_units_are_cut_without_python(spark, make_corpus):
+    for extractor in (prose_units, markdown_units, page_units):
+        plan = extractor(make_corpus({"a": "x"}))._jdf.queryExecution().executedPlan().toString()
+        # Files went to Python workers whole, a batch of thousands at a time.
+        assert "EvalPython" not in plan
+        # As an aggregate, `first` copies the file again for every row of its group.
+        assert "first(file" not in plan
+
+
+def test_cuts_are_slices_by_character(spark):
+    text = ("ab \U0001f600é\n" * BLOCK)[: 3 * BLOCK + 5]
+    places = [1, 2, BLOCK - 1, BLOCK, BLOCK + 1, 2 * BLOCK, 2 * BLOCK + 3, 3 * BLOCK, 3 * BLOCK + 5, 4 * BLOCK]
+    asked = [(a, b) for a in places for b in [0, *places]] + [(None, 3), (3, None)]
+    df = spark.createDataFrame([(text, asked)], "text string, asked array<struct<a: int, b: int>>")
+    df = df.select(blocks_of(F.col("text")).alias("blocks"), "asked")
+    got = df.select(F.transform("asked", lambda s: cut_text(F.col("blocks"), s["a"], s["b"])).alias("cut")).first().cut
+    assert got == [None if a is None or b is None else text[a - 1 : b].strip(" \t\r\n") for a, b in asked]
+
+
+def test_plain_text_is_one_piece(spark):
+    samples = {
+        "rust": 'let br = b"x"; r#"a"# rb \'c\' a / b // r"', "cpp": 'R"(x)" R R"', "ruby": "a = 1\n=begin\nx\n=end\n==begin",
+        "bash": "$# # x\n'q' /", "js": "a / b /* c */ 'd'",
+    }
+    df = spark.createDataFrame(list(samples.items()), "type string, content string")
+    types = tuple(samples)
+    both = []
+    for plain in (PLAIN, {name: "(?!)" for name in PLAIN}):  # without it every character is a piece
+        with mock.patch.dict(PLAIN, plain):
+            both.append(sorted(df.select("type", blanked(F.col("content"), F.col("type"), types)).collect()))
+    assert both[0] == both[1]
+    assert re.fullmatch(PLAIN["rust"], "a rather bare number / b")
+
+
 def test_the_size_bound_is_a_parameter(spark, make_corpus):
     from waymark.operators.extract import extract_units, left_out
 
