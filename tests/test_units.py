@@ -401,6 +401,29 @@ def test_one_shuffle_per_extraction(spark, make_corpus):
         assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_code_is_shuffled_once_and_cut_once(spark, make_corpus):
+    from waymark.operators.code import brace_units, indent_units
+
+    corpus = make_corpus({"a.rs": "fn a() {}", "b.py": "def b():\n    pass\n"})
+    for extractor, kind in ((brace_units, "rust"), (indent_units, "python")):
+        plan = extractor(corpus.withColumn("type", F.lit(kind)))._jdf.queryExecution().executedPlan().toString()
+        # Python after the shuffle would make Spark shuffle the pieces; an inner explode would cut texts twice.
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert "Filter (size(transform(" not in plan, plan
+
+
+def test_blanks_at_the_ends(spark, make_corpus):
+    from waymark.operators.spans import BLANKS, TAIL, blanks_behind, blocks_of, cut_text
+
+    long = "x" + BLANKS * TAIL
+    texts = ["", "a", " a", "a ", "\t\r\n é \n", "a" * 3000, "\n" * 3000, long, long + "y", "ü" * 100 + "\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    cut = cut_text(blocks_of(F.col("t")), F.lit(1), F.length("t")).alias("cut")
+    for r in df.select("t", blanks_behind(F.col("t")).alias("behind"), cut).collect():
+        assert r.t == r.t.rstrip(BLANKS) + r.behind
+        assert r.cut == r.t.strip(BLANKS)
+
+
 def test_cutting_grows_with_the_file(spark, make_corpus):
     import time
 
@@ -480,6 +503,10 @@ def test_literals_that_nest():
     assert kept("/* /* */ { */ x", "rust") == " x"
     assert kept('r##"a"# }"## y', "rust") == "_ y"
     assert kept('R"q( )" )q" z', "cpp") == "_ z"
+    # What no event can begin in is passed over, up to the very place.
+    assert kept("a =   /[`]/ ; b  / c", "js") == "a =   _ ; b  / c"
+    assert kept('barf"{x}" rf"{x}"', "python") == "barf_ rf_"
+    assert kept("a = b < c if /[\"]/ =~ d", "ruby") == "a = b < c if _ =~ d"
     for kind in MODES:
         assert kept("", kind) == ""
 
