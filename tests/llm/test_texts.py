@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.llm import near_copies
 from waymark.llm.components import components
 from waymark.llm.decontaminate import Benchmark, contaminated, find_contamination, match_shard, word_hashes
 from waymark.llm.elias_fano import EliasFano
-from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, prefix, rarest, tables
+from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, one_order, prefix, rarest, tables
 from waymark.llm.packing import pack_documents
 from waymark.llm.secrets import find_secrets, mask_secrets
 from waymark.llm.simhash import covering_masks, links_within, simhash_groups
@@ -279,6 +280,29 @@ def test_short_near_copies_all_meet(spark):
     assert {r.doc_id for r in kept} == set(range(1500))
 
 
+def test_short_near_copies_meet_by_simhash(spark, monkeypatch):
+    """Without prefixes: each text of 196 shingles meets its copy, of which a word differs, under one order's masks."""
+    monkeypatch.setattr(near_copies, "rarest", lambda hashes, *others: hashes[:0])
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    bases = [[word() for _ in range(200)] for _ in range(100)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)]
+    rows += [(500 + i, " ".join([*b[:90], word(), *b[91:]])) for i, b in enumerate(bases)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(100))
+
+
+def test_masks_of_one_order_share_no_bit():
+    for count in (1000, 10**9):
+        masks = tables(count, 0.8, RECALL)
+        held = [sum((m & (1 << 64) - 1) << (64 * k) for k, m in enumerate(lanes)) for lanes in one_order(masks)]
+        joined = 0
+        for mask in held:
+            assert not joined & mask
+            joined |= mask
+        assert 1 < len(held) < len(masks)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(13)
     for _ in range(300):
