@@ -213,3 +213,19 @@ def test_nearest_root(spark):
         "/w/a/x/z.rs": "/w/a/x",
     }
     assert assign_type(df.withColumn("content", F.lit(""))).count() == 3
+
+
+def test_a_large_folder_is_listed_in_pieces(spark, tmp_path, monkeypatch):
+    from waymark.sources import corpus
+
+    for n in range(25):
+        (tmp_path / f"f{n}.py").write_text("x")
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "g.py").write_text("y")
+    monkeypatch.setattr(corpus, "WALK", 10)
+    pieces = list(corpus._walk(str(tmp_path), False))
+    assert max(map(len, pieces)) <= 10
+    rows = [row for piece in pieces for row in piece]
+    assert sum(row[3] == "file" for row in rows) >= 25 and len({row[0] for row in rows}) == len(rows)
+    found = corpus.list_tree(spark, [str(tmp_path)], []).where("kind = 'file'")
+    assert found.count() == found.select("uri").distinct().count() == 50
