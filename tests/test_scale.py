@@ -2,15 +2,17 @@
 
 from pyspark.sql import Row
 
-from waymark.operators.knn import JOB_CHUNKS, MAX_BROADCAST_BYTES, chunk_groups
+from waymark.operators.knn import JOB_CHUNKS, MAX_BROADCAST_BYTES, MAX_BROADCAST_QUERIES, chunk_groups, query_chunks, shared_passes
 from workload import queries
 from workload import tables as t
+from workload.oracles import ORACLES as queries_sql
 
 
-def test_queries_are_every_fiftieth_vector(spark, tmp_path):
+def test_queries_are_every_vector(spark, tmp_path):
     rows = [(i, [float(i), 1.0], 0) for i in range(-50, 151)] + [(None, [1.0, 1.0], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert sorted(r.query_id for r in t.vector_queries(spark, str(tmp_path)).collect()) == [-50, 0, 50, 100, 150]
+    found = [r.query_id for r in t.vector_queries(spark, str(tmp_path)).collect()]
+    assert None in found and sorted(q for q in found if q is not None) == list(range(-50, 151))
     assert t.vectors(spark, str(tmp_path)).count() == 202
 
 
@@ -41,3 +43,24 @@ def test_chunks_of_queries_share_jobs():
     half = MAX_BROADCAST_BYTES // 16
     assert [len(g) for g in chunk_groups(iter([chunk(1, half)] * 3))] == [2, 1]
     assert not list(chunk_groups(iter([])))
+
+
+def test_every_vector_asks_in_every_search(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], 3) for i in range(1, 141)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("knn_exact", "knn_filtered", "knn_blocks", "ann_search"):
+        found = queries.QUERIES[name](spark, str(tmp_path)).groupBy("query_id").count().collect()
+        assert {r.query_id for r in found} == set(range(1, 141)), name
+        assert {r["count"] for r in found} == {20 if name == "knn_exact" else 5}
+    assert queries.QUERIES["ann_recall"](spark, str(tmp_path)).first().n_exact == 140 * 5
+    for sql in (queries_sql[n] for n in ("knn_exact", "knn_filtered", "knn_blocks", "ann_search", "ann_recall")):
+        assert "% 50" not in sql
+
+
+def test_small_chunks_of_queries_share_a_pass(spark):
+    asked = spark.range(900).selectExpr("id AS query_id", "array(double(id), 1D) AS vector")
+    chunks = list(query_chunks(asked, 10))
+    assert len(chunks) > 80 and sorted(q.query_id for c in chunks for q in c) == list(range(900))
+    assert [len(p) for p in shared_passes(iter(chunks))] == [900]
+    many = [[Row(query_id=0, vector=[1.0])] * 3000] * 3
+    assert [len(p) for p in shared_passes(iter(many))] == [3000] * 3 and 3000 < MAX_BROADCAST_QUERIES
