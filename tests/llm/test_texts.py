@@ -10,14 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import near_copies
+from waymark.llm import near_copies, shared
 from waymark.llm.components import components
 from waymark.llm.decontaminate import Benchmark, contaminated, find_contamination, match_shard, word_hashes
 from waymark.llm.elias_fano import EliasFano
-from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, one_order, prefix, rarest, tables
+from waymark.llm.near_copies import LANES, RECALL, SHORT, drop_near_copies, fingerprint, mask_keys, one_order, prefix, rarest, tables
 from waymark.llm.packing import pack_documents
 from waymark.llm.secrets import find_secrets, mask_secrets
-from waymark.llm.simhash import covering_masks, links_within, simhash_groups
+from waymark.llm.simhash import covering_masks, links_within, shingle_hashes, simhash_groups
 from waymark.llm.token_file import Block, encode_block, read_token_files, write_token_files
 from waymark.llm.tokens import Encoder, vocabulary_path
 
@@ -517,3 +517,45 @@ def test_long_words_alike_modulo_two_are_told_apart(spark):
     docs = spark.createDataFrame([(1, f"{lead} {word}"), (2, f"{lead} {other}")], "doc_id long, text string")
     items = spark.createDataFrame([("i", f"{lead} {word}")], "item_id string, text string")
     assert {r.doc_id: r.n_hit for r in find_contamination(docs, items).collect()} == {1: 13, 2: 0}
+
+
+def test_short_near_copies_meet_under_the_masks_of_every_order(spark, monkeypatch):
+    """Without prefixes: copies that no mask of the first order holds together are found by another's."""
+    monkeypatch.setattr(near_copies, "rarest", lambda hashes, *others: hashes[:0])
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    masks, missed = tables(2, 0.8, RECALL), []
+    first = len(one_order(masks))
+    while len(missed) < 2:
+        base = [word() for _ in range(200)]
+        # One place changes a shingle, four change five each: similarity 175 / 217.
+        copy = [word() if at in (0, 20, 62, 104, 146) else w for at, w in enumerate(base)]
+        both = [" ".join(t) for t in (base, copy)]
+        prints = np.array([fingerprint(np.unique(shingle_hashes(t, 5))) for t in both])
+        met = (mask_keys(prints[:1], masks) == mask_keys(prints[1:], masks))[0]
+        if met[first:].any() and not met[:first].any():
+            missed.append(both)
+    rows = [(i + 500 * j, t) for i, texts in enumerate(missed) for j, t in enumerate(texts)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {0, 1}
+
+
+def test_joins_broadcast_few_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)
+    plan = lambda n: spark.range(100).join(shared.joined_by(r := spark.range(n))(r), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(10)
+    assert "SortMergeJoin" in plan(11) and "Broadcast" not in plan(11)
+
+
+def test_components_and_near_copies_are_the_same_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    links = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long")
+    roots = {r.node: r.root for r in components(links).collect()}
+    assert len(roots) == 60 and all(roots[i] == roots[i - i % 20] for i in range(60)) and len(set(roots.values())) == 3
+    rng = random.Random(19)
+    bases = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(20)]
+    rows = [(i, b) for i, b in enumerate(bases)] + [(100 + i, b + " more") for i, b in enumerate(bases)]
+    rows += [(200 + i, bases[0] + " " + "x" * i) for i in range(1, 80)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(20))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
