@@ -528,3 +528,14 @@ def test_modes_are_linear():
     for text, kind in hard:
         assert len(blank_nested(text * many, kind)) == len(text) * many
     assert time.time() - begin < 20
+
+
+def test_whole_files_go_to_python_in_small_batches(spark, make_corpus):
+    code_units(make_corpus({"a.py": "def f():\n    return f'{1}'\n"}).withColumn("type", F.lit("python")))
+
+    @F.pandas_udf("long")
+    def held(texts):
+        return texts.map(len) * 0 + texts.map(len).sum()
+
+    files = spark.range(0, 24, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1 << 20)).alias("text"))
+    assert max(r.n for r in files.select(held("text").alias("n")).collect()) <= 9 << 20
